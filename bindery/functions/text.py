@@ -17,6 +17,7 @@ REPLACEMENT_CHAR = "�"
 _INLINE_BLANKS = r"\t\x0B\f \x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 _LINE_ENDS = r"\n\r\x{2028}\x{2029}"
 BLANK = f"[{_INLINE_BLANKS}{_LINE_ENDS}]"
+OUTER_BLANKS = rf"\A{BLANK}+|{BLANK}+\z"
 ANY_BUT_LINE_END = f"[^{_LINE_ENDS}]"
 
 # A run of backticks that only whitespace separates from the start of its line.
@@ -60,7 +61,7 @@ def size_label(size_bytes: Column) -> Column:
 
 
 def trim_blanks(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{BLANK}+|{BLANK}+\z", "")
+    return F.regexp_replace(text, OUTER_BLANKS, "")
 
 
 def collapse_blank_runs(text: Column) -> Column:

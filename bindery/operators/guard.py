@@ -23,17 +23,15 @@ out instead of ``\\b`` and ``\\s``, whose meaning differs between regex engines.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bindery.functions.bind import bind
+from bindery.functions.bind import let, quoted
 from bindery.functions.paths import base_name
 from bindery.operators.filters import STAGE_GUARD
 
@@ -83,10 +81,11 @@ class MaskRule:
         kept = ["".join(f"${n}" for n in groups) for groups in (self.before, self.after)]
         return f"{kept[0]}<REDACTED:{self.name}>{kept[1]}"
 
-    def finds(self, text: Column, folded_text: Column) -> Column:
+    def finds(self, text: str, folded_text: str) -> str:
+        """SQL condition: the text holds a hint and the pattern matches."""
         searched = folded_text if self.folded else text
-        hinted = reduce(or_, [F.contains(searched, F.lit(hint)) for hint in self.hints])
-        return hinted & text.rlike(self.pattern)
+        hinted = " OR ".join(f"contains({searched}, {quoted(hint)})" for hint in self.hints)
+        return f"(({hinted}) AND {text} RLIKE {quoted(self.pattern)})"
 
 
 _WORD = "A-Za-z0-9_"
@@ -163,51 +162,36 @@ def denied_name(path: Column) -> Column:
     return verdict
 
 
-def may_hold_secret(text: Column) -> Column:
-    """Whether any content rule finds something. Exact; on clean text nearly always
-    settled by plain searches, on one lower-cased copy."""
-    return bind(
-        F.lower(text), lambda folded: reduce(or_, [rule.finds(text, folded) for rule in MASK_RULES])
-    )
-
+def may_hold_secret(text: str) -> Column:
+    """Whether any content rule finds something in a text column. Exact; on clean text
+    nearly always settled by plain searches, on one lower-cased copy."""
+    any_rule = " OR ".join(rule.finds(text, "folded") for rule in MASK_RULES)
+    return F.expr(let("folded", f"lower({text})", any_rule))
 
-def _line_hits(text: Column, seq: int, rule: MaskRule) -> Column:
-    def entry(index: Column) -> Column:
-        return F.struct(
-            (index + 1).cast("int").alias("line"), F.lit(seq).alias("seq"), F.lit(rule.name).alias("rule")
-        )
-
-    return F.flatten(
-        F.transform(
-            F.split(text, "\n", -1),
-            lambda line, index: F.array_repeat(entry(index), F.regexp_count(line, F.lit(rule.pattern))),
-        )
-    )
-
-
-def _rule_step(seq: int, rule: MaskRule) -> Callable[[Column], Column]:
-    def step(now: Column) -> Column:
-        changed = F.struct(
-            F.regexp_replace(now["text"], rule.pattern, rule.replacement).alias("text"),
-            F.concat(now["hits"], _line_hits(now["text"], seq, rule)).alias("hits"),
-        )
-        return F.when(now["text"].rlike(rule.pattern), changed).otherwise(now)
 
-    return step
+def _rule_step(now: str, seq: int, rule: MaskRule) -> str:
+    """SQL for one rule applied to ``now``, a struct of the text and the hits so far."""
+    pattern = quoted(rule.pattern)
+    hit = f"named_struct('line', at + 1, 'seq', {seq}, 'rule', {quoted(rule.name)})"
+    hits = f"""flatten(transform(
+        split(now.text, '\\n', -1), (line, at) -> array_repeat({hit}, regexp_count(line, {pattern}))))"""
+    changed = f"""named_struct(
+        'text', regexp_replace(now.text, {pattern}, {quoted(rule.replacement)}), 'hits', concat(now.hits, {hits}))"""
+    return let("now", now, f"if(now.text RLIKE {pattern}, {changed}, now)")
 
 
-def mask_text(text: Column, enabled: Column) -> Column:
-    """Struct ``(text, hits)``: the text after all content rules, and where they hit.
+def mask_text(text: str, enabled: Column) -> Column:
+    """Struct ``(text, hits)``: a text column after all content rules, and where they hit.
 
     The rules form one nested expression, each step bound to the result of the one
     before. A chain of columns would not do: a filter on the outcome is pushed through
     it and copies the whole chain twice per rule.
     """
-    state = F.struct(text.alias("text"), F.array().cast(_HITS_TYPE).alias("hits"))
+    state = f"named_struct('text', {text}, 'hits', cast(array() AS {_HITS_TYPE}))"
     masked = state
     for seq, rule in enumerate(MASK_RULES):
-        masked = bind(masked, _rule_step(seq, rule))
-    return F.when(enabled & may_hold_secret(text), masked).otherwise(state)
+        masked = _rule_step(masked, seq, rule)
+    return F.when(enabled & may_hold_secret(text), F.expr(masked)).otherwise(F.expr(state))
 
 
 _MASK = re.compile(r"<REDACTED:[^>\n]*>")
@@ -286,7 +270,7 @@ def mask_secrets(
     none = F.array().cast(_HITS_TYPE)
     enabled = F.lit(True) if scan is None else F.coalesce(scan, F.lit(False))
     columns = rows.columns
-    out = rows.withColumn("_masked", mask_text(F.col(text), enabled))
+    out = rows.withColumn("_masked", mask_text(text, enabled))
     masked_text, hits = F.col("_masked.text"), F.col("_masked.hits")
     if extra_patterns is not None:
         wanted = enabled & (F.size(extra_patterns) > 0)

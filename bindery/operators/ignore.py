@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from bindery.functions.bind import bind
 from bindery.functions.paths import ancestors, normalise
 from bindery.functions.text import ANY_BUT_LINE_END, BLANK
 
@@ -44,11 +45,11 @@ def segment_regex(globs: Column) -> Column:
 
     stripped = F.transform(globs, lambda g: F.rtrim(g, F.lit("/")))
     usable = F.filter(stripped, lambda g: (g != "") & ~g.rlike(r"[/\\]"))
-    whole = F.transform(usable, lambda g: F.when(g.rlike(r"\A\*+\z"), F.lit("?*")).otherwise(g))
-    return F.when(
-        F.size(usable) > 0,
-        F.concat(
-            F.lit(r"(?iu)(?:\A|[/\\])(?:"), _any_of(F.transform(whole, body)), F.lit(r")(?:[/\\]|\z)")
+    whole = F.transform(usable, lambda g: F.regexp_replace(g, r"\A\*+\z", "?*"))
+    return bind(
+        _any_of(F.transform(whole, body)),
+        lambda any_of: F.when(
+            any_of != "", F.concat(F.lit(r"(?iu)(?:\A|[/\\])(?:"), any_of, F.lit(r")(?:[/\\]|\z)"))
         ),
     )
 
@@ -81,26 +82,35 @@ def glob_regex(glob: Column, anchored: Column) -> Column:
 def parse_rules(text: Column) -> Column:
     """Ordered rules of one ignore file, as ``RULES_TYPE``; ``ordinal`` is the line."""
 
+    def without_lead(line: Column, lead: str) -> Column:
+        return F.when(line.startswith(lead), F.substr(line, F.lit(2))).otherwise(line)
+
     def parse(raw: Column, index: Column) -> Column:
         # Trailing whitespace goes, except one blank right behind a backslash.
-        line = F.regexp_replace(raw, rf"(\\{BLANK})?{BLANK}*\z", "$1")
-        comment = line.startswith("#") | (line == "")
-        negated = line.startswith("!")
-        bare = F.when(negated, F.substr(line, F.lit(2))).otherwise(line)
-        bare = F.when(bare.startswith("\\"), F.substr(bare, F.lit(2))).otherwise(bare)
+        trimmed = F.regexp_replace(raw, rf"(\\{BLANK})?{BLANK}*\z", "$1")
+        return bind(trimmed, lambda line: F.when((line != "") & ~line.startswith("#"), rule(line, index)))
+
+    def rule(line: Column, index: Column) -> Column:
+        unnegated = bind(without_lead(line, "!"), lambda bare: without_lead(bare, "\\"))
+        return bind(unnegated, lambda bare: glob_rule(bare, line.startswith("!"), index))
+
+    def glob_rule(bare: Column, negated: Column, index: Column) -> Column:
         dir_only = bare.endswith("/")
-        bare = F.when(dir_only, F.substring(bare, F.lit(1), F.length(bare) - 1)).otherwise(bare)
-        anchored = F.contains(bare, F.lit("/"))
-        bare = F.when(bare.startswith("/"), F.substr(bare, F.lit(2))).otherwise(bare)
-        return F.when(
-            ~comment & (bare != ""),
-            F.struct(
-                (index + 1).alias("ordinal"),
-                negated.alias("negated"),
-                dir_only.alias("dir_only"),
-                glob_regex(bare, anchored).alias("pattern"),
-            ),
-        )
+        glob = F.when(dir_only, F.substring(bare, F.lit(1), F.length(bare) - 1)).otherwise(bare)
+
+        def finish(path: Column) -> Column:
+            pattern = glob_regex(without_lead(path, "/"), F.contains(path, F.lit("/")))
+            return F.when(
+                ~path.isin("", "/"),
+                F.struct(
+                    (index + 1).alias("ordinal"),
+                    negated.alias("negated"),
+                    dir_only.alias("dir_only"),
+                    pattern.alias("pattern"),
+                ),
+            )
+
+        return bind(glob, finish)
 
     return F.array_compact(F.transform(F.split(text, r"\r?\n", -1), parse)).cast(RULES_TYPE)
 
@@ -109,19 +119,18 @@ def rules_regex(rules: Column) -> Column:
     """A single regular expression that finds every path some ignoring rule touches,
     be it the path itself or a directory above it. NULL without such a rule."""
 
-    def inner(rule: Column) -> Column:
-        return F.regexp_replace(rule["pattern"], r"\A\\A|\\z\z", "")
-
-    hiding = F.filter(rules, lambda r: ~r["negated"])
-    on_dirs = F.transform(F.filter(hiding, lambda r: r["dir_only"]), inner)
-    on_any = F.transform(F.filter(hiding, lambda r: ~r["dir_only"]), inner)
-    parts = F.array_compact(
-        F.array(
-            F.when(F.size(on_dirs) > 0, F.concat(F.lit("(?:"), _any_of(on_dirs), F.lit(")/"))),
-            F.when(F.size(on_any) > 0, F.concat(F.lit("(?:"), _any_of(on_any), F.lit(r")(?:/|\z)"))),
+    def alternatives(dir_only: bool) -> Column:
+        chosen = F.filter(rules, lambda r: ~r["negated"] & (r["dir_only"] == F.lit(dir_only)))
+        inner = F.transform(chosen, lambda r: F.regexp_replace(r["pattern"], r"\A\\A|\\z\z", ""))
+        end = "/" if dir_only else r"(?:/|\z)"
+        return bind(
+            _any_of(inner), lambda any_of: F.when(any_of != "", F.concat(F.lit("(?:"), any_of, F.lit(f"){end}")))
         )
+
+    parts = F.array_compact(F.array(alternatives(True), alternatives(False)))
+    return bind(
+        _any_of(parts), lambda any_of: F.when(any_of != "", F.concat(F.lit(r"\A(?:"), any_of, F.lit(")")))
     )
-    return F.when(F.size(parts) > 0, F.concat(F.lit(r"\A(?:"), _any_of(parts), F.lit(")")))
 
 
 def has_negation(rules: Column) -> Column:
@@ -147,12 +156,11 @@ def is_ignored(path: Column, rules: Column, regex: Column, negation: Column) ->
     test: where it finds nothing the path stays, and where no rule re-includes
     anything a find is the answer. Only the rest walks the ancestors rule by rule.
     """
-    clean = normalise(path)
-    walked = F.exists(ancestors(clean), lambda d: last_match_ignores(d, True, rules)) | last_match_ignores(
-        clean, False, rules
-    )
-    return (
-        F.when(~F.coalesce(matches(clean, regex), F.lit(False)), F.lit(False))
-        .when(~negation, F.lit(True))
-        .otherwise(walked)
-    )
+
+    def verdict(clean: Column) -> Column:
+        walked = F.exists(ancestors(clean), lambda d: last_match_ignores(d, True, rules)) | last_match_ignores(
+            clean, False, rules
+        )
+        return F.when(~matches(clean, regex), F.lit(False)).when(~negation, F.lit(True)).otherwise(walked)
+
+    return F.when(regex.isNull(), F.lit(False)).otherwise(bind(normalise(path), verdict))

@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bindery.functions.text import trim_blanks
+from bindery.functions.bind import bind, let, quoted
+from bindery.functions.text import OUTER_BLANKS
 from bindery.operators.filters import wanted_extensions
 from bindery.operators.ignore import RULES_TYPE, has_negation, rules_regex, segment_regex
 
@@ -62,72 +63,73 @@ def _json_path(key: str) -> str:
     return f'$["{key}"]'
 
 
-def _found(value: Column, type_name: Column) -> Column:
-    """The JSON text of a rejected value; whole numbers print without a fraction and
-    a number too large for a double prints as null."""
-    number = F.try_variant_get(value, "$", "double")
-    plain = F.to_json(value)
-    whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
-    return (
-        F.when(~type_name.rlike(r"\A(?:BIGINT|DECIMAL|DOUBLE|FLOAT)"), plain)
-        .when(F.abs(number) == float("inf"), F.lit("null"))
-        .when(whole, number.cast("decimal(20,0)").cast("string"))
-        .otherwise(plain)
-    )
+_NUMERIC = quoted(r"\A(?:BIGINT|DECIMAL|DOUBLE|FLOAT)")
+_ENTRIES = "try_variant_get(found, '$', 'array<variant>')"
 
+# The JSON text of a rejected value: whole numbers print without a fraction, a number
+# too large for a double prints as null.
+_FIGURE = """CASE WHEN abs(number) = double('Infinity') THEN 'null'
+    WHEN number = floor(number) AND abs(number) < 1e15 THEN cast(cast(number AS decimal(20, 0)) AS string)
+    ELSE to_json(found) END"""
+_FOUND = f"""CASE WHEN kind RLIKE {_NUMERIC} THEN {let("number", "try_variant_get(found, '$', 'double')", _FIGURE)}
+    ELSE to_json(found) END"""
 
-def _read(raw: Column, setting: Setting) -> tuple[Column, Column]:
-    """``(value, problem)`` of one setting; an unset key gives the default, no problem."""
-    value = F.try_variant_get(raw, _json_path(setting.key), "variant")
-    type_name = F.schema_of_variant(value)
-    default = _default(setting)
 
+def _typed(setting: Setting) -> tuple[str, str]:
+    """SQL for the value in its type and for whether it is acceptable. ``found`` is the
+    JSON value, ``kind`` the name of its type."""
+    if setting.kind == "strings":
+        texts = f"""transform(filter({_ENTRIES}, e -> schema_of_variant(e) = 'STRING'),
+            e -> regexp_replace(try_variant_get(e, '$', 'string'), {quoted(OUTER_BLANKS)}, ''))"""
+        return f"filter({texts}, t -> t != '')", "startswith(kind, 'ARRAY')"
+    typed = f"try_variant_get(found, '$', '{_TYPES[setting.kind]}')"
+    if setting.kind == "boolean":
+        return typed, "kind = 'BOOLEAN'"
+    if setting.kind == "number":
+        return typed, f"kind RLIKE {_NUMERIC} AND {typed} >= 0 AND {typed} != double('Infinity')"
+    allowed = ", ".join(quoted(v) for v in setting.allowed)
+    return typed, f"kind = 'STRING' AND {typed} IN ({allowed})"
+
+
+def _default_sql(setting: Setting) -> str:
     if setting.kind == "strings":
-        entries = F.try_variant_get(value, "$", "array<variant>")
-        texts = F.transform(
-            F.filter(entries, lambda e: F.schema_of_variant(e) == "STRING"),
-            lambda e: F.try_variant_get(e, "$", "string"),
-        )
-        typed = F.filter(F.transform(texts, trim_blanks), lambda t: t != "")
-        valid = type_name.startswith("ARRAY")
-        dropped = F.size(entries) - F.size(texts)
-        partial = F.when(
-            dropped > 0,
-            F.concat(F.lit(f"{setting.key}: ignored "), dropped.cast("string"), F.lit(" non-string entr(ies)")),
-        )
-    elif setting.kind == "boolean":
-        typed, valid, partial = F.try_variant_get(value, "$", "boolean"), type_name == "BOOLEAN", None
-    elif setting.kind == "number":
-        typed = F.try_variant_get(value, "$", "double")
-        numeric = type_name.rlike(r"\A(?:BIGINT|DECIMAL|DOUBLE|FLOAT)")
-        valid, partial = numeric & (typed >= 0) & (typed != float("inf")), None
-    else:
-        typed = F.try_variant_get(value, "$", "string")
-        valid, partial = (type_name == "STRING") & typed.isin(*setting.allowed), None
+        return f"cast(array({', '.join(quoted(v) for v in setting.default)}) AS array<string>)"
+    if setting.kind == "choice":
+        return quoted(setting.default)
+    return f"cast({str(setting.default).lower()} AS {_TYPES[setting.kind]})"
+
 
+def _read(setting: Setting) -> str:
+    """SQL struct ``(value, problem)`` of one setting of ``raw``; an unset key gives its
+    default and no problem."""
+    typed, acceptable = _typed(setting)
     expected = _EXPECTED.get(setting.kind) or "one of " + " | ".join(setting.allowed)
-    fallback = json.dumps(setting.default, separators=(",", ":"))
-    rejected = F.concat(
-        F.lit(f"{setting.key}: expected {expected} but found "),
-        _found(value, type_name),
-        F.lit(f"; using {fallback}"),
-    )
-    is_valid = F.coalesce(valid, F.lit(False))
-    resolved = F.when(value.isNull() | ~is_valid, default).otherwise(typed)
-    problem = F.when(value.isNotNull() & ~is_valid, rejected)
-    if partial is not None:
-        problem = problem.when(value.isNotNull(), partial)
-    return resolved, problem
-
-
-def resolve_settings(settings_json: Column) -> Column:
-    """Struct ``(settings, problems)`` for a JSON object; anything else counts as empty."""
-    raw = F.try_parse_json(settings_json)
-    read = [(s, *_read(raw, s)) for s in SETTINGS]
-    return F.struct(
-        F.struct(*[value.alias(s.column) for s, value, _ in read]).cast(SETTINGS_TYPE).alias("settings"),
-        F.array_compact(F.array(*[problem for _, _, problem in read])).alias("problems"),
-    )
+    opening = quoted(f"{setting.key}: expected {expected} but found ")
+    ending = quoted(f"; using {json.dumps(setting.default, separators=(',', ':'))}")
+    partial = ""
+    if setting.kind == "strings":
+        dropped = f"size(filter({_ENTRIES}, e -> coalesce(schema_of_variant(e) != 'STRING', true)))"
+        counted = f"concat({quoted(setting.key + ': ignored ')}, {dropped}, ' non-string entr(ies)')"
+        partial = f"WHEN valid AND {dropped} > 0 THEN {counted}"
+    judged = f"""named_struct(
+        'value', if(valid, {typed}, {_default_sql(setting)}),
+        'problem', CASE WHEN found IS NOT NULL AND NOT valid THEN concat({opening}, {_FOUND}, {ending}) {partial} END)"""
+    valid = let("valid", f"coalesce({acceptable}, false)", judged)
+    kind = let("kind", "schema_of_variant(found)", valid)
+    return let("found", f"try_variant_get(raw, {quoted(_json_path(setting.key))}, 'variant')", kind)
+
+
+def resolve_settings(settings_json: str) -> Column:
+    """Struct ``(settings, problems)`` for a column of JSON objects; anything else counts
+    as empty."""
+    read = ", ".join(f"'{s.column}', {_read(s)}" for s in SETTINGS)
+    values = ", ".join(f"'{s.column}', read.{s.column}.value" for s in SETTINGS)
+    problems = ", ".join(f"read.{s.column}.problem" for s in SETTINGS)
+    arranged = f"""named_struct(
+        'settings', cast(named_struct({values}) AS {SETTINGS_TYPE}),
+        'problems', array_compact(array({problems})))"""
+    resolved = let("read", f"named_struct({read})", arranged)
+    return F.expr(let("raw", f"try_parse_json({settings_json})", resolved))
 
 
 def literal_settings(**overrides: object) -> Column:
@@ -157,14 +159,17 @@ def compiled_rules(settings: Column, ignore_rules: Column | None = None) -> Colu
     """The filter rules of a workspace in the form rows are tested with."""
     none = F.array().cast(RULES_TYPE)
     given = none if ignore_rules is None else F.coalesce(ignore_rules, none)
-    rules = F.when(settings["respect_gitignore"], given).otherwise(none)
-    return F.struct(
-        wanted_extensions(settings["include_extensions"]).alias("extensions"),
-        segment_regex(settings["ignore_patterns"]).alias("ignore_regex"),
-        settings["max_file_size_kb"].alias("max_file_size_kb"),
-        rules.alias("rules"),
-        rules_regex(rules).alias("rules_regex"),
-        has_negation(rules).alias("rules_negated"),
+    applied = F.when(settings["respect_gitignore"], given).otherwise(none)
+    return bind(
+        applied,
+        lambda rules: F.struct(
+            wanted_extensions(settings["include_extensions"]).alias("extensions"),
+            segment_regex(settings["ignore_patterns"]).alias("ignore_regex"),
+            settings["max_file_size_kb"].alias("max_file_size_kb"),
+            rules.alias("rules"),
+            rules_regex(rules).alias("rules_regex"),
+            has_negation(rules).alias("rules_negated"),
+        ),
     )
 
 

@@ -37,7 +37,7 @@ def workspace_settings(workspaces: DataFrame, files: DataFrame | None = None) ->
     if files is not None and "ignore_text" not in workspaces.columns:
         texts = files.filter(F.col("path") == IGNORE_FILE).select("workspace", F.col("content").alias("ignore_text"))
         own = own.drop("ignore_text").join(texts, "workspace", "left")
-    resolved = own.withColumn("_resolved", resolve_settings(F.col("settings_json")))
+    resolved = own.withColumn("_resolved", resolve_settings("settings_json"))
     settings = F.col("settings")
     scrub = settings["scrub_paths"]
     return (
