@@ -174,14 +174,14 @@ def pack_counts(rendered: DataFrame) -> DataFrame:
     )
 
 
-def _head(total_tokens: Column) -> Column:
+def _lead() -> Column:
+    """The head up to the token figure: task, then the overview unless it is off."""
     language = F.col("output_language")
-    task = trim_blanks(F.coalesce("task", F.lit("")))
     task_part = F.when(
-        task != "", F.concat(F.lit("# "), label("task", language), F.lit("\n\n"), task, F.lit("\n\n"))
+        F.col("task") != "", F.concat(F.lit("# "), label("task", language), F.lit("\n\n"), F.col("task"), F.lit("\n\n"))
     ).otherwise("")
     overview = F.when(
-        F.coalesce("include_overview", F.lit(True)),
+        F.col("include_overview"),
         F.concat(
             F.lit("# "),
             label("overview", language),
@@ -196,12 +196,17 @@ def _head(total_tokens: Column) -> Column:
             F.lit("\n- "),
             label("tokens", language),
             F.lit(": "),
-            total_tokens,
-            F.lit("\n\n"),
         ),
     ).otherwise("")
+    return F.concat(task_part, overview)
+
+
+def _list_head() -> Column:
+    """The head after the token figure, and the note that stands for an empty list."""
+    language = F.col("output_language")
+    gap = F.when(F.col("include_overview"), F.lit("\n\n")).otherwise("")
     empty = F.when(F.col("file_count") == 0, F.concat(label("no_files", language), F.lit("\n"))).otherwise("")
-    return F.concat(task_part, overview, F.lit("# "), label("file_list", language), F.lit("\n\n"), empty)
+    return F.concat(gap, F.lit("# "), label("file_list", language), F.lit("\n\n"), empty)
 
 
 def _divider() -> Column:
@@ -237,37 +242,30 @@ def pack_totals(rendered: DataFrame, workspaces: DataFrame, *, collapse: bool =
     document except the digits of the figure itself.
     """
 
-    def tidy(text: Column) -> Column:
-        return collapse_blank_runs(text) if collapse else text
-
     counts = pack_counts(rendered)
     numbers = [c for c in counts.columns if c != "workspace"]
-    joined = workspaces.select("workspace", "task", "output_language", "include_overview").join(
-        counts, "workspace", "left"
-    )
+    joined = workspaces.select(
+        "workspace",
+        trim_blanks(F.coalesce("task", F.lit(""))).alias("task"),
+        "output_language",
+        F.coalesce("include_overview", F.lit(True)).alias("include_overview"),
+    ).join(counts, "workspace", "left")
     filled = joined.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in numbers})
-    measured = filled.withColumns(
-        {
-            "divider": _divider(),
-            "report_head": _report_head(),
-            "skip_head": _skip_head(),
-            "total_units": F.col("file_units")
-            + utf16_length(tidy(_head(F.lit(""))))
-            + utf16_length(_divider())
-            + utf16_length(_report_head())
-            + utf16_length(_skip_head()),
-        }
-    )
-    total = tokens_for_units(F.col("total_units"))
-    return (
-        measured.withColumn("total_tokens", total)
-        .withColumn("head", tidy(_head(format_count(F.col("total_tokens")))))
-        .withColumn(
-            "document_bytes",
-            F.col("file_octets")
-            + sum((F.octet_length(F.col(c)) for c in ("head", "divider", "report_head", "skip_head")), F.lit(0)),
-        )
-    )
+    lead = F.regexp_replace(_lead(), r"\n{3,}", "\n\n") if collapse else _lead()
+    once = {
+        "lead": lead,
+        "list_head": _list_head(),
+        "divider": _divider(),
+        "report_head": _report_head(),
+        "skip_head": _skip_head(),
+    }
+    built = filled.withColumns(once)
+    units = sum((utf16_length(F.col(c)) for c in once), F.col("file_units"))
+    figure = F.when(F.col("include_overview"), format_count(F.col("total_tokens"))).otherwise("")
+    measured = built.withColumn("total_tokens", tokens_for_units(units))
+    headed = measured.withColumn("head", F.concat("lead", figure, "list_head"))
+    octets = sum((F.octet_length(c) for c in ("head", "divider", "report_head", "skip_head")), F.col("file_octets"))
+    return headed.withColumn("document_bytes", octets).drop("lead", "list_head")
 
 
 def document_blocks(rendered: DataFrame, totals: DataFrame) -> DataFrame:
@@ -326,10 +324,16 @@ def documents(
     grows with the pack. Sizes are known from the totals before any text moves, and
     only packs below the bound are gathered, so no group exceeds it.
     """
-    large = totals.where(F.col("document_bytes") > max_document_bytes).select("workspace")
+    is_small = F.col("document_bytes") <= max_document_bytes
     blocks = document_blocks(rendered, totals)
+
+    def blocks_of(packs: DataFrame) -> DataFrame:
+        return join_dimension(
+            blocks, packs.select("workspace"), ["workspace"], spread_by=["block", "path"], how="left_semi"
+        )
+
     small = (
-        join_dimension(blocks, large, ["workspace"], spread_by=["block", "path"], how="left_anti")
+        blocks_of(totals.where(is_small))
         .groupBy("workspace")
         .agg(F.sort_array(F.collect_list(F.struct("block", "stage", "ordinal", "path", "text"))).alias("b"))
         .select(
@@ -342,7 +346,5 @@ def documents(
             F.array_join(F.transform("b", lambda x: x["text"]), "").alias("text"),
         )
     )
-    kept_apart = join_dimension(
-        blocks, large, ["workspace"], spread_by=["block", "path"], how="left_semi"
-    ).withColumn("whole", F.lit(False))
+    kept_apart = blocks_of(totals.where(~is_small)).withColumn("whole", F.lit(False))
     return small.unionByName(kept_apart)
