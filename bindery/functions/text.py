@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from bindery.functions.bind import bind
+
 # The results depend on them.
 UNITS_PER_TOKEN = 4
 MIN_FENCE = 3
@@ -91,17 +93,22 @@ def looks_binary(content: Column) -> Column:
     encoded = F.encode(head, "UTF-16BE")
     edge = F.hex(F.substring(encoded, 2 * BINARY_SAMPLE_UNITS - 1, 1))
     cut_bytes = F.when(edge.between("D8", "DB"), 2 * BINARY_SAMPLE_UNITS - 2).otherwise(2 * BINARY_SAMPLE_UNITS)
-    sample = F.when(
+    cut = F.when(
         units > BINARY_SAMPLE_UNITS, F.decode(F.substring(encoded, F.lit(1), cut_bytes), "UTF-16BE")
     ).otherwise(head)
-    sample_units = F.least(units, F.lit(BINARY_SAMPLE_UNITS))
-    replacements = F.when(
-        F.contains(sample, F.lit(REPLACEMENT_CHAR)),
-        F.length(sample) - F.length(F.replace(sample, F.lit(REPLACEMENT_CHAR), F.lit(""))),
-    ).otherwise(F.lit(0))
-    return F.contains(sample, F.char(F.lit(0))) | (
-        replacements / F.greatest(sample_units, F.lit(1)) > F.lit(REPLACEMENT_SHARE_LIMIT)
-    )
+
+    def judge(sample: Column) -> Column:
+        replacements = F.length(sample) - F.length(F.replace(sample, F.lit(REPLACEMENT_CHAR), F.lit("")))
+        share = replacements / F.greatest(F.least(units, F.lit(BINARY_SAMPLE_UNITS)), F.lit(1))
+        return F.contains(sample, _nul()) | (share > F.lit(REPLACEMENT_SHARE_LIMIT))
+
+    # Text without either character, nearly all of it, needs no exact sample.
+    suspicious = F.contains(head, _nul()) | F.contains(head, F.lit(REPLACEMENT_CHAR))
+    return F.when(suspicious, bind(cut, judge)).otherwise(F.lit(False))
+
+
+def _nul() -> Column:
+    return F.char(F.lit(0))
 
 
 def decode_text(raw: Column) -> Column:

@@ -81,17 +81,15 @@ class MaskRule:
         kept = ["".join(f"${n}" for n in groups) for groups in (self.before, self.after)]
         return f"{kept[0]}<REDACTED:{self.name}>{kept[1]}"
 
-    def finds(self, text: str, folded_text: str) -> str:
-        """SQL condition: the text holds a hint and the pattern matches."""
+    def hinted(self, text: str, folded_text: str) -> str:
+        """SQL condition: the text holds a hint."""
         searched = folded_text if self.folded else text
-        hinted = " OR ".join(f"contains({searched}, {quoted(hint)})" for hint in self.hints)
-        return f"(({hinted}) AND {text} RLIKE {quoted(self.pattern)})"
+        return "(" + " OR ".join(f"contains({searched}, {quoted(hint)})" for hint in self.hints) + ")"
 
 
 _WORD = "A-Za-z0-9_"
-_SECRET_HINTS = ("api_key", "api-key", "apikey", "access_key", "access-key", "accesskey")
-_SECRET_HINTS += ("secret", "password", "passwd", "token")
-_SECRET_KEY = r"(?i:api[_-]?key|secret[_-]?key|access[_-]?key|secret|password|passwd|token)"
+_SECRET_HINTS = ("key", "secret", "passw", "token")
+_SECRET_KEY = r"(?i:(?:api|access|secret)[_-]?key|secret|passw(?:or)?d|token)"
 
 
 def _quoted(quote: str) -> str:
@@ -115,8 +113,7 @@ MASK_RULES = (
     MaskRule(
         "connection-string",
         ("://",),
-        r"""([A-Za-z][A-Za-z0-9+.-]{1,30}://[^\x00-\x20:/@"'<>]*:)[^\x00-\x20/@"'<>]+(@)""",
-        "A-Za-z0-9_+.-",
+        r"""(://[^\x00-\x20:/@"'<>]*:)[^\x00-\x20/@"'<>]+(@)""",
         before=(1,),
         after=(2,),
     ),
@@ -165,7 +162,10 @@ def denied_name(path: Column) -> Column:
 def may_hold_secret(text: str) -> Column:
     """Whether any content rule finds something in a text column. Exact; on clean text
     nearly always settled by plain searches, on one lower-cased copy."""
-    any_rule = " OR ".join(rule.finds(text, "folded") for rule in MASK_RULES)
+    by_hints: dict[str, list[str]] = {}
+    for rule in MASK_RULES:
+        by_hints.setdefault(rule.hinted(text, "folded"), []).append(f"{text} RLIKE {quoted(rule.pattern)}")
+    any_rule = " OR ".join(f"({hinted} AND ({' OR '.join(found)}))" for hinted, found in by_hints.items())
     return F.expr(let("folded", f"lower({text})", any_rule))
 
 
@@ -177,7 +177,8 @@ def _rule_step(now: str, seq: int, rule: MaskRule) -> str:
         split(now.text, '\\n', -1), (line, at) -> array_repeat({hit}, regexp_count(line, {pattern}))))"""
     changed = f"""named_struct(
         'text', regexp_replace(now.text, {pattern}, {quoted(rule.replacement)}), 'hits', concat(now.hits, {hits}))"""
-    return let("now", now, f"if(now.text RLIKE {pattern}, {changed}, now)")
+    found = f"{rule.hinted('now.text', 'lower(now.text)')} AND now.text RLIKE {pattern}"
+    return let("now", now, f"if({found}, {changed}, now)")
 
 
 def mask_text(text: str, enabled: Column) -> Column:

@@ -37,6 +37,7 @@ from bindery.operators.joins import join_dimension
 from bindery.operators.render import masked_line, pack_counts, render_files, section, skipped_line
 from bindery.operators.settings import compiled_rules, guard_options, literal_settings, problem_report
 from bindery.plans.pack import totals_for
+from bindery.session import store
 from checks import oracles as O
 from checks import views as V
 
@@ -66,7 +67,7 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return workspace_settings(V.workspaces(spark, sf_dir))
+    return store(workspace_settings(V.workspaces(spark, sf_dir)), "settings")
 
 
 def _with(spark: SparkSession, sf_dir: str, *columns: Column | str) -> DataFrame:
