@@ -16,6 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bindery.functions.bind import quoted
 from bindery.functions.languages import language_tag
 from bindery.functions.paths import posix_path
 from bindery.functions.text import (
@@ -65,9 +66,9 @@ HEAD, LIST, DIVIDER, SECTION, REPORT, MASKED, SKIP_HEAD, SKIPPED = range(8)
 MAX_DOCUMENT_BYTES = 64 * 1024 * 1024
 
 
-def label(name: str, language: Column) -> Column:
-    """A heading in the language of the row; English when none is given."""
-    return F.when(language == "th", F.lit(LABELS["th"][name])).otherwise(F.lit(LABELS["en"][name]))
+def label(name: str) -> Column:
+    """A heading in the row's ``output_language``; English when none is given."""
+    return F.expr(f"if(output_language <=> 'th', {quoted(LABELS['th'][name])}, {quoted(LABELS['en'][name])})")
 
 
 def list_line(path: Column) -> Column:
@@ -176,25 +177,24 @@ def pack_counts(rendered: DataFrame) -> DataFrame:
 
 def _lead() -> Column:
     """The head up to the token figure: task, then the overview unless it is off."""
-    language = F.col("output_language")
     task_part = F.when(
-        F.col("task") != "", F.concat(F.lit("# "), label("task", language), F.lit("\n\n"), F.col("task"), F.lit("\n\n"))
+        F.col("task") != "", F.concat(F.lit("# "), label("task"), F.lit("\n\n"), F.col("task"), F.lit("\n\n"))
     ).otherwise("")
     overview = F.when(
         F.col("include_overview"),
         F.concat(
             F.lit("# "),
-            label("overview", language),
+            label("overview"),
             F.lit("\n\n- "),
-            label("workspace", language),
+            label("workspace"),
             F.lit(": "),
             F.col("workspace").cast("string"),
             F.lit("\n- "),
-            label("file_count", language),
+            label("file_count"),
             F.lit(": "),
             F.col("file_count").cast("string"),
             F.lit("\n- "),
-            label("tokens", language),
+            label("tokens"),
             F.lit(": "),
         ),
     ).otherwise("")
@@ -203,10 +203,9 @@ def _lead() -> Column:
 
 def _list_head() -> Column:
     """The head after the token figure, and the note that stands for an empty list."""
-    language = F.col("output_language")
     gap = F.when(F.col("include_overview"), F.lit("\n\n")).otherwise("")
-    empty = F.when(F.col("file_count") == 0, F.concat(label("no_files", language), F.lit("\n"))).otherwise("")
-    return F.concat(gap, F.lit("# "), label("file_list", language), F.lit("\n\n"), empty)
+    empty = F.when(F.col("file_count") == 0, F.concat(label("no_files"), F.lit("\n"))).otherwise("")
+    return F.concat(gap, F.lit("# "), label("file_list"), F.lit("\n\n"), empty)
 
 
 def _divider() -> Column:
@@ -214,23 +213,22 @@ def _divider() -> Column:
 
 
 def _report_head() -> Column:
-    language = F.col("output_language")
     sentence = F.replace(
-        F.replace(label("redacted", language), F.lit("{lines}"), F.col("masked_lines").cast("string")),
+        F.replace(label("redacted"), F.lit("{lines}"), F.col("masked_lines").cast("string")),
         F.lit("{files}"),
         F.col("masked_files").cast("string"),
     )
     masked = F.when(F.col("masked_files") > 0, F.concat(F.lit("\n"), sentence, F.lit("\n\n"))).otherwise("")
     return F.when(
         (F.col("masked_files") > 0) | (F.col("skipped_count") > 0),
-        F.concat(F.lit("\n---\n\n# "), label("guard_report", language), F.lit("\n"), masked),
+        F.concat(F.lit("\n---\n\n# "), label("guard_report"), F.lit("\n"), masked),
     ).otherwise("")
 
 
 def _skip_head() -> Column:
     return F.when(
         F.col("skipped_count") > 0,
-        F.concat(F.lit("\n**"), label("skipped", F.col("output_language")), F.lit("**\n\n")),
+        F.concat(F.lit("\n**"), label("skipped"), F.lit("**\n\n")),
     ).otherwise("")
 
 
@@ -324,16 +322,12 @@ def documents(
     grows with the pack. Sizes are known from the totals before any text moves, and
     only packs below the bound are gathered, so no group exceeds it.
     """
-    is_small = F.col("document_bytes") <= max_document_bytes
-    blocks = document_blocks(rendered, totals)
-
-    def blocks_of(packs: DataFrame) -> DataFrame:
-        return join_dimension(
-            blocks, packs.select("workspace"), ["workspace"], spread_by=["block", "path"], how="left_semi"
-        )
-
+    sizes = totals.select("workspace", (F.col("document_bytes") <= max_document_bytes).alias("whole"))
+    blocks = join_dimension(
+        document_blocks(rendered, totals), sizes, ["workspace"], spread_by=["block", "path"], how="inner"
+    )
     small = (
-        blocks_of(totals.where(is_small))
+        blocks.filter("whole")
         .groupBy("workspace")
         .agg(F.sort_array(F.collect_list(F.struct("block", "stage", "ordinal", "path", "text"))).alias("b"))
         .select(
@@ -346,5 +340,4 @@ def documents(
             F.array_join(F.transform("b", lambda x: x["text"]), "").alias("text"),
         )
     )
-    kept_apart = blocks_of(totals.where(~is_small)).withColumn("whole", F.lit(False))
-    return small.unionByName(kept_apart)
+    return small.unionByName(blocks.filter(~F.col("whole")))

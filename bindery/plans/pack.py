@@ -132,14 +132,14 @@ def pack(
     max_document_bytes: int = MAX_DOCUMENT_BYTES,
     folder: str | None = None,
 ) -> PackTables:
-    """The whole run. Settings, guarded files and rendered pieces are written once to the
-    shared folder (or ``folder``), and every table is derived from there, so contents
+    """The whole run. Settings, guarded files, rendered pieces and totals are written once
+    to the shared folder (or ``folder``), and every table is derived from there, so contents
     are filtered, scrubbed and masked a single time."""
     settings = store(workspace_settings(workspaces, files), "settings", folder)
     guarded = guard_files(files, settings, report_path_skips=report_path_skips)
     guarded = store(guarded, "guarded", folder)
     rendered = store(render_files(guarded), "rendered", folder)
-    totals = totals_for(rendered, settings)
+    totals = store(totals_for(rendered, settings), "totals", folder)
     kept = rendered.filter(F.col("reason").isNull())
     return PackTables(
         packs=totals,
