@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bindery.functions.bind import bind
 from bindery.functions.paths import extension
 from bindery.functions.text import looks_binary, size_label
 from bindery.operators.ignore import is_ignored, matches_segment
@@ -55,20 +56,23 @@ def screen(files: DataFrame, rules: Column) -> DataFrame:
     Cheapest test first, and the branches evaluate in that order, so the content is
     looked at only where path and size let it through.
     """
-    too_large = exceeds_size_limit(F.col("size_bytes"), rules["max_file_size_kb"])
+    size = F.col("size_bytes")
     reason = F.coalesce(
         path_skip_reason(F.col("path"), rules),
-        F.when(too_large, F.lit(TOO_LARGE)),
+        F.when(exceeds_size_limit(size, rules["max_file_size_kb"]), F.lit(TOO_LARGE)),
         F.when(looks_binary(F.col("content")), F.lit(BINARY)),
     )
-    return files.withColumn("reason", reason).withColumns(
-        {
-            "detail": F.when(F.col("reason") == TOO_LARGE, size_label(F.col("size_bytes"))),
-            "stage": F.when(F.col("reason") == TOO_LARGE, F.lit(STAGE_STAT)).when(
-                F.col("reason").isNotNull(), F.lit(STAGE_CONTENT)
-            ),
-        }
-    )
+
+    def verdict(why: Column) -> Column:
+        large = why == TOO_LARGE
+        return F.struct(
+            why.alias("reason"),
+            F.when(large, size_label(size)).alias("detail"),
+            F.when(large, F.lit(STAGE_STAT)).when(why.isNotNull(), F.lit(STAGE_CONTENT)).alias("stage"),
+        )
+
+    judged = files.withColumn("_screen", bind(reason, verdict))
+    return judged.withColumns({c: F.col(f"_screen.{c}") for c in ("reason", "detail", "stage")}).drop("_screen")
 
 
 def collect_files(files: DataFrame, rules: Column) -> tuple[DataFrame, DataFrame]:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bindery.functions.bind import let, quoted
+from bindery.functions.bind import bind, let, quoted
 from bindery.functions.paths import base_name
 from bindery.operators.filters import STAGE_GUARD
 
@@ -162,11 +162,15 @@ def denied_name(path: Column) -> Column:
 def may_hold_secret(text: str) -> Column:
     """Whether any content rule finds something in a text column. Exact; on clean text
     nearly always settled by plain searches, on one lower-cased copy."""
+    return F.expr(_may_hold_sql(text))
+
+
+def _may_hold_sql(text: str) -> str:
     by_hints: dict[str, list[str]] = {}
     for rule in MASK_RULES:
         by_hints.setdefault(rule.hinted(text, "folded"), []).append(f"{text} RLIKE {quoted(rule.pattern)}")
     any_rule = " OR ".join(f"({hinted} AND ({' OR '.join(found)}))" for hinted, found in by_hints.items())
-    return F.expr(let("folded", f"lower({text})", any_rule))
+    return let("folded", f"lower({text})", any_rule)
 
 
 def _rule_step(now: str, seq: int, rule: MaskRule) -> str:
@@ -188,11 +192,15 @@ def mask_text(text: str, enabled: Column) -> Column:
     before. A chain of columns would not do: a filter on the outcome is pushed through
     it and copies the whole chain twice per rule.
     """
-    state = f"named_struct('text', {text}, 'hits', cast(array() AS {_HITS_TYPE}))"
-    masked = state
+
+    def untouched(source: str) -> str:
+        return f"named_struct('text', {source}, 'hits', cast(array() AS {_HITS_TYPE}))"
+
+    masked = untouched("source")
     for seq, rule in enumerate(MASK_RULES):
         masked = _rule_step(masked, seq, rule)
-    return F.when(enabled & may_hold_secret(text), F.expr(masked)).otherwise(F.expr(state))
+    scanned = let("source", text, f"if({_may_hold_sql('source')}, {masked}, {untouched('source')})")
+    return F.when(enabled, F.expr(scanned)).otherwise(F.expr(untouched(text)))
 
 
 _MASK = re.compile(r"<REDACTED:[^>\n]*>")
@@ -255,6 +263,26 @@ def _mask_extra(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> It
         yield pd.DataFrame(rows, columns=["text", "hits"])
 
 
+def _with_masked(rows: DataFrame, text: str, enabled: Column, extra_patterns: Column | None) -> DataFrame:
+    """Adds ``_masked``, a struct of the finished text and its log."""
+
+    def finished(text: Column, hits: Column) -> Column:
+        log = F.transform(F.sort_array(hits), lambda h: F.struct(h["line"].alias("line"), h["rule"].alias("rule")))
+        return F.struct(text.alias("text"), log.cast(REDACTIONS_TYPE).alias("redactions"))
+
+    core = mask_text(text, enabled)
+    if extra_patterns is None:
+        return rows.withColumn("_masked", bind(core, lambda m: finished(m["text"], m["hits"])))
+    wanted = enabled & (F.size(extra_patterns) > 0)
+    sent = F.when(wanted, F.col("_core.text"))
+    out = rows.withColumn("_core", core).withColumn(
+        "_extra", _mask_extra(sent, extra_patterns, F.lit(len(MASK_RULES)))
+    )
+    hits = F.concat("_core.hits", F.coalesce(F.col("_extra.hits"), F.array().cast(_HITS_TYPE)))
+    masked = finished(F.coalesce("_extra.text", "_core.text"), hits)
+    return out.withColumn("_masked", masked).drop("_core", "_extra")
+
+
 def mask_secrets(
     rows: DataFrame,
     text: str = "content",
@@ -266,23 +294,13 @@ def mask_secrets(
 
     ``scan`` switches rows off. ``extra_patterns`` is an array of user patterns per
     row (or a literal); group 1 marks the masked part, without a group the whole match
-    goes. They see one line at a time, and only rows that have any are sent to Python.
+    goes. They see one line at a time, and only the text of rows that have any is sent
+    to Python.
     """
-    none = F.array().cast(_HITS_TYPE)
     enabled = F.lit(True) if scan is None else F.coalesce(scan, F.lit(False))
-    columns = rows.columns
-    out = rows.withColumn("_masked", mask_text(text, enabled))
-    masked_text, hits = F.col("_masked.text"), F.col("_masked.hits")
-    if extra_patterns is not None:
-        wanted = enabled & (F.size(extra_patterns) > 0)
-        out = out.withColumn(
-            "_extra", _mask_extra(F.when(wanted, masked_text), extra_patterns, F.lit(len(MASK_RULES)))
-        )
-        masked_text = F.coalesce(F.col("_extra.text"), masked_text)
-        hits = F.concat(hits, F.coalesce(F.col("_extra.hits"), none))
-    log = F.transform(F.sort_array(hits), lambda h: F.struct(h["line"].alias("line"), h["rule"].alias("rule")))
-    kept = [masked_text.alias(text) if c == text else F.col(f"`{c}`") for c in columns]
-    return out.select(*kept, log.cast(REDACTIONS_TYPE).alias("redactions"))
+    out = _with_masked(rows, text, enabled, extra_patterns)
+    kept = [F.col("_masked.text").alias(c) if c == text else F.col(f"`{c}`") for c in rows.columns]
+    return out.select(*kept, F.col("_masked.redactions"))
 
 
 def distinct_rules(redactions: Column) -> Column:
@@ -296,33 +314,47 @@ def redaction_rows(guarded: DataFrame, *keys: str) -> DataFrame:
 
 
 def guard(files: DataFrame, options: Column, *, user_patterns: bool = True) -> DataFrame:
-    """Guards files that passed the filters: adds ``redactions``, fills ``reason``,
-    ``detail`` and ``stage`` for those it holds back.
+    """Guards files that passed the filters: masks ``content``, adds ``redactions``, and
+    fills ``reason``, ``detail`` and ``stage`` for those it holds back.
 
-    Rows that already carry a reason are left alone. The deny list runs whatever the
-    options say. ``user_patterns=False`` states that no row has extra patterns, which
-    keeps the whole run out of Python.
+    Rows that already carry a reason keep it. Only rows without one leave with content.
+    The deny list runs whatever the options say. ``user_patterns=False`` states that no
+    row has extra patterns, which keeps the whole run out of Python.
+
+    A filter on the result is pushed below and repeats the masking; ``session.store``
+    the result first where both sides of such a split are needed.
     """
-    denied = F.when(F.col("reason").isNull(), denied_name(F.col("path")))
-    judged = files.withColumn("_denied", denied).withColumn("_options", options)
-    live = F.col("reason").isNull() & F.col("_denied").isNull()
-    masked = mask_secrets(
-        judged,
-        scan=live & F.col("_options.content_scanning"),
-        extra_patterns=F.col("_options.extra_patterns") if user_patterns else None,
-    )
-    dropped = (F.col("_options.mode") == "skipFile") & (F.size("redactions") > 0)
-    verdict = F.when(F.col("_denied").isNotNull(), F.lit(DENY_LIST)).when(dropped, F.lit(SECRET_CONTENT))
-    return (
-        masked.withColumn("_verdict", verdict)
-        .withColumns(
-            {
-                "detail": F.when(F.col("_denied").isNotNull(), F.col("_denied"))
-                .when(F.col("_verdict").isNotNull(), distinct_rules(F.col("redactions")))
-                .otherwise(F.col("detail")),
-                "stage": F.when(F.col("_verdict").isNotNull(), F.lit(STAGE_GUARD)).otherwise(F.col("stage")),
-                "reason": F.coalesce("reason", "_verdict"),
-            }
+    judged = files.withColumn("_options", options)
+    denied = denied_name(F.col("path"))
+    live = F.col("reason").isNull() & denied.isNull()
+    patterns = F.col("_options.extra_patterns") if user_patterns else None
+    masked = _with_masked(judged, "content", live & F.col("_options.content_scanning"), patterns)
+
+    def verdict(row: Column) -> Column:
+        log = row["masked"]["redactions"]
+        dropped = (row["mode"] == "skipFile") & (F.size(log) > 0)
+        open_, name = row["reason"].isNull(), row["denied"]
+        reason = (
+            F.when(~open_, row["reason"])
+            .when(name.isNotNull(), F.lit(DENY_LIST))
+            .when(dropped, F.lit(SECRET_CONTENT))
         )
-        .drop("_denied", "_options", "_verdict")
+        detail = F.when(~open_, row["detail"]).when(name.isNotNull(), name).when(dropped, distinct_rules(log))
+        stage = F.when(~open_, row["stage"]).when(name.isNotNull() | dropped, F.lit(STAGE_GUARD))
+        kept = open_ & name.isNull() & ~dropped
+        return F.struct(
+            reason.alias("reason"),
+            detail.alias("detail"),
+            stage.alias("stage"),
+            F.when(kept, row["masked"]["text"]).alias("content"),
+            F.when(kept, log).alias("redactions"),
+        )
+
+    row = F.struct(
+        "reason", "detail", "stage", denied.alias("denied"), F.col("_options.mode"), F.col("_masked").alias("masked")
+    )
+    filled = ("reason", "detail", "stage", "content")
+    others = [F.col(f"`{c}`") for c in files.columns if c not in filled]
+    return masked.withColumn("_guarded", bind(row, verdict)).select(
+        *others, *[F.col(f"_guarded.{c}") for c in (*filled, "redactions")]
     )

@@ -86,13 +86,7 @@ def guard_files(
     )
     with_patterns = settings.filter(F.size("guard_options.extra_patterns") > 0)
     guarded = guard(scrubbed, F.col("guard_options"), user_patterns=not with_patterns.isEmpty())
-    kept = F.col("reason").isNull()
-    return guarded.withColumns(
-        {
-            "content": F.when(kept, F.col("content")),
-            "redactions": F.when(kept, F.col("redactions")),
-        }
-    ).drop("rules", "guard_options", "workspace_regex", "home_regex")
+    return guarded.drop("rules", "guard_options", "workspace_regex", "home_regex")
 
 
 @dataclass(frozen=True)

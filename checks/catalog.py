@@ -85,6 +85,13 @@ def _guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard_files(V.files(spark, sf_dir), _settings(spark, sf_dir))
 
 
+def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts and logs of all files without their contents, written once so that the
+    filters on them do not repeat the masking."""
+    narrow = _guarded(spark, sf_dir).select(*KEY, "path", "stage", "reason", "detail", "redactions")
+    return store(narrow, "audit")
+
+
 def _from_files(select: str) -> str:
     return O.with_(V.CTE["files"], select=f"SELECT workspace, ordinal, {select} FROM files")
 
@@ -285,7 +292,7 @@ def collect_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def skips_by_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
-    skipped = _guarded(spark, sf_dir).filter(F.col("reason").isNotNull())
+    skipped = _audit(spark, sf_dir).filter(F.col("reason").isNotNull())
     return skipped.groupBy("workspace", "stage", "reason").agg(F.count(F.lit(1)).alias("files"))
 
 
@@ -434,7 +441,7 @@ def selection_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def guard_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = F.col("reason").isNull()
     line = F.when(kept, masked_line(path(), F.col("redactions"))).otherwise(skipped_line(path(), F.col("reason"), F.col("detail")))
-    rows = _guarded(spark, sf_dir).filter(~kept | (F.size("redactions") > 0))
+    rows = _audit(spark, sf_dir).filter(~kept | (F.size("redactions") > 0))
     return rows.select(
         *KEY, F.when(kept, -1).otherwise(F.col("stage")).alias("stage"), F.rtrim(line, F.lit("\n")).alias("line")
     )
@@ -526,7 +533,7 @@ def delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def pack_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rendered = render_files(_guarded(spark, sf_dir)).filter(F.col("reason").isNull())
+    rendered = render_files(store(_guarded(spark, sf_dir), "guarded")).filter(F.col("reason").isNull())
     return rendered.select(*KEY, "language_tag", "token_estimate", "section")
 
 
