@@ -38,3 +38,14 @@ def store(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def spread_small(df: DataFrame, *keys: str) -> DataFrame:
+    """Spreads a freshly read table over all slots when it has fewer partitions.
+
+    A table of one row group is read by one task, which then does all row-local work
+    alone. Large tables have more partitions than slots and stay as they are. Meant for
+    a plain read: asking a query with shuffles for its partitions would run them.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots, *keys) if df.rdd.getNumPartitions() < slots else df

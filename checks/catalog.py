@@ -73,7 +73,7 @@ def _settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _with(spark: SparkSession, sf_dir: str, *columns: Column | str) -> DataFrame:
     """Files with columns of their workspace's settings."""
     return join_dimension(
-        V.files(spark, sf_dir),
+        V.files(spark, sf_dir, spread=True),
         _settings(spark, sf_dir).select("workspace", *columns),
         ["workspace"],
         spread_by=["path"],
@@ -82,7 +82,7 @@ def _with(spark: SparkSession, sf_dir: str, *columns: Column | str) -> DataFrame
 
 
 def _guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return guard_files(V.files(spark, sf_dir), _settings(spark, sf_dir))
+    return guard_files(V.files(spark, sf_dir, spread=True), _settings(spark, sf_dir))
 
 
 def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,7 +331,7 @@ _MASKED = (V.CTE["files"], V.CTE["page_files"], _ALL_TEXTS, O.mask_chain("masked
 
 
 def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mask_secrets(V.files(spark, sf_dir).unionByName(V.pages(spark, sf_dir)))
+    return mask_secrets(V.files(spark, sf_dir, spread=True).unionByName(V.pages(spark, sf_dir, spread=True)))
 
 
 @query(O.with_(*_MASKED, select="SELECT workspace, ordinal, text AS content, CAST(len(hits) AS INT) AS values_masked FROM masked"))
@@ -363,11 +363,12 @@ def redaction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def drop_on_secret(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = V.files(spark, sf_dir).unionByName(V.pages(spark, sf_dir))
+    both = V.files(spark, sf_dir, spread=True).unionByName(V.pages(spark, sf_dir, spread=True))
     none = F.lit(None).cast("string")
     rows = both.withColumns({"stage": F.lit(None).cast("int"), "reason": none, "detail": none})
     judged = guard(rows, guard_options(literal_settings(guard_mode="skipFile")), user_patterns=False)
-    return judged.select(*KEY, "path", "reason", "detail").filter(F.col("reason").isNotNull())
+    verdicts = store(judged.select(*KEY, "path", "reason", "detail"), "verdicts")
+    return verdicts.filter(F.col("reason").isNotNull())
 
 
 @query(
@@ -386,7 +387,7 @@ def drop_on_secret(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def extra_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     patterns = F.array(F.lit(r"Projects/(app)"), F.lit(r"astral [^ ]*"))
-    masked = mask_secrets(V.files(spark, sf_dir), extra_patterns=patterns)
+    masked = mask_secrets(V.files(spark, sf_dir, spread=True), extra_patterns=patterns)
     log = F.transform("redactions", lambda r: F.concat_ws(" ", r["line"].cast("string"), r["rule"]))
     return masked.select(*KEY, "content", F.array_join(log, ",").alias("log"))
 
@@ -396,7 +397,7 @@ def extra_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = _settings(spark, sf_dir)
-    guarded = guard_files(V.files(spark, sf_dir), settings)
+    guarded = guard_files(V.files(spark, sf_dir, spread=True), settings)
     return totals_for(render_files(guarded), settings)
 
 
@@ -449,7 +450,7 @@ def guard_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(O.with_(*O.WORKSPACE_PACKS, select="SELECT workspace, markdown FROM decided_packs"))
 def pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = pack(V.files(spark, sf_dir), V.workspaces(spark, sf_dir))
+    tables = pack(V.files(spark, sf_dir, spread=True), V.workspaces(spark, sf_dir))
     return tables.documents.select("workspace", F.col("text").alias("markdown"))
 
 

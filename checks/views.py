@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bindery.session import spread_small
+
 NL = "chr(10)"
 BS = "chr(92)"
 TICK = "chr(96)"
@@ -140,16 +142,20 @@ def _with_size(df: DataFrame) -> DataFrame:
     return df.selectExpr("*", "cast(octet_length(content) AS bigint) AS size_bytes")
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_size(table(spark, sf_dir, "documents").selectExpr(*expressions(FILES)))
+def files(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """``spread`` asks for all slots, for queries that work hard on the contents."""
+    documents = table(spark, sf_dir, "documents")
+    documents = spread_small(documents, "doc_id") if spread else documents
+    return _with_size(documents.selectExpr(*expressions(FILES)))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_size(table(spark, sf_dir, "conversations").selectExpr(*expressions(TURNS)))
 
 
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_size(table(spark, sf_dir, "pages").selectExpr(*expressions(PAGES)))
+def pages(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    found = table(spark, sf_dir, "pages")
+    return _with_size((spread_small(found, "page_id") if spread else found).selectExpr(*expressions(PAGES)))
 
 
 def workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
