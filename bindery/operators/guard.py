@@ -309,8 +309,12 @@ def distinct_rules(redactions: Column) -> Column:
 
 
 def redaction_rows(guarded: DataFrame, *keys: str) -> DataFrame:
-    """The audit table: one row per masked value."""
-    return guarded.select(*keys, F.explode("redactions").alias("r")).select(*keys, "r.line", "r.rule")
+    """The audit table: one row per masked value.
+
+    An inner explode would put a filter on the log below the masking and run it twice.
+    """
+    rows = guarded.select(*keys, F.explode_outer("redactions").alias("r")).filter(F.col("r").isNotNull())
+    return rows.select(*keys, "r.line", "r.rule")
 
 
 def guard(files: DataFrame, options: Column, *, user_patterns: bool = True) -> DataFrame:
