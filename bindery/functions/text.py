@@ -68,7 +68,10 @@ def trim_blanks(text: Column) -> Column:
 
 def collapse_blank_runs(text: Column) -> Column:
     """Two or more blank lines in a row become one."""
-    return F.when(F.contains(text, F.lit("\n\n\n")), F.regexp_replace(text, r"\n{3,}", "\n\n")).otherwise(text)
+    return bind(
+        text,
+        lambda t: F.when(F.contains(t, F.lit("\n\n\n")), F.regexp_replace(t, r"\n{3,}", "\n\n")).otherwise(t),
+    )
 
 
 def fence_for(content: Column) -> Column:

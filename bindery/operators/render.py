@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bindery.functions.bind import quoted
+from bindery.functions.bind import bind, quoted
 from bindery.functions.languages import language_tag
 from bindery.functions.paths import posix_path
 from bindery.functions.text import (
@@ -77,19 +77,10 @@ def list_line(path: Column) -> Column:
 
 def section(path: Column, content: Column) -> Column:
     """Heading and fenced body of one file; the body loses one final line break."""
-    fence = fence_for(content)
-    return F.concat(
-        F.lit("\n## "),
-        posix_path(path),
-        F.lit("\n\n"),
-        fence,
-        language_tag(path),
-        F.lit("\n"),
-        F.regexp_replace(content, r"\n\z", ""),
-        F.lit("\n"),
-        fence,
-        F.lit("\n"),
-    )
+    body = F.regexp_replace(content, r"\n\z", "")
+    opening = F.concat(language_tag(path), F.lit("\n"), body, F.lit("\n"))
+    fenced = bind(fence_for(content), lambda fence: F.concat(fence, opening, fence, F.lit("\n")))
+    return F.concat(F.lit("\n## "), posix_path(path), F.lit("\n\n"), fenced)
 
 
 def masked_line(path: Column, redactions: Column) -> Column:
@@ -146,6 +137,7 @@ def render_files(
         F.coalesce("stage", F.lit(0)).alias("stage"),
         "reason",
         "detail",
+        "redactions",
         F.when(kept, F.size("redactions")).otherwise(0).alias("redaction_count"),
         F.when(masked, masked_lines(F.col("redactions"))).otherwise(0).alias("masked_lines"),
         F.when(kept, language_tag(F.col("path"))).alias("language_tag"),
@@ -235,18 +227,18 @@ def _skip_head() -> Column:
 def pack_totals(rendered: DataFrame, workspaces: DataFrame, *, collapse: bool = True) -> DataFrame:
     """One row per workspace: counts, total tokens and the blocks that occur once.
 
-    ``workspaces`` holds ``workspace, task, output_language, include_overview``; a
-    workspace without files gets a pack with none. ``total_tokens`` covers the whole
+    ``workspaces`` holds ``workspace, task, output_language, include_overview`` and any
+    columns to carry along; a workspace without files gets a pack with none. ``total_tokens`` covers the whole
     document except the digits of the figure itself.
     """
 
     counts = pack_counts(rendered)
     numbers = [c for c in counts.columns if c != "workspace"]
-    joined = workspaces.select(
-        "workspace",
-        trim_blanks(F.coalesce("task", F.lit(""))).alias("task"),
-        "output_language",
-        F.coalesce("include_overview", F.lit(True)).alias("include_overview"),
+    joined = workspaces.withColumns(
+        {
+            "task": trim_blanks(F.coalesce("task", F.lit(""))),
+            "include_overview": F.coalesce("include_overview", F.lit(True)),
+        }
     ).join(counts, "workspace", "left")
     filled = joined.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in numbers})
     lead = F.regexp_replace(_lead(), r"\n{3,}", "\n\n") if collapse else _lead()

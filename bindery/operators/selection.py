@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bindery.functions.paths import ancestors, normalise
-from bindery.operators.joins import BROADCAST_BYTES, join_dimension, measured_bytes
+from bindery.operators.joins import BROADCAST_BYTES, join_dimension
 
+# Longest selection of one workspace that is looked up as a map.
+MAP_ENTRIES = 64
 PRIORITY_LIST, PRIORITY_SINGLE, PRIORITY_DEFAULT = range(3)
 
 
@@ -21,6 +23,16 @@ def covering_prefixes(path: Column) -> Column:
     return F.concat(F.array(F.lit("")), ancestors(clean), F.array(clean))
 
 
+def _fits_maps(picked: DataFrame, broadcast_bytes: int) -> bool:
+    """Whether the selection is small in all and per workspace; maps are searched entry
+    by entry, so a long one would cost every file of its workspace."""
+    per_workspace = picked.groupBy("workspace").agg(
+        F.count(F.lit(1)).alias("entries"), F.sum(F.octet_length("prefix") + 16).alias("bytes")
+    )
+    row = per_workspace.agg(F.max("entries").alias("entries"), F.sum("bytes").alias("bytes")).first()
+    return (row["entries"] or 0) <= MAP_ENTRIES and (row["bytes"] or 0) <= broadcast_bytes
+
+
 def select_files(
     files: DataFrame, selection: DataFrame, *, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
@@ -36,7 +48,7 @@ def select_files(
     picked = picked.groupBy("workspace", _prefix(F.col("prefix")).alias("prefix")).agg(
         F.min("ordinal").cast("bigint").alias("selection_rank")
     )
-    if measured_bytes(picked) <= broadcast_bytes:
+    if _fits_maps(picked, broadcast_bytes):
         maps = picked.groupBy("workspace").agg(
             F.map_from_entries(F.collect_list(F.struct("prefix", "selection_rank"))).alias("_picked")
         )

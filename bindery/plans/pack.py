@@ -24,7 +24,8 @@ def workspace_settings(workspaces: DataFrame, files: DataFrame | None = None) ->
 
     ``workspaces`` holds ``workspace`` and any of ``settings_json``, ``workspace_root``,
     ``home_dir``, ``task``, ``ignore_text``. Without ``ignore_text`` the ignore file is
-    looked up in ``files``, a read of one path per workspace.
+    looked up in ``files``. That lookup filters on the path; unless the table is sorted by
+    path it reads the contents once more, so give ``ignore_text`` for large tables.
     """
     optional = ("settings_json", "workspace_root", "home_dir", "task", "ignore_text")
     own = workspaces.select(
@@ -114,8 +115,7 @@ def _report_settings(settings: DataFrame) -> DataFrame:
 def totals_for(rendered: DataFrame, settings: DataFrame) -> DataFrame:
     """Pack totals with the review decision; workspaces with nothing left have no pack."""
     report = _report_settings(settings)
-    totals = pack_totals(rendered, report).filter(F.col("file_count") > 0)
-    return summarise(decide(totals.join(report.select("workspace", "token_warning_threshold", "review_policy"), "workspace")))
+    return summarise(decide(pack_totals(rendered, report).filter(F.col("file_count") > 0)))
 
 
 def pack(
@@ -126,12 +126,11 @@ def pack(
     max_document_bytes: int = MAX_DOCUMENT_BYTES,
     folder: str | None = None,
 ) -> PackTables:
-    """The whole run. Settings, guarded files, rendered pieces and totals are written once
-    to the shared folder (or ``folder``), and every table is derived from there, so contents
-    are filtered, scrubbed and masked a single time."""
+    """The whole run. Settings, rendered files and totals are written once to the shared
+    folder (or ``folder``), and every table is derived from there, so contents are read,
+    filtered, scrubbed and masked a single time."""
     settings = store(workspace_settings(workspaces, files), "settings", folder)
     guarded = guard_files(files, settings, report_path_skips=report_path_skips)
-    guarded = store(guarded, "guarded", folder)
     rendered = store(render_files(guarded), "rendered", folder)
     totals = store(totals_for(rendered, settings), "totals", folder)
     kept = rendered.filter(F.col("reason").isNull())
@@ -140,7 +139,7 @@ def pack(
         documents=documents(rendered, totals, max_document_bytes=max_document_bytes),
         sections=kept.select("workspace", "ordinal", "path", "language_tag", "token_estimate", "section"),
         skipped=rendered.filter(F.col("reason").isNotNull()).select("workspace", "ordinal", "path", "stage", "reason", "detail"),
-        redactions=redaction_rows(guarded.filter(F.col("reason").isNull()), "workspace", "path"),
+        redactions=redaction_rows(kept, "workspace", "path"),
     )
 
 

@@ -26,6 +26,7 @@ from bindery.session import store
 
 ENTRY_TYPE = "workspace string, root string, path string, is_dir boolean, size_bytes bigint"
 IGNORE_FILE = ".gitignore"
+ENTRIES_PER_BATCH = 10_000
 
 
 def _entry(workspace: str, root: str, path: str) -> tuple | None:
@@ -54,8 +55,10 @@ def _list_children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for workspace, root, path in zip(batch["workspace"], batch["root"], batch["path"]):
             names = os.listdir(os.path.join(root, path))
-            found = [_entry(workspace, root, f"{path}/{name}" if path else name) for name in names]
-            yield _frame([row for row in found if row])
+            for at in range(0, len(names), ENTRIES_PER_BATCH):
+                batch_names = names[at : at + ENTRIES_PER_BATCH]
+                found = [_entry(workspace, root, f"{path}/{name}" if path else name) for name in batch_names]
+                yield _frame([row for row in found if row])
 
 
 def _read_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
