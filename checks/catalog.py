@@ -56,11 +56,14 @@ def content() -> Column:
 
 KEY = ("workspace", "ordinal")
 
-def query(oracle: str | None = None) -> Callable[[Query], Query]:
+def query(oracle: str | None = None, *, name: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query and its SQL, under ``name`` where an operator has that name too."""
+
     def register(function: Query) -> Query:
-        QUERIES[function.__name__] = function
+        key = name or function.__name__
+        QUERIES[key] = function
         if oracle is not None:
-            ORACLES[function.__name__] = oracle
+            ORACLES[key] = oracle
         return function
 
     return register
@@ -190,6 +193,13 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(_from_files("content || '�' || chr(10) AS content"))
+def decoded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents as bytes behind a byte-order mark and before a bad byte, decoded again."""
+    raw = F.expr("concat(unhex('EFBBBF'), encode(content, 'UTF-8'), unhex('FF0A'))")
+    return V.files(spark, sf_dir).select(*KEY, X.decode_text(raw).alias("content"))
+
+
 # --- filters -----------------------------------------------------------------------
 
 _GLOBS = ["node_modules", "D?ST", "logs/", "*.tar.*", "x/y", "f1*.MD"]
@@ -264,6 +274,30 @@ def ignore_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*KEY, "path", verdict.alias("ignored"))
 
 
+@query(
+    O.with_(
+        V.CTE["workspaces"],
+        O.parsed_rules("rules", "workspaces", "workspace"),
+        O.resolved("workspaces", "workspace", "settings"),
+        select="""SELECT workspace, count(pos) FILTER (respect_gitignore) AS rules,
+    count(pos) FILTER (respect_gitignore AND negated) AS negated FROM settings LEFT JOIN rules USING (workspace) GROUP BY ALL""",
+    )
+)
+def ignore_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules taken from the ignore file that lies among the files of each workspace."""
+    spaces = V.workspaces(spark, sf_dir)
+    own = spaces.filter("ignore_text != ''").selectExpr(
+        "workspace", "cast(0 AS bigint) AS ordinal", "'.gitignore' AS path", "ignore_text AS content", "cast(0 AS bigint) AS size_bytes"
+    )
+    found = workspace_settings(spaces.drop("ignore_text"), V.files(spark, sf_dir).unionByName(own))
+    rules = F.col("rules.rules")
+    return found.select(
+        "workspace",
+        F.size(rules).cast("bigint").alias("rules"),
+        F.size(F.filter(rules, lambda r: r["negated"])).cast("bigint").alias("negated"),
+    )
+
+
 _COLLECTED = (*O.FULL[:5],)
 
 
@@ -272,7 +306,8 @@ _COLLECTED = (*O.FULL[:5],)
         *_COLLECTED,
         select=f"""SELECT workspace, ordinal, path, early AS reason,
     CASE WHEN early = 'too-large' THEN {O.size_label('size_bytes')} END AS detail FROM reasoned WHERE early IS NOT NULL""",
-    )
+    ),
+    name="collect_files",
 )
 def collect_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, skipped = collect_files(_with(spark, sf_dir, "rules"), F.col("rules"))
@@ -415,18 +450,25 @@ def pack_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _totals(spark, sf_dir).select("workspace", *_TOTALS.split(", "))
 
 
+_PICKED = f"picked AS (SELECT workspace, ordinal, rtrim({O.normalised('prefix')}, '/') AS prefix FROM selection)"
+_COVERS = f"""p.workspace = f.workspace AND
+    ({O.normalised('f.path')} = p.prefix OR starts_with({O.normalised('f.path')}, p.prefix || '/'))"""
+
+
 @query(
     O.with_(
         V.CTE["files"],
         V.CTE["selection"],
-        select=f"SELECT workspace, count(*) AS files, CAST(sum({O.tokens('content')}) AS BIGINT) AS tokens FROM files GROUP BY ALL",
+        _PICKED,
+        select=f"""SELECT workspace, count(*) AS files, CAST(sum({O.tokens('content')}) AS BIGINT) AS tokens FROM files f
+    WHERE EXISTS (SELECT 1 FROM picked p WHERE {_COVERS}) GROUP BY ALL""",
     )
 )
 def selection_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        V.files(spark, sf_dir)
-        .groupBy("workspace")
-        .agg(F.count(F.lit(1)).alias("files"), F.sum(X.estimate_tokens(content())).alias("tokens"))
+    """Raw size of what was picked, before any filter."""
+    picked = select_files(V.files(spark, sf_dir), V.selection(spark, sf_dir))
+    return picked.groupBy("workspace").agg(
+        F.count(F.lit(1)).alias("files"), F.sum(X.estimate_tokens(content())).alias("tokens")
     )
 
 
@@ -519,7 +561,8 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         _GATED,
         select=f"""SELECT workspace, CASE WHEN released THEN 'delivered' ELSE 'cancelled' END AS outcome,
     CASE WHEN released THEN file_count || ' file(s), about ' || {O.grouped('total_tokens')} || ' tokens' END AS detail FROM gated""",
-    )
+    ),
+    name="deliver",
 )
 def delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivery_outcomes(*gate(_totals(spark, sf_dir), V.approvals(spark, sf_dir)))
@@ -549,7 +592,8 @@ def pack_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
         select=f"""SELECT f.workspace, f.ordinal, f.path, min(p.ordinal) AS selection_rank FROM files f JOIN picked p
     ON p.workspace = f.workspace AND ({O.normalised('f.path')} = p.prefix OR starts_with({O.normalised('f.path')}, p.prefix || '/'))
     GROUP BY ALL""",
-    )
+    ),
+    name="select_files",
 )
 def selected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select_files(V.files(spark, sf_dir), V.selection(spark, sf_dir)).select(*KEY, "path", "selection_rank")
@@ -575,7 +619,8 @@ _MERGE = (
         *_MERGE,
         select="""SELECT workspace, path, false AS is_default FROM explicit UNION ALL SELECT workspace, path, true FROM chosen c
     WHERE NOT EXISTS (SELECT 1 FROM explicit e WHERE e.workspace = c.workspace AND e.path = c.path)""",
-    )
+    ),
+    name="merge_selection",
 )
 def merged_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_selection(_explicit(spark, sf_dir), _default(spark, sf_dir))
@@ -590,7 +635,8 @@ _PRIORITY = "CASE WHEN size_bytes > 20000 THEN 0 WHEN size_bytes > 9000 THEN 1 E
         f"candidates AS (SELECT workspace, path, {_PRIORITY} AS priority FROM files)",
         select="""SELECT workspace, path, priority FROM candidates c
     WHERE priority = (SELECT min(priority) FROM candidates d WHERE d.workspace = c.workspace)""",
-    )
+    ),
+    name="selection_fallback",
 )
 def fallback_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection_fallback(V.files(spark, sf_dir).selectExpr("workspace", "path", f"{_PRIORITY} AS priority"))
@@ -620,7 +666,8 @@ _SCALARS = (
         select=f"""SELECT doc_id, {', '.join(_SCALARS)}, {', '.join(f"array_to_string({c}, '|') AS {c}" for c in _LISTS)},
     CASE WHEN len(problems) = 1 THEN problems[1] WHEN len(problems) > 1 THEN
       len(problems) || ' settings were ignored: ' || array_to_string(problems, '; ') END AS report FROM resolved""",
-    )
+    ),
+    name="resolve_settings",
 )
 def resolved_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     resolved = V.raw_settings(spark, sf_dir).select("doc_id", resolve_settings("settings_json").alias("r"))
