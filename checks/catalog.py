@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindery import (
-    decide,
     delivery_outcomes,
     gate,
     guard_files,
@@ -31,10 +30,10 @@ from bindery.operators.filters import (
     path_skip_reason,
     wanted_extensions,
 )
-from bindery.operators.guard import denied_name, distinct_rules, guard, redaction_rows
+from bindery.operators.guard import denied_name, guard, redaction_rows
 from bindery.operators.ignore import is_ignored, matches, matches_segment, parse_rules, segment_regex
 from bindery.operators.joins import join_dimension
-from bindery.operators.render import masked_line, pack_counts, render_files, section, skipped_line
+from bindery.operators.render import masked_line, render_files, section, skipped_line
 from bindery.operators.settings import compiled_rules, guard_options, literal_settings, problem_report
 from bindery.plans.pack import totals_for
 from bindery.session import store
