@@ -27,19 +27,31 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
-def store(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+def fresh_path(spark: SparkSession, name: str, folder: str | None = None) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{(folder or shared_dir(spark)).rstrip('/')}/bindery-{name}-{uuid.uuid4().hex}"
+
+
+def store(df: DataFrame, name: str, folder: str | None = None, *, path: str | None = None, compression: str = "snappy") -> DataFrame:
     """Writes a table to the shared folder and reads it back.
 
     Cuts the lineage, so a lost executor costs a re-read instead of a re-run, and
-    keeps column pruning for the jobs that follow, which a checkpoint would not.
+    keeps column pruning for the jobs that follow, which a checkpoint would not. A
+    caller that wants to ``discard`` the table names its ``path``.
     """
     spark = df.sparkSession
-    path = f"{(folder or shared_dir(spark)).rstrip('/')}/bindery-{name}-{uuid.uuid4().hex}"
+    path = path or fresh_path(spark, name, folder)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes what ``store`` wrote; a path that is not there is no error."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def spread_small(df: DataFrame, *keys: str) -> DataFrame:
     """Spreads a freshly read table over all slots when it has fewer partitions.
 
