@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from bindery.llm.encoding import op7_bpe_round_trip
 from bindery.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from bindery.llm.idfile import op9_id_files
 from bindery.llm.packing import op8_packing
 
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_packing": op8_packing,
+    "op9_id_files": op9_id_files,
 }
 
 ORACLES = {
