@@ -6,12 +6,14 @@ from bindery.llm.encoding import op7_bpe_round_trip
 from bindery.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from bindery.llm.idfile import op9_id_files
 from bindery.llm.packing import op8_packing
+from bindery.llm.simhash import op10_simhash
 
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_packing": op8_packing,
     "op9_id_files": op9_id_files,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES = {
