@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bindery.operators.joins import BROADCAST_BYTES, measured_bytes
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HEAVY_SHARES = 1024
 
@@ -48,3 +50,12 @@ def attach(facts: DataFrame, classes: DataFrame, keys: list[str], values: list[s
     on = [F.coalesce(first["_deal"], F.lit(0).cast("bigint")) == light["_l_deal"]]
     both = first.join(light, on + [first[f"_k_{k}"] == light[f"_l_{k}"] for k in keys], "left")
     return both.select(*[F.col(c) for c in facts.columns], *[F.coalesce(F.col(f"_h_{v}"), F.col(f"_l_{v}")).alias(v) for v in values])
+
+
+def join_small(facts: DataFrame, rows: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Joins rows that are mostly few, one per key, to wide facts.
+
+    They are broadcast up to ``BROADCAST_BYTES`` of measured size, so the facts stay where
+    they are; beyond that both sides are shuffled on the keys, which no two rows share.
+    """
+    return facts.join(F.broadcast(rows) if measured_bytes(rows) <= BROADCAST_BYTES else rows, keys, how)

@@ -7,9 +7,11 @@ from bindery.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from bindery.llm.idfile import op9_id_files
 from bindery.llm.packing import op8_packing
 from bindery.llm.simhash import op10_simhash
+from bindery.llm.substring_dedup import op6_substring_dedup
 
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_packing": op8_packing,
     "op9_id_files": op9_id_files,
