@@ -8,8 +8,10 @@ from bindery.llm.idfile import op9_id_files
 from bindery.llm.packing import op8_packing
 from bindery.llm.simhash import op10_simhash
 from bindery.llm.substring_dedup import op6_substring_dedup
+from bindery.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_bpe_round_trip": op7_bpe_round_trip,

@@ -14,8 +14,10 @@ import numpy as np
 GROUP_BYTES = 1 << 20
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+BLANKS = np.zeros(256, bool)
+BLANKS[[0x20, *range(0x09, 0x0E)]] = True
+# Everything in ASCII but letters and digits also ends a word.
+PUNCTUATION = BLANKS | np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -48,41 +50,41 @@ def spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uin
     return (total[ends] - total[starts]) * down[starts]
 
 
-def word_edges(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_edges(raw: np.ndarray, blanks: np.ndarray = BLANKS) -> tuple[np.ndarray, np.ndarray]:
     inside = np.zeros(len(raw) + 2, np.int8)
-    inside[1:-1] = ~_BLANK[raw]
+    inside[1:-1] = ~blanks[raw]
     edges = np.flatnonzero(np.diff(inside))
     return edges[::2], edges[1::2]
 
 
-def _hash_bytes(raw: np.ndarray, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+def _hash_bytes(raw: np.ndarray, base: np.uint64, blanks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and starts of the words of up to a group's bytes."""
-    starts, ends = word_edges(raw)
+    starts, ends = word_edges(raw, blanks)
     if not len(starts):
         return np.empty(0, np.uint64), starts
     found = spans(raw.astype(np.uint64) + np.uint64(1), starts, ends, base)
     return stir(found + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts
 
 
-def hash_text(text: bytes, base: np.uint64 = BASES[0]) -> np.ndarray:
+def hash_text(text: bytes, base: np.uint64 = BASES[0], blanks: np.ndarray = BLANKS) -> np.ndarray:
     """The hashes of all words of one text of any length."""
     if len(text) <= 2 * GROUP_BYTES:
-        return _hash_bytes(np.frombuffer(text, np.uint8), base)[0]
+        return _hash_bytes(np.frombuffer(text, np.uint8), base, blanks)[0]
     raw, out, at = np.frombuffer(text, np.uint8), [], 0
     while at < len(raw):
         end = at + GROUP_BYTES
         while end < len(raw):
-            blanks = np.flatnonzero(_BLANK[raw[end : end + GROUP_BYTES]])
-            if len(blanks):
-                end += int(blanks[0])
+            found = np.flatnonzero(blanks[raw[end : end + GROUP_BYTES]])
+            if len(found):
+                end += int(found[0])
                 break
             end += GROUP_BYTES
-        out.append(_hash_bytes(raw[at:end], base)[0])
+        out.append(_hash_bytes(raw[at:end], base, blanks)[0])
         at = end
     return np.concatenate(out)
 
 
-def hash_groups(texts: list[bytes | None], base: np.uint64 = BASES[0]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def hash_groups(texts: list[bytes | None], base: np.uint64 = BASES[0], blanks: np.ndarray = BLANKS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For groups of texts: number of the first, hashes of all their words, word offsets of each text.
 
     The offsets have one entry more than the group has texts; null counts as empty.
@@ -92,10 +94,10 @@ def hash_groups(texts: list[bytes | None], base: np.uint64 = BASES[0]) -> Iterat
         text = text or b""
         if held and (n == len(texts) or size + len(text) > GROUP_BYTES):
             if len(held) == 1:
-                found = hash_text(held[0], base)
+                found = hash_text(held[0], base, blanks)
                 yield first, found, np.array([0, len(found)])
             else:
-                found, starts = _hash_bytes(np.frombuffer(b" ".join(held), np.uint8), base)
+                found, starts = _hash_bytes(np.frombuffer(b" ".join(held), np.uint8), base, blanks)
                 begins = np.cumsum([0, *[len(t) + 1 for t in held]])
                 yield first, found, np.searchsorted(starts, begins)
             first, held, size = n, [], 0
