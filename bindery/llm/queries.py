@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bindery.llm.encoding import op7_bpe_round_trip
 from bindery.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from bindery.llm.html_extract import op3_html_extract
 from bindery.llm.idfile import op9_id_files
 from bindery.llm.packing import op8_packing
 from bindery.llm.simhash import op10_simhash
@@ -12,6 +13,7 @@ from bindery.llm.toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op3_html_extract": op3_html_extract,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_bpe_round_trip": op7_bpe_round_trip,
