@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bindery.llm.ann import op5_nearest
 from bindery.llm.encoding import op7_bpe_round_trip
 from bindery.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from bindery.llm.html_extract import op3_html_extract
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_html_extract": op3_html_extract,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_nearest": op5_nearest,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_packing": op8_packing,
