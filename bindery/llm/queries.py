@@ -7,6 +7,7 @@ from bindery.llm.encoding import op7_bpe_round_trip
 from bindery.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from bindery.llm.html_extract import op3_html_extract
 from bindery.llm.idfile import op9_id_files
+from bindery.llm.lm_score import op2_lm_score
 from bindery.llm.packing import op8_packing
 from bindery.llm.simhash import op10_simhash
 from bindery.llm.substring_dedup import op6_substring_dedup
@@ -14,6 +15,7 @@ from bindery.llm.toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_lm_score": op2_lm_score,
     "op3_html_extract": op3_html_extract,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_nearest": op5_nearest,
