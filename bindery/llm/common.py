@@ -59,3 +59,11 @@ def join_small(facts: DataFrame, rows: DataFrame, keys: list[str], how: str) ->
     they are; beyond that both sides are shuffled on the keys, which no two rows share.
     """
     return facts.join(F.broadcast(rows) if measured_bytes(rows) <= BROADCAST_BYTES else rows, keys, how)
+
+
+def leave_out(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """The rows whose id is not in ``gone`` (one column), all columns as given; a null id can be in it."""
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{id_col}`"].alias("id"))
+    gone = gone.toDF("gone").distinct()
+    gone = F.broadcast(gone) if measured_bytes(gone) <= BROADCAST_BYTES else gone
+    return rows.join(gone, rows["id"].eqNullSafe(gone["gone"]), "left_anti").select("row.*")

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bindery.llm.common import attach, lower_ascii, pick
+from bindery.llm.common import attach, leave_out, lower_ascii, pick
 from bindery.session import store
 
 MAX_DEPTH = 14
@@ -94,8 +94,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents of which no equal one with a larger id exists, all columns as given."""
-    groups = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(groups, docs[f"`{id_col}`"].eqNullSafe(groups["_gone"]), "left_anti")
+    groups = exact_groups(docs, id_col, text_col)
+    return leave_out(docs, id_col, store(groups.where(~F.col("kept")).select("doc_id"), "copies"))
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from bindery.llm.idfile import op9_id_files
 from bindery.llm.lm_score import op2_lm_score
 from bindery.llm.packing import op8_packing
 from bindery.llm.simhash import op10_simhash
-from bindery.llm.substring_dedup import op6_substring_dedup
+from bindery.llm.substring_dedup import OP6_SQL, op6_substring_dedup
 from bindery.llm.toxicity import op1_toxicity
 
 QUERIES = {
@@ -28,4 +28,5 @@ QUERIES = {
 
 ORACLES = {
     "op4_exact_dedup": OP4_SQL,
+    "op6_substring_dedup": OP6_SQL,
 }

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bindery.llm.common import attach, pick
+from bindery.llm.common import attach, leave_out, pick
 from bindery.llm.components import components
 from bindery.session import store
 
@@ -244,8 +244,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE_WORDS, bits: int = MOST_BITS) -> DataFrame:
     """One document of each component, the one with the smallest id, all columns as given."""
     groups = near_duplicates(docs, id_col, text_col, shingle=shingle, bits=bits)
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[f"`{id_col}`"].eqNullSafe(gone["_gone"]), "left_anti")
+    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+    return leave_out(docs, id_col, store(gone, "near-copies"))
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

@@ -32,6 +32,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
@@ -200,22 +201,44 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts that lose nothing stay as they are, white space included.
     """
-    spans_ = store(repeated_spans(docs, id_col, text_col), "spans").select(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_row"), "spans")
-    columns = docs.columns
-    held = docs.withColumns({"_doc": F.col(f"`{id_col}`"), "_row": F.xxhash64(F.col(f"`{text_col}`").cast("string"))})
-    joined = join_small(held, spans_.withColumnRenamed("spans", "_spans"), ["_doc", "_row"], "left")
+    spans_ = store(repeated_spans(docs, id_col, text_col), "spans")
+    names = docs.columns
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    keyed = docs.select(row, F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("row_key"))
+    joined = join_small(keyed, spans_, ["doc_id", "row_key"], "left")
 
     @F.pandas_udf("string")
-    def cut(texts, runs):
-        import pandas as pd
-
-        return pd.Series([kept_words(t.encode(), list(r))[0].decode() for t, r in zip(texts, runs)])
-
-    short = joined.where("_spans IS NOT NULL").withColumn(text_col, cut(F.col(f"`{text_col}`"), F.col("_spans")))
-    if chars_col and chars_col in columns:
-        short = short.withColumn(chars_col, F.length(F.col(f"`{text_col}`")).cast(docs.schema[chars_col].dataType))
-    kept = [F.col(f"`{c}`") for c in columns]
-    return joined.where("_spans IS NULL").select(*kept).union(short.select(*kept))
+    def cut(texts: pd.Series, runs: pd.Series) -> pd.Series:
+        return pd.Series([kept_words(t.encode(), list(r))[0].decode() for t, r in zip(texts, runs)], dtype=object)
+
+    shorter = joined.where("spans IS NOT NULL").withColumn("cut", cut(F.col("row")[text_col].cast("string"), F.col("spans")))
+    new = {text_col: F.col("cut").cast(docs.schema[text_col].dataType)}
+    if chars_col in names:
+        new[chars_col] = F.length("cut").cast(docs.schema[chars_col].dataType)
+    shorter = shorter.select(*[new.get(c, F.col("row")[c]).alias(c) for c in names])
+    return joined.where("spans IS NULL").select("row.*").union(shorter)
+
+
+OP6_SQL = """
+WITH cut AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), windows AS (
+    SELECT doc_id, begin_at, array_to_string(list_slice(words, begin_at, begin_at + 49), ' ') AS passage
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS begin_at FROM cut WHERE len(words) >= 50)
+), firsts AS (
+    SELECT passage, min(doc_id) AS first_doc FROM windows GROUP BY passage
+), gone AS (
+    SELECT DISTINCT doc_id, begin_at + step AS place
+    FROM windows JOIN firsts USING (passage), range(50) AS steps(step) WHERE first_doc < doc_id
+), placed AS (
+    SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM cut
+), kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS text, count(*) AS n
+    FROM placed ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id
+)
+SELECT cut.doc_id, CAST(len(words) AS BIGINT) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM cut LEFT JOIN kept USING (doc_id)
+"""
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
