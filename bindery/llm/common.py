@@ -61,9 +61,15 @@ def join_small(facts: DataFrame, rows: DataFrame, keys: list[str], how: str) ->
     return facts.join(F.broadcast(rows) if measured_bytes(rows) <= BROADCAST_BYTES else rows, keys, how)
 
 
-def leave_out(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
-    """The rows whose id is not in ``gone`` (one column), all columns as given; a null id can be in it."""
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{id_col}`"].alias("id"))
-    gone = gone.toDF("gone").distinct()
+def row_key(text: Column) -> Column:
+    """Tells rows of one id apart by their texts."""
+    return F.xxhash64(text.cast("string"))
+
+
+def leave_out(docs: DataFrame, id_col: str, text_col: str, gone: DataFrame) -> DataFrame:
+    """The rows whose id and text are not those of a row of ``gone (doc_id, row_key)``, all columns as given."""
+    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+    rows = docs.select(whole, docs[f"`{id_col}`"].alias("id"), row_key(docs[f"`{text_col}`"]).alias("key"))
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("row_key").alias("gone_key")).distinct()
     gone = F.broadcast(gone) if measured_bytes(gone) <= BROADCAST_BYTES else gone
-    return rows.join(gone, rows["id"].eqNullSafe(gone["gone"]), "left_anti").select("row.*")
+    return rows.join(gone, [rows["key"] == gone["gone_key"], rows["id"].eqNullSafe(gone["gone_id"])], "left_anti").select("row.*")

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bindery.llm.common import attach, leave_out, lower_ascii, pick
+from bindery.llm.common import attach, leave_out, lower_ascii, pick, row_key
 from bindery.session import store
 
 MAX_DEPTH = 14
@@ -76,26 +76,26 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **index) -> DataFrame:
-    """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256, bucket, chain``.
+    """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256, bucket, chain, row_key``.
 
     Texts are equal if they are so after lower-casing A-Z; of equal texts the largest id stays.
     """
     bits = index.get("bits", 64)
     classes = build_index(docs, id_col, text_col, **index)
     total = classes.agg(F.sum("group_size").alias("n")).first()["n"] or 0
-    facts = pick(docs, doc_id=id_col, text=text_col).select("doc_id", lower_ascii(F.col("text")).alias("text"))
-    facts = facts.select("doc_id", _hash(F.col("text"), bits).alias("hash"), F.sha2("text", 256).alias("digest"))
+    facts = pick(docs, doc_id=id_col, text=text_col).select("doc_id", row_key(F.col("text")).alias("row_key"), lower_ascii(F.col("text")).alias("text"))
+    facts = facts.select("doc_id", "row_key", _hash(F.col("text"), bits).alias("hash"), F.sha2("text", 256).alias("digest"))
     found = attach(facts, classes, ["hash", "digest"], ["keep_id", "group_size", "bucket", "chain"], "group_size", total, "doc_id")
     return found.select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.col("digest").alias("text_sha256"), "bucket", "chain",
+        F.col("digest").alias("text_sha256"), "bucket", "chain", "row_key",
     )
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents of which no equal one with a larger id exists, all columns as given."""
     groups = exact_groups(docs, id_col, text_col)
-    return leave_out(docs, id_col, store(groups.where(~F.col("kept")).select("doc_id"), "copies"))
+    return leave_out(docs, id_col, text_col, store(groups.where(~F.col("kept")).select("doc_id", "row_key"), "copies"))
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:

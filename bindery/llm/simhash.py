@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bindery.llm.common import attach, leave_out, pick
+from bindery.llm.common import attach, leave_out, pick, row_key
 from bindery.llm.components import components
 from bindery.session import store
 
@@ -65,16 +65,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id, code`` (the fingerprint as a signed 64-bit integer) for every row."""
+    """``doc_id, row_key, code`` (the fingerprint as a signed 64-bit integer) for every row."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            texts = frame.column(1).cast(pa.binary())
+            texts = frame.column(2).cast(pa.binary())
             codes = np.array([fingerprint(t.as_py() or b"", shingle) for t in texts], np.uint64)
-            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(codes.view(np.int64))], names=["doc_id", "code"])
+            yield pa.RecordBatch.from_arrays([frame.column(0), frame.column(1), pa.array(codes.view(np.int64))], names=["doc_id", "row_key", "code"])
 
-    rows = pick(docs, doc_id=id_col, text=(text_col, "string"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, code bigint")
+    rows = pick(docs, doc_id=id_col, text=(text_col, "string")).select("doc_id", row_key(F.col("text")).alias("row_key"), "text")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, row_key bigint, code bigint")
 
 
 def gray_rank(code: Column) -> Column:
@@ -229,7 +229,7 @@ def code_links(codes: DataFrame, n_codes: int, bits: int = MOST_BITS) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE_WORDS, bits: int = MOST_BITS) -> DataFrame:
-    """``doc_id, code, component_id`` for every row; the component's id is the smallest in it."""
+    """``doc_id, row_key, code, component_id`` for every row; the component's id is the smallest in it."""
     marked = store(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     codes = store(marked.groupBy("code").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n_docs")), "codes")
     sizes = codes.agg(F.count(F.lit(1)).alias("codes"), F.coalesce(F.sum("n_docs"), F.lit(0)).alias("docs")).first()
@@ -244,8 +244,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE_WORDS, bits: int = MOST_BITS) -> DataFrame:
     """One document of each component, the one with the smallest id, all columns as given."""
     groups = near_duplicates(docs, id_col, text_col, shingle=shingle, bits=bits)
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    return leave_out(docs, id_col, store(gone, "near-copies"))
+    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "row_key")
+    return leave_out(docs, id_col, text_col, store(gone, "near-copies"))
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
