@@ -10,9 +10,10 @@ from bindery.operators.order import with_ordinals
 from bindery.operators.review import decide, gate
 from bindery.operators.selection import merge_selection, select_files, selection_fallback
 from bindery.operators.settings import literal_settings, resolve_settings
-from bindery.plans.pack import PackTables, guard_files, pack, workspace_settings
+from bindery.operators.render import join_blocks
+from bindery.plans.pack import PackTables, guard_files, pack, pack_trees, workspace_settings
 from bindery.sinks import deliver, delivery_outcomes
-from bindery.sources.tree import list_tree, read_contents, read_ignore_texts
+from bindery.sources.tree import list_tree, read_contents, read_ignore_texts, split_by_size
 
 __all__ = [
     "PackTables",
@@ -23,16 +24,19 @@ __all__ = [
     "gate",
     "guard",
     "guard_files",
+    "join_blocks",
     "list_tree",
     "literal_settings",
     "mask_secrets",
     "merge_selection",
     "pack",
+    "pack_trees",
     "read_contents",
     "read_ignore_texts",
     "resolve_settings",
     "select_files",
     "selection_fallback",
+    "split_by_size",
     "with_ordinals",
     "workspace_settings",
 ]

@@ -6,15 +6,17 @@ as rule names). The patterns, the other names and the order of the rules are our
 definitions, from the vendors' public key formats:
 
 - Rules run in order, each on the output of the one before, so a value is logged once,
-  by the rule that masked it. A masked value never starts with ``<``, so no rule
-  masks a mask again.
+  by the rule that masked it. No rule takes a mask for the start of a value.
 - No rule crosses a line break, which keeps line numbers true. Lines are 1-based and
   end at ``\\n``.
 - A log lists its entries by line, then by rule order.
 - ``secret-content`` carries the distinct rule names as its detail.
-- ``assigned-secret`` masks quoted values after ``:`` or ``=``, and unquoted ones in
-  ``KEY=value`` lines as environment files hold them. Unquoted values elsewhere are
-  mostly code and type names (``token: string``).
+- ``assigned-secret`` masks quoted values after ``:`` or ``=``, of any length and with any
+  number of escapes, and unquoted ones in lines that start with ``KEY=value`` or
+  ``KEY = value`` as environment and ini files hold them. Unquoted values after ``:`` stay:
+  they are mostly type names (``token: string``).
+- A password in a URL reaches to the last ``@`` before a blank or quote. Digits that end
+  at ``/``, ``?`` or ``#`` are a port.
 
 Groups stand for the kept text around the masked part. Character classes are spelled
 out instead of ``\\b`` and ``\\s``, whose meaning differs between regex engines.
@@ -92,9 +94,12 @@ _SECRET_HINTS = ("key", "secret", "passw", "token")
 _SECRET_KEY = r"(?i:(?:api|access|secret)[_-]?key|secret|passw(?:or)?d|token)"
 
 
+_NO_MASK = "(?!<REDACTED:)"
+
+
 def _quoted(quote: str) -> str:
-    text = rf"[^{quote}\\\n]"
-    return rf"({quote})[^<{quote}\\\n]{text}*(?:\\[^\n]{text}*){{0,50}}({quote})"
+    """A quoted value. Possessive, so that neither length nor escapes cost stack."""
+    return rf"({quote}){_NO_MASK}(?:[^{quote}\\\n]++|\\[^\n])++({quote})"
 
 
 # Rule names, order and shapes of credentials.
@@ -113,14 +118,14 @@ MASK_RULES = (
     MaskRule(
         "connection-string",
         ("://",),
-        r"""(://[^\x00-\x20:/@"'<>]*:)[^\x00-\x20/@"'<>]+(@)""",
+        rf"""(://[^\x00-\x20:/@"'<>]*:){_NO_MASK}(?![0-9]{{1,5}}[/?#])[^\x00-\x20"'`]+(@)""",
         before=(1,),
         after=(2,),
     ),
     MaskRule(
         "auth-header",
         ("authorization",),
-        r"""((?i:authorization)["']?[ \t]*[:=][ \t]*["'`]?(?i:bearer|basic)[ \t]+)[^\x00-\x20"'`<,;][^\x00-\x20"'`,;]*""",
+        rf"""((?i:authorization)["']?[ \t]*[:=][ \t]*["'`]?(?i:bearer|basic)[ \t]+){_NO_MASK}[^\x00-\x20"'`,;]+""",
         folded=True,
         before=(1,),
     ),
@@ -143,7 +148,7 @@ MASK_RULES = (
     MaskRule(
         "assigned-secret",
         _SECRET_HINTS,
-        rf"""((?:^|\n)[ \t]*(?:export[ \t]+)?[A-Za-z0-9_.-]*{_SECRET_KEY}=)[^\x00-\x20"'`<][^\x00-\x20"'`]*""",
+        rf"""((?:^|\n)[ \t]*(?:export[ \t]+)?[A-Za-z0-9_.-]*{_SECRET_KEY}[ \t]*=[ \t]*)(?![=>~]){_NO_MASK}[^\x00-\x20"'`]+""",
         folded=True,
         before=(1,),
     ),
@@ -206,6 +211,25 @@ def mask_text(text: str, enabled: Column) -> Column:
 _MASK = re.compile(r"<REDACTED:[^>\n]*>")
 
 
+def compile_pattern(source: str) -> re.Pattern[str] | None:
+    """A user pattern, or None if it is no regular expression."""
+    try:
+        return re.compile(source)
+    except (re.error, OverflowError, RecursionError):
+        return None
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def pattern_problems(patterns: pd.Series) -> pd.Series:
+    """One message per user pattern that cannot be used, for the few rows of settings."""
+
+    def problems(sources) -> list[str]:
+        bad = [source for source in (() if sources is None else sources) if compile_pattern(source) is None]
+        return [f"secretGuard.extraPatterns: {source} is no regular expression; ignored" for source in bad]
+
+    return patterns.map(problems)
+
+
 _MASKED_SCHEMA = T.StructType(
     [
         T.StructField("text", T.StringType()),
@@ -231,21 +255,24 @@ def _mask_extra(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> It
 
     Rows with nothing to do arrive as NULL text and leave as NULL.
     """
-    compiled: dict[str, re.Pattern[str]] = {}
+    compiled: dict[str, re.Pattern[str] | None] = {}
 
     def mask(text: str, patterns, first_seq: int):
         hits = []
         lines = text.split("\n")
         for number, source in enumerate(patterns, start=1):
             if source not in compiled:
-                compiled[source] = re.compile(source)
+                compiled[source] = compile_pattern(source)
             pattern, rule = compiled[source], f"custom-{number}"
+            if pattern is None:
+                continue
             group = 1 if pattern.groups else 0
             for at, line in enumerate(lines):
                 done, out = 0, []
                 masks = [m.span() for m in _MASK.finditer(line)]
                 for match in pattern.finditer(line):
-                    start, end = match.span(group)
+                    # A group that took no part in the match leaves the whole match.
+                    start, end = match.span(group if match.start(group) >= 0 else 0)
                     if start == end or any(start < b and a < end for a, b in masks):
                         continue
                     out += [line[done:start], f"<REDACTED:{rule}>"]
@@ -293,8 +320,8 @@ def mask_secrets(
     """Masks credentials in ``text`` and adds ``redactions``, one entry per masked value.
 
     ``scan`` switches rows off. ``extra_patterns`` is an array of user patterns per
-    row (or a literal); group 1 marks the masked part, without a group the whole match
-    goes. They see one line at a time, and only the text of rows that have any is sent
+    row (or a literal); group 1 marks the masked part, without a group, or where it takes
+    no part in the match, the whole match goes. A pattern that is none is passed over. They see one line at a time, and only the text of rows that have any is sent
     to Python.
     """
     enabled = F.lit(True) if scan is None else F.coalesce(scan, F.lit(False))

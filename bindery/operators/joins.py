@@ -27,10 +27,11 @@ def join_dimension(
     weight: Column | None = None,
     how: str = "left",
     broadcast_bytes: int = BROADCAST_BYTES,
+    measured: int | None = None,
 ) -> DataFrame:
     """Joins facts to a dimension with one row per key, whatever the sizes.
 
-    The dimension is measured first. Up to ``broadcast_bytes`` it is broadcast and the
+    The dimension is measured first, unless the caller knows its size (``measured``). Up to ``broadcast_bytes`` it is broadcast and the
     facts do not move. Beyond that both sides are shuffled on the key, and a key that
     holds more than 1/``HOT_SHARES`` of the total weight is split into one share per
     such portion: its facts go to shares by the hash of ``spread_by``, its dimension
@@ -38,7 +39,7 @@ def join_dimension(
     which bounds both the broadcast list of hot keys and the repeated rows.
     """
     keys = list(on)
-    if measured_bytes(dimension) <= broadcast_bytes:
+    if (measured_bytes(dimension) if measured is None else measured) <= broadcast_bytes:
         return facts.join(F.broadcast(dimension), keys, how)
 
     load = facts.groupBy(*keys).agg(F.sum(F.lit(1) if weight is None else weight).cast("double").alias("_load"))

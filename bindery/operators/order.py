@@ -26,11 +26,16 @@ def with_ordinals(listing: DataFrame) -> DataFrame:
     shifts = (
         ranged.groupBy("workspace", "_range")
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .select("workspace", "_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_shift"))
+        .select(
+            F.col("workspace").alias("_of"),
+            F.col("_range").alias("_in"),
+            F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_shift"),
+        )
     )
+    # A missing workspace is one of its own, so the names are compared null-safely.
     return (
         ranged.withColumn("_at", F.row_number().over(inside))
-        .join(shifts, ["workspace", "_range"])
+        .join(shifts, F.col("workspace").eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_in")))
         .withColumn("ordinal", (F.col("_at") + F.col("_shift")).cast("bigint"))
-        .drop("_at", "_shift", "_range")
+        .drop("_at", "_shift", "_range", "_of", "_in")
     )

@@ -12,6 +12,7 @@ head, one line per masked file, skip head, one line per skipped file.
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,6 @@ from bindery.functions.languages import language_tag
 from bindery.functions.paths import posix_path
 from bindery.functions.text import (
     collapse_blank_runs,
-    estimate_tokens,
     fence_for,
     format_count,
     tokens_for_units,
@@ -62,8 +62,8 @@ LABELS = {
 # Order of the blocks in a document.
 HEAD, LIST, DIVIDER, SECTION, REPORT, MASKED, SKIP_HEAD, SKIPPED = range(8)
 
-# A pack up to this many bytes becomes one string; a larger one stays a run of blocks.
-MAX_DOCUMENT_BYTES = 64 * 1024 * 1024
+# Tokens of a text with so many UTF-16 units; the same for files and whole documents.
+Estimator = Callable[[Column], Column]
 
 
 def label(name: str) -> Column:
@@ -114,7 +114,7 @@ def render_files(
     guarded: DataFrame,
     *,
     collapse: bool = True,
-    estimator: Callable[[Column], Column] = estimate_tokens,
+    estimator: Estimator = tokens_for_units,
 ) -> DataFrame:
     """One row per guarded file with its finished text pieces and their lengths.
 
@@ -141,7 +141,7 @@ def render_files(
         F.when(kept, F.size("redactions")).otherwise(0).alias("redaction_count"),
         F.when(masked, masked_lines(F.col("redactions"))).otherwise(0).alias("masked_lines"),
         F.when(kept, language_tag(F.col("path"))).alias("language_tag"),
-        F.when(kept, estimator(F.col("content"))).alias("token_estimate"),
+        F.when(kept, estimator(utf16_length(F.col("content")))).alias("token_estimate"),
         F.when(kept, tidy(list_line(F.col("path")))).alias("list_line"),
         F.when(kept, tidy(section(F.col("path"), F.col("content")))).alias("section"),
         F.when(masked, tidy(masked_line(F.col("path"), F.col("redactions")))).alias("masked_line"),
@@ -224,7 +224,9 @@ def _skip_head() -> Column:
     ).otherwise("")
 
 
-def pack_totals(rendered: DataFrame, workspaces: DataFrame, *, collapse: bool = True) -> DataFrame:
+def pack_totals(
+    rendered: DataFrame, workspaces: DataFrame, *, collapse: bool = True, estimator: Estimator = tokens_for_units
+) -> DataFrame:
     """One row per workspace: counts, total tokens and the blocks that occur once.
 
     ``workspaces`` holds ``workspace, task, output_language, include_overview`` and any
@@ -252,7 +254,7 @@ def pack_totals(rendered: DataFrame, workspaces: DataFrame, *, collapse: bool =
     built = filled.withColumns(once)
     units = sum((utf16_length(F.col(c)) for c in once), F.col("file_units"))
     figure = F.when(F.col("include_overview"), format_count(F.col("total_tokens"))).otherwise("")
-    measured = built.withColumn("total_tokens", tokens_for_units(units))
+    measured = built.withColumn("total_tokens", estimator(units))
     headed = measured.withColumn("head", F.concat("lead", figure, "list_head"))
     octets = sum((F.octet_length(c) for c in ("head", "divider", "report_head", "skip_head")), F.col("file_octets"))
     return headed.withColumn("document_bytes", octets).drop("lead", "list_head")
@@ -304,32 +306,27 @@ def document_blocks(rendered: DataFrame, totals: DataFrame) -> DataFrame:
     return files.select("workspace", *shape).unionByName(heads.select("workspace", *shape))
 
 
-def documents(
-    rendered: DataFrame, totals: DataFrame, *, max_document_bytes: int = MAX_DOCUMENT_BYTES
-) -> DataFrame:
-    """Documents as rows ``(workspace, whole, block, stage, ordinal, path, text)``.
+def position(block: Column, stage: Column, ordinal: Column, path: Column) -> Column:
+    """Text whose order is the order of blocks in a document."""
+    shifted = (ordinal.cast("decimal(20,0)") + F.lit(Decimal(1 << 63))).cast("string")
+    return F.concat_ws(".", block.cast("string"), stage.cast("string"), F.lpad(shifted, 20, "0"), F.coalesce(path, F.lit("")))
+
+
+def documents(rendered: DataFrame, totals: DataFrame) -> DataFrame:
+    """Documents as rows ``(workspace, position, text)``, whatever their size.
 
-    A pack of up to ``max_document_bytes`` is one row with ``whole`` true. A larger one
-    keeps its blocks, in the sort order of ``document_blocks``: same text, no row that
-    grows with the pack. Sizes are known from the totals before any text moves, and
-    only packs below the bound are gathered, so no group exceeds it.
+    In the order of ``position`` the texts of a workspace are its document. Nothing is
+    gathered and no row grows with a pack.
     """
-    sizes = totals.select("workspace", (F.col("document_bytes") <= max_document_bytes).alias("whole"))
-    blocks = join_dimension(
-        document_blocks(rendered, totals), sizes, ["workspace"], spread_by=["block", "path"], how="inner"
-    )
-    small = (
-        blocks.filter("whole")
-        .groupBy("workspace")
-        .agg(F.sort_array(F.collect_list(F.struct("block", "stage", "ordinal", "path", "text"))).alias("b"))
-        .select(
-            "workspace",
-            F.lit(True).alias("whole"),
-            F.lit(0).alias("block"),
-            F.lit(0).alias("stage"),
-            F.lit(0).cast("bigint").alias("ordinal"),
-            F.lit("").alias("path"),
-            F.array_join(F.transform("b", lambda x: x["text"]), "").alias("text"),
-        )
-    )
-    return small.unionByName(blocks.filter(~F.col("whole")))
+    packs = totals.select("workspace")
+    blocks = document_blocks(rendered, totals)
+    kept = join_dimension(blocks, packs, ["workspace"], spread_by=["block", "path"], how="inner")
+    at = position(F.col("block"), F.col("stage"), F.col("ordinal"), F.col("path"))
+    return kept.select("workspace", at.alias("position"), "text")
+
+
+def join_blocks(blocks: DataFrame) -> DataFrame:
+    """One string per document, for packs that are known to fit one row: ``workspace, text``."""
+    ordered = F.sort_array(F.collect_list(F.struct("position", "text")))
+    gathered = blocks.groupBy("workspace").agg(ordered.alias("b"))
+    return gathered.select("workspace", F.array_join(F.transform("b", lambda x: x["text"]), "").alias("text"))

@@ -68,10 +68,12 @@ def summarise(packs: DataFrame) -> DataFrame:
 def gate(packs: DataFrame, approvals: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(released, held)``: a pack that needs review passes only when approved.
 
-    ``approvals`` lists workspaces; both sides have one row per workspace at most.
+    ``approvals`` lists workspaces; both sides have one row per workspace at most. A pack
+    whose decision is unknown counts as one that needs review. ``store`` the packs first:
+    both results read them.
     """
     marked = packs.join(
         approvals.select("workspace").distinct().withColumn("_approved", F.lit(True)), "workspace", "left"
     )
-    passes = ~F.col("review_required") | F.coalesce("_approved", F.lit(False))
+    passes = ~F.coalesce("review_required", F.lit(True)) | F.coalesce("_approved", F.lit(False))
     return marked.filter(passes).drop("_approved"), marked.filter(~passes).drop("_approved")

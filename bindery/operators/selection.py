@@ -59,7 +59,7 @@ def select_files(
             files.join(F.broadcast(maps), "workspace")
             .withColumn("selection_rank", rank)
             .filter(F.col("selection_rank").isNotNull())
-            .drop("_picked")
+            .select(*files.columns, "selection_rank")
         )
 
     paths = files.select("workspace", "path", F.explode(covering_prefixes(F.col("path"))).alias("prefix"))
@@ -70,7 +70,11 @@ def select_files(
         .groupBy("workspace", "path")
         .agg(F.min("selection_rank").alias("selection_rank"))
     )
-    return files.join(covered, ["workspace", "path"])
+    # The covered paths are narrow; the files move only if these are too many to broadcast.
+    found = join_dimension(
+        files, covered, ["workspace", "path"], spread_by=["path"], how="inner", broadcast_bytes=broadcast_bytes
+    )
+    return found.select(*files.columns, "selection_rank")
 
 
 def merge_selection(explicit: DataFrame, default: DataFrame) -> DataFrame:

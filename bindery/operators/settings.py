@@ -14,8 +14,8 @@ from bindery.operators.filters import wanted_extensions
 from bindery.operators.ignore import RULES_TYPE, has_negation, rules_regex, segment_regex
 
 # The defaults and the closed value lists.
-DEFAULT_EXTENSIONS = "ts tsx vue js jsx json css scss sql cs md".split()
-DEFAULT_IGNORE_PATTERNS = "node_modules dist build out coverage .git".split()
+DEFAULT_EXTENSIONS = ["ts", "tsx", "vue", "js", "jsx", "json", "css", "scss", "sql", "cs", "md"]
+DEFAULT_IGNORE_PATTERNS = ["node_modules", "dist", "build", "out", "coverage", ".git"]
 GUARD_MODES = ["redact", "skipFile"]
 REVIEW_POLICIES = ["always", "onWarning", "never"]
 OUTPUT_LANGUAGES = ["th", "en"]
@@ -50,6 +50,7 @@ SETTINGS = (
 
 _TYPES = {"strings": "array<string>", "boolean": "boolean", "number": "double", "choice": "string"}
 SETTINGS_TYPE = "struct<" + ",".join(f"{s.column}:{_TYPES[s.kind]}" for s in SETTINGS) + ">"
+UNREADABLE = "settings: expected a JSON object with distinct keys; using the defaults"
 _EXPECTED = {"strings": "an array of strings", "boolean": "a boolean", "number": "a number >= 0"}
 
 
@@ -120,14 +121,19 @@ def _read(setting: Setting) -> str:
 
 
 def resolve_settings(settings_json: str) -> Column:
-    """Struct ``(settings, problems)`` for a column of JSON objects; anything else counts
-    as empty."""
+    """Struct ``(settings, problems)`` for a column of JSON objects.
+
+    Missing and blank text means no settings. Any other text that is no object with
+    distinct keys gives the defaults and says so among the problems.
+    """
     read = ", ".join(f"'{s.column}', {_read(s)}" for s in SETTINGS)
     values = ", ".join(f"'{s.column}', read.{s.column}.value" for s in SETTINGS)
     problems = ", ".join(f"read.{s.column}.problem" for s in SETTINGS)
+    given = f"regexp_replace({settings_json}, {quoted(OUTER_BLANKS)}, '') != ''"
+    unreadable = f"if({given} AND coalesce(NOT startswith(schema_of_variant(raw), 'OBJECT'), true), {quoted(UNREADABLE)}, NULL)"
     arranged = f"""named_struct(
         'settings', cast(named_struct({values}) AS {SETTINGS_TYPE}),
-        'problems', array_compact(array({problems})))"""
+        'problems', array_compact(array({unreadable}, {problems})))"""
     resolved = let("read", f"named_struct({read})", arranged)
     return F.expr(let("raw", f"try_parse_json({settings_json})", resolved))
 

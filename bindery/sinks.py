@@ -42,9 +42,9 @@ def deliver(documents: DataFrame, outcomes: DataFrame, path: str, *, format: str
     so one large pack fills many files instead of one task.
     """
     delivered = outcomes.filter(F.col("outcome") == DELIVERED).select("workspace")
-    order = ["workspace", "block", "stage", "ordinal", "path"]
+    order = ["workspace", "position"]
     (
-        join_dimension(documents, delivered, ["workspace"], spread_by=["block", "path"], how="left_semi")
+        join_dimension(documents, delivered, ["workspace"], spread_by=["position"], how="left_semi")
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .write.format(format)

@@ -19,9 +19,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bindery.functions.paths import ancestors, normalise
 from bindery.functions.text import decode_text
 from bindery.operators.filters import exceeds_size_limit, path_skip_reason
-from bindery.operators.joins import join_dimension
+from bindery.operators.joins import join_dimension, measured_bytes
 from bindery.session import store
 
 ENTRY_TYPE = "workspace string, root string, path string, is_dir boolean, size_bytes bigint"
@@ -29,9 +30,9 @@ IGNORE_FILE = ".gitignore"
 ENTRIES_PER_BATCH = 10_000
 
 
-def _entry(workspace: str, root: str, path: str) -> tuple | None:
+def _entry(workspace: str, root: str, path: str, info: os.stat_result | None = None) -> tuple | None:
     """A regular file or a directory; links and other kinds are neither."""
-    info = os.lstat(os.path.join(root, path))
+    info = info or os.lstat(os.path.join(root, path))
     kind = info.st_mode & 0o170000
     if kind == 0o040000:
         return workspace, root, path, True, None
@@ -54,11 +55,15 @@ def _stat_selected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _list_children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for workspace, root, path in zip(batch["workspace"], batch["root"], batch["path"]):
-            names = os.listdir(os.path.join(root, path))
-            for at in range(0, len(names), ENTRIES_PER_BATCH):
-                batch_names = names[at : at + ENTRIES_PER_BATCH]
-                found = [_entry(workspace, root, f"{path}/{name}" if path else name) for name in batch_names]
-                yield _frame([row for row in found if row])
+            found = []
+            with os.scandir(os.path.join(root, path)) as entries:
+                for entry in entries:
+                    inner = f"{path}/{entry.name}" if path else entry.name
+                    found.append(_entry(workspace, root, inner, entry.stat(follow_symlinks=False)))
+                    if len(found) == ENTRIES_PER_BATCH:
+                        yield _frame([row for row in found if row])
+                        found = []
+            yield _frame([row for row in found if row])
 
 
 def _read_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,6 +92,14 @@ def read_ignore_texts(roots: DataFrame) -> DataFrame:
     return texts.select("workspace", decode_text(F.col("raw")).alias("ignore_text"))
 
 
+def _outermost(picked: DataFrame) -> DataFrame:
+    """Picks that lie under no other pick of their workspace, so nothing is walked twice."""
+    above = F.array_except(F.concat(F.array(F.lit("")), ancestors(F.col("path"))), F.array("path"))
+    under = picked.select("workspace", "path", F.explode(above).alias("folder"))
+    folders = picked.select("workspace", F.col("path").alias("folder"))
+    return picked.join(under.join(folders, ["workspace", "folder"], "left_semi"), ["workspace", "path"], "left_anti")
+
+
 def list_tree(roots: DataFrame, rules: DataFrame | None = None, selection: DataFrame | None = None) -> DataFrame:
     """Listing ``workspace, root, path, size_bytes`` of every file worth reading.
 
@@ -97,10 +110,12 @@ def list_tree(roots: DataFrame, rules: DataFrame | None = None, selection: DataF
     yield a file once.
     """
 
+    measured = None if rules is None else measured_bytes(rules)
+
     def judged(entries: DataFrame) -> DataFrame:
         if rules is None:
             return entries
-        joined = join_dimension(entries, rules, ["workspace"], spread_by=["path"])
+        joined = join_dimension(entries, rules, ["workspace"], spread_by=["path"], measured=measured)
         path, own = F.col("path"), F.col("rules")
         reason = F.when(F.col("is_dir"), path_skip_reason(path, own, is_directory=True)).otherwise(
             path_skip_reason(path, own)
@@ -111,7 +126,7 @@ def list_tree(roots: DataFrame, rules: DataFrame | None = None, selection: DataF
     if selection is None:
         start = roots.select("workspace", "root", F.lit("").alias("path"))
     else:
-        picked = selection.select("workspace", F.col("prefix").alias("path")).distinct()
+        picked = _outermost(selection.select("workspace", F.rtrim(normalise(F.col("prefix")), F.lit("/")).alias("path")).distinct())
         start = picked.join(roots.select("workspace", "root"), "workspace")
     level = store(judged(start.repartition("workspace", "path").mapInPandas(_stat_selected, ENTRY_TYPE)), "walk")
     found = level.filter(~F.col("is_dir"))
@@ -119,13 +134,13 @@ def list_tree(roots: DataFrame, rules: DataFrame | None = None, selection: DataF
         children = folders.repartition("workspace", "path").mapInPandas(_list_children, ENTRY_TYPE)
         level = store(judged(children), "walk")
         found = found.unionByName(level.filter(~F.col("is_dir")))
-    files = found.select("workspace", "root", "path", "size_bytes")
-    return files if selection is None else files.dropDuplicates(["workspace", "path"])
+    return found.select("workspace", "root", "path", "size_bytes")
 
 
 def split_by_size(listing: DataFrame, max_file_size_kb: Column) -> tuple[DataFrame, DataFrame]:
-    """``(readable, too large)`` from the sizes alone, before any content is read."""
-    large = exceeds_size_limit(F.col("size_bytes"), max_file_size_kb)
+    """``(readable, too large)`` from the sizes alone, before any content is read. Without a
+    limit or a size a file is readable."""
+    large = F.coalesce(exceeds_size_limit(F.col("size_bytes"), max_file_size_kb), F.lit(False))
     return listing.filter(~large), listing.filter(large)
 
 

@@ -17,6 +17,7 @@ from bindery import (
     resolve_settings,
     select_files,
     selection_fallback,
+    split_by_size,
     with_ordinals,
     workspace_settings,
 )
@@ -33,9 +34,9 @@ from bindery.operators.filters import (
 from bindery.operators.guard import denied_name, guard, redaction_rows
 from bindery.operators.ignore import is_ignored, matches, matches_segment, parse_rules, segment_regex
 from bindery.operators.joins import join_dimension
-from bindery.operators.render import masked_line, render_files, section, skipped_line
+from bindery.operators.render import join_blocks, masked_line, render_files, section, skipped_line
 from bindery.operators.settings import compiled_rules, guard_options, literal_settings, problem_report
-from bindery.plans.pack import totals_for
+from bindery.plans.pack import too_large, totals_for
 from bindery.session import store
 from checks import oracles as O
 from checks import views as V
@@ -408,31 +409,58 @@ def drop_on_secret(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     O.with_(
         V.CTE["files"],
+        "even AS (SELECT * FROM files WHERE ordinal % 2 = 0)",
+        "odd AS (SELECT * FROM files WHERE ordinal % 2 = 1)",
         O.mask_chain(
             "masked",
-            "files",
+            "even",
             "workspace, ordinal",
             "content",
-            extra=((r"(Projects/)app", r"\1<REDACTED:custom-1>", "custom-1"), (r"astral [^ ]*", r"<REDACTED:custom-2>", "custom-2")),
+            extra=((r"(Projects/)app", r"\1<REDACTED:custom-1>", "custom-1"), (r"astral [^ ]*", r"<REDACTED:custom-3>", "custom-3")),
         ),
+        O.mask_chain("plain", "odd", "workspace, ordinal", "content"),
         select="""SELECT workspace, ordinal, text AS content,
-    array_to_string(list_transform(hits, lambda h: h.line || ' ' || h.rule), ',') AS log FROM masked""",
+    array_to_string(list_transform(hits, lambda h: h.line || ' ' || h.rule), ',') AS log
+    FROM (SELECT * FROM masked UNION ALL SELECT * FROM plain)""",
     )
 )
 def extra_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    patterns = F.array(F.lit(r"Projects/(app)"), F.lit(r"astral [^ ]*"))
-    masked = mask_secrets(V.files(spark, sf_dir, spread=True), extra_patterns=patterns)
+    """Half of the rows have patterns: one with a group, one that is none, one whose group takes no part."""
+    patterns = F.array(F.lit(r"Projects/(app)"), F.lit("("), F.lit(r"zz(\d)|astral [^ ]*"))
+    wanted = F.when(F.col("ordinal") % 2 == 0, patterns).otherwise(F.array().cast("array<string>"))
+    masked = mask_secrets(V.files(spark, sf_dir, spread=True), extra_patterns=wanted)
     log = F.transform("redactions", lambda r: F.concat_ws(" ", r["line"].cast("string"), r["rule"]))
     return masked.select(*KEY, "content", F.array_join(log, ",").alias("log"))
 
 
+@query(
+    O.with_(
+        *O.FULL,
+        select="SELECT workspace, ordinal, path, stage, reason, detail FROM guarded WHERE reason IS NOT NULL",
+    )
+)
+def skipped_anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files left out for their size before they are read, by the filters and by the guard."""
+    settings = _settings(spark, sf_dir)
+    rules = settings.select("workspace", "rules")
+    files = V.files(spark, sf_dir, spread=True)
+    listed = join_dimension(files, rules, ["workspace"], spread_by=["path"])
+    limit = F.when(path_skip_reason(F.col("path"), F.col("rules")).isNull(), F.col("rules.max_file_size_kb"))
+    readable, large = split_by_size(listed, limit)
+    guarded = guard_files(readable.drop("rules"), settings)
+    rows = guarded.unionByName(too_large(large), allowMissingColumns=True)
+    rows = store(rows.select(*KEY, "path", "stage", "reason", "detail"), "skipped")
+    return rows.filter(F.col("reason").isNotNull())
+
+
 # --- packs -------------------------------------------------------------------------
 
 
 def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = _settings(spark, sf_dir)
     guarded = guard_files(V.files(spark, sf_dir, spread=True), settings)
-    return totals_for(render_files(guarded), settings)
+    # Stored, because a gate reads the totals from both sides.
+    return store(totals_for(render_files(guarded), settings), "totals")
 
 
 _TOTALS = "file_count, skipped_count, redaction_count, masked_files, masked_lines, file_tokens, total_tokens"
@@ -449,6 +477,23 @@ def pack_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _totals(spark, sf_dir).select("workspace", *_TOTALS.split(", "))
 
 
+_BY_THREE = O.with_(
+    *O.WORKSPACE_PACKS,
+    select="SELECT workspace, CAST(file_tokens AS BIGINT) AS file_tokens, CAST(total_tokens AS BIGINT) AS total_tokens FROM decided_packs",
+).replace("/ 4.0", "/ 3.0")
+
+
+@query(_BY_THREE)
+def other_estimator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One estimator for files and for whole documents: here three units a token."""
+
+    def by_three(units):
+        return F.ceil(units / F.lit(3)).cast("bigint")
+
+    tables = pack(V.files(spark, sf_dir, spread=True), V.workspaces(spark, sf_dir), estimator=by_three)
+    return tables.packs.select("workspace", "file_tokens", "total_tokens")
+
+
 _PICKED = f"picked AS (SELECT workspace, ordinal, rtrim({O.normalised('prefix')}, '/') AS prefix FROM selection)"
 _COVERS = f"""p.workspace = f.workspace AND
     ({O.normalised('f.path')} = p.prefix OR starts_with({O.normalised('f.path')}, p.prefix || '/'))"""
@@ -492,7 +537,7 @@ def guard_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(O.with_(*O.WORKSPACE_PACKS, select="SELECT workspace, markdown FROM decided_packs"))
 def pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = pack(V.files(spark, sf_dir, spread=True), V.workspaces(spark, sf_dir))
-    return tables.documents.select("workspace", F.col("text").alias("markdown"))
+    return join_blocks(tables.documents).withColumnRenamed("text", "markdown")
 
 
 _CONVERSATIONS = (
@@ -513,7 +558,7 @@ def conversation_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "workspace", "'Answer ' || workspace AS task", """'{"outputLanguage":"en"}' AS settings_json"""
     )
     tables = pack(turns, workspaces)
-    return tables.documents.select("workspace", F.col("text").alias("markdown"))
+    return join_blocks(tables.documents).withColumnRenamed("text", "markdown")
 
 
 @query(

@@ -7,15 +7,162 @@ operators avoid exactly that.
 
 from __future__ import annotations
 
-from bindery.functions.languages import TAG_BY_EXTENSION, TAG_BY_NAME
-from bindery.operators.guard import DENIED_NAMES, MASK_RULES
-from bindery.operators.render import LABELS
 from checks.views import CTE
 
 NL = "chr(10)"
 BLANKS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
+# Fixed values, stated here on their own so that a slip in the engine shows.
+LABELS = {
+    "en": {
+        "task": "Task",
+        "overview": "Project overview",
+        "file_list": "Files included",
+        "guard_report": "Secret guard report",
+        "workspace": "Workspace",
+        "file_count": "Files attached",
+        "tokens": "Estimated tokens",
+        "redacted": "{lines} line(s) in {files} file(s) had values masked as `<REDACTED:reason>`.",
+        "skipped": "Left out on purpose",
+        "no_files": "_No files were included._",
+    },
+    "th": {
+        "task": "งานที่ต้องการ",
+        "overview": "ภาพรวมโปรเจกต์",
+        "file_list": "ไฟล์ที่เกี่ยวข้อง",
+        "guard_report": "รายงานจากตัวกรองความลับ",
+        "workspace": "Workspace",
+        "file_count": "ไฟล์ที่แนบ",
+        "tokens": "ประมาณการ token",
+        "redacted": "มี {lines} บรรทัดใน {files} ไฟล์ ที่ถูกปิดค่าไว้เป็น `<REDACTED:reason>`",
+        "skipped": "ไฟล์ที่ถูกตัดออกโดยตั้งใจ",
+        "no_files": "_ไม่มีไฟล์ถูกแนบมา_",
+    },
+}
+
+TAG_BY_EXTENSION = {
+    "ts": "ts",
+    "mts": "ts",
+    "cts": "ts",
+    "tsx": "tsx",
+    "js": "js",
+    "mjs": "js",
+    "cjs": "js",
+    "jsx": "jsx",
+    "vue": "vue",
+    "svelte": "svelte",
+    "json": "json",
+    "jsonc": "jsonc",
+    "css": "css",
+    "scss": "scss",
+    "sass": "sass",
+    "less": "less",
+    "html": "html",
+    "htm": "html",
+    "xml": "xml",
+    "svg": "xml",
+    "csproj": "xml",
+    "md": "md",
+    "mdx": "mdx",
+    "yml": "yaml",
+    "yaml": "yaml",
+    "toml": "toml",
+    "ini": "ini",
+    "env": "ini",
+    "sql": "sql",
+    "cs": "csharp",
+    "py": "python",
+    "rb": "ruby",
+    "go": "go",
+    "rs": "rust",
+    "java": "java",
+    "kt": "kotlin",
+    "kts": "kotlin",
+    "swift": "swift",
+    "php": "php",
+    "c": "c",
+    "h": "c",
+    "cpp": "cpp",
+    "hpp": "cpp",
+    "sh": "bash",
+    "bash": "bash",
+    "zsh": "bash",
+    "ps1": "powershell",
+    "psm1": "powershell",
+    "bat": "bat",
+    "cmd": "bat",
+    "graphql": "graphql",
+    "gql": "graphql",
+    "proto": "proto",
+    "prisma": "prisma",
+    "tf": "hcl",
+    "tfvars": "hcl",
+}
+TAG_BY_NAME = {
+    "dockerfile": "dockerfile",
+    "containerfile": "dockerfile",
+    "makefile": "makefile",
+    "gemfile": "ruby",
+    "rakefile": "ruby",
+    "procfile": "bash",
+    ".gitignore": "gitignore",
+    ".npmrc": "ini",
+    ".editorconfig": "ini",
+}
+DENIED_NAMES = (
+    ("dotenv", r"\.env(\..*)?"),
+    ("pem", r".*\.pem"),
+    ("key", r".*\.key"),
+    ("p12", r".*\.p12"),
+    ("pfx", r".*\.pfx"),
+    ("secrets", r"secrets.*"),
+    ("credentials", r"credentials.*"),
+    ("id-rsa", r"id_rsa"),
+)
+
+# Stands for the opening of a mask while the rules run, so that no rule takes one for a value.
+MARK = "\ue000"
+_KEY = "(?i:(?:api|access|secret)[_-]?key|secret|passw(?:or)?d|token)"
+_RUN = r"[^\x00-\x20\"'`]"
+
+
+def _between(q_: str) -> str:
+    return r"(" + q_ + r")(?:[^" + q_ + r"\\\n\x{E000}]|\\[^\n])(?:[^" + q_ + r"\\\n]|\\[^\n])*(" + q_ + ")"
+
+
+# Name, characters that must not stand before, pattern, groups kept before and after the mask.
+MASKS = (
+    ("aws-access-key", "A-Za-z0-9_", r"(?:AKIA|ASIA)[0-9A-Z]{16,}", (), ()),
+    ("openai-key", "A-Za-z0-9_", r"sk-[A-Za-z0-9_-]{20,}", (), ()),
+    ("github-token", "A-Za-z0-9_", r"(?:gh[oprsu]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,})", (), ()),
+    ("google-api-key", "A-Za-z0-9_", r"AIza[0-9A-Za-z_-]{35,}", (), ()),
+    ("slack-token", "A-Za-z0-9_", r"xox[abeoprs]-[A-Za-z0-9-]{10,}", (), ()),
+    ("jwt", "A-Za-z0-9_", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", (), ()),
+    (
+        "connection-string", "",
+        r"(://[^\x00-\x20:/@\"'<>]*:)(?:[0-9]{0,5}[^\x00-\x20\"'`0-9/?#\x{E000}]" + _RUN + r"*|[/?#]" + _RUN + r"*|[0-9]{6,}" + _RUN + r"*|[0-9]{1,5})(@)",
+        (1,), (2,),
+    ),
+    (
+        "auth-header", "",
+        r"((?i:authorization)[\"']?[ \t]*[:=][ \t]*[\"'`]?(?i:bearer|basic)[ \t]+)[^\x00-\x20\"'`,;\x{E000}][^\x00-\x20\"'`,;]*",
+        (1,), (),
+    ),
+    ("auth-header", "A-Za-z0-9_", r"((?i:bearer|basic)[ \t]+)[A-Za-z0-9._~+/-]{20,}={0,2}", (1,), ()),
+    (
+        "assigned-secret", "",
+        "(" + _KEY + r"[\"'`]?[ \t]*(?::=|=>|[:=])[ \t]*)(?:" + "|".join(map(_between, ('"', "'", "`"))) + ")",
+        (1, 2, 4, 6), (3, 5, 7),
+    ),
+    (
+        "assigned-secret", "",
+        r"((?:^|\n)[ \t]*(?:export[ \t]+)?[A-Za-z0-9_.-]*" + _KEY + r"[ \t]*=[ \t]*)[^\x00-\x20\"'`=>~\x{E000}]" + _RUN + "*",
+        (1,), (),
+    ),
+)
+
+
 def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -211,14 +358,14 @@ def scrubbed(text: str, workspace_root: str, home: str) -> str:
 
 def mask_chain(name: str, source: str, keys: str, text: str, extra: tuple[tuple[str, str, str], ...] = ()) -> str:
     """CTEs that apply every rule in turn; the last one is ``name(keys, text, hits)``."""
-    steps = [f"{name}_0 AS (SELECT {keys}, {text} AS text, CAST([] AS STRUCT(line BIGINT, seq INT, rule VARCHAR)[]) AS hits FROM {source})"]
+    steps = [f"{name}_0 AS (SELECT {keys}, replace({text}, '<REDACTED:', {q(MARK)}) AS text, CAST([] AS STRUCT(line BIGINT, seq INT, rule VARCHAR)[]) AS hits FROM {source})"]
     rules = []
-    for rule in MASK_RULES:
-        shift = 1 if rule.boundary else 0
-        pattern = (f"(^|[^{rule.boundary}])" if rule.boundary else "") + rule.body
-        before = ("\\1" if shift else "") + "".join(f"\\{n + shift}" for n in rule.before)
-        after = "".join(f"\\{n + shift}" for n in rule.after)
-        rules.append((pattern, f"{before}<REDACTED:{rule.name}>{after}", rule.name))
+    for rule, boundary, body, kept_before, kept_after in MASKS:
+        shift = 1 if boundary else 0
+        pattern = (f"(^|[^{boundary}])" if boundary else "") + body
+        before = ("\\1" if shift else "") + "".join(f"\\{n + shift}" for n in kept_before)
+        after = "".join(f"\\{n + shift}" for n in kept_after)
+        rules.append((pattern, f"{before}{MARK}{rule}>{after}", rule))
     for k, (pattern, replacement, rule_name) in enumerate((*rules, *extra)):
         found = f"""flatten(list_transform(range(1, len(string_split(text, {NL})) + 1), lambda i:
           list_transform(regexp_extract_all(string_split(text, {NL})[i], {q(pattern)}),
@@ -228,7 +375,7 @@ def mask_chain(name: str, source: str, keys: str, text: str, extra: tuple[tuple[
             f"CASE WHEN regexp_matches(text, {q(pattern)}) THEN list_concat(hits, {found}) ELSE hits END AS hits FROM {name}_{k})"
         )
     last = len(rules) + len(extra)
-    steps.append(f"{name} AS (SELECT {keys}, text, list_sort(hits) AS hits FROM {name}_{last})")
+    steps.append(f"{name} AS (SELECT {keys}, replace(text, {q(MARK)}, '<REDACTED:') AS text, list_sort(hits) AS hits FROM {name}_{last})")
     return ", ".join(steps)
 
 

@@ -43,6 +43,12 @@ _PARTS = (
     (41, f"'ghp_' || {_HASH} || 'abcd xoxb-' || {_HASH} || {NL}"),
     (43, f"'jwt eyJ' || {_HASH} || '.eyJ' || {_HASH} || '.' || {_HASH} || {NL}"),
     (47, f"'DB_TOKEN=' || {_HASH} || {NL}"),
+    (51, f"'password = ' || {QUOTE} || repeat({BS} || 'n', 60) || {_id()} || {QUOTE} || {NL}"),
+    (57, f"'password = ' || {QUOTE} || '<hunter2' || {QUOTE} || ' and token: ' || {QUOTE} || {BS} || 'x41bcd' || {QUOTE} || {NL}"),
+    (63, f"'Authorization: Basic <abc' || {_id()} || {NL}"),
+    (69, f"'postgres://u:p/w@h/x and amqp://u:a@b' || {_id()} || '@h and http://h:80/a@b and http://h:1234567/a@b' || {NL}"),
+    (77, f"'DB_PASSWORD = hunter' || {_id()} || {NL} || 'aws_secret_access_key = a/b+' || {_HASH} || {NL} || 'token == x' || {NL}"),
+    (81, f"'password: hunter2 and token: string' || {NL} || 'secret=<REDACTED:old> secret=' || {QUOTE} || '<REDACTED:old>' || {QUOTE} || {NL}"),
 )
 _PREFIX = " || ".join(f"CASE WHEN doc_id % {n} = 0 THEN {part} ELSE '' END" for n, part in _PARTS)
 

@@ -86,12 +86,12 @@ def test_ignore_file(spark, text, expected):
     assert ignored(spark, text, *expected) == list(expected.values())
 
 
-def test_realistic_ignore_file(spark):
-    text = "# deps\nnode_modules/\n\n# build output\n/dist\nout/\n*.vsix\n\n# local\n.env\n.env.*\n!.env.example"
+def test_ignore_file_of_a_python_project(spark):
+    text = "__pycache__/\n*.py[co]\n/wheels\n\n# notebooks\n.ipynb_checkpoints\nreports/*.html\n!reports/index.html\n/data/**/raw\n"
     expected = {
-        "src/a.ts": False, "node_modules/pkg/index.js": True, "dist/extension.js": True,
-        "packages/app/dist/a.js": False, "out/test/a.js": True, "tool-0.0.1.vsix": True, ".env": True,
-        ".env.local": True, ".env.example": False,
+        "pkg/__pycache__/a.pyc": True, "pkg/a.py": False, "a.pyc": False, "wheels/x.whl": True, "sub/wheels/x.whl": False,
+        "nb/.ipynb_checkpoints/n.json": True, "reports/may.html": True, "reports/index.html": False,
+        "reports/old/may.html": False, "data/raw": True, "data/2024/q1/raw/f.csv": True, "other/data/raw/f.csv": False,
     }
     assert ignored(spark, text, *expected) == list(expected.values())
 
@@ -113,16 +113,16 @@ def test_size_limit(spark):
 
 def test_collect_files_gives_one_reason_each(spark):
     rows = [
-        ("src/a.ts", "x", 1), ("node_modules/pkg/b.js", "x", 1), ("assets/logo.png", "a\0", 2), ("docs/notes.md", "x", 1),
-        ("src/huge.ts", "x", 999 * 1024), ("src/bin.ts", "a\0", 2), ("dist/huge.ts", "x", 999 * 1024),
+        ("lib/cart.ts", "x", 1), ("vendor/dist/z.js", "x", 1), ("art/cover.webp", "a\0", 2), ("guide/intro.md", "x", 1),
+        ("lib/seed.ts", "x", 512 * 1024), ("lib/blob.ts", "a\0", 2), ("dist/seed.ts", "x", 512 * 1024),
     ]
     files = spark.createDataFrame(rows, "path string, content string, size_bytes bigint")
     kept, skipped = collect_files(files, compiled_rules(literal_settings(**BASE)))
-    assert sorted(r.path for r in kept.collect()) == ["docs/notes.md", "src/a.ts"]
+    assert sorted(r.path for r in kept.collect()) == ["guide/intro.md", "lib/cart.ts"]
     assert {r.path: (r.reason, r.detail) for r in skipped.collect()} == {
-        "node_modules/pkg/b.js": ("ignored", None),
-        "assets/logo.png": ("extension-filter", None),
-        "src/huge.ts": ("too-large", "999 KB"),
-        "src/bin.ts": ("binary", None),
-        "dist/huge.ts": ("ignored", None),
+        "vendor/dist/z.js": ("ignored", None),
+        "art/cover.webp": ("extension-filter", None),
+        "lib/seed.ts": ("too-large", "512 KB"),
+        "lib/blob.ts": ("binary", None),
+        "dist/seed.ts": ("ignored", None),
     }

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from bindery.operators.settings import (
     SETTINGS,
+    UNREADABLE,
     guard_options,
     literal_settings,
     problem_report,
@@ -21,20 +22,25 @@ def resolve(spark, *raws):
 
 
 def test_defaults(spark):
-    assert resolve(spark, {}, None, "not json", "[1]", "3") == [(DEFAULTS, [])] * 5
+    assert resolve(spark, {}, None, "", " \n ") == [(DEFAULTS, [])] * 4
     assert spark.range(1).select(literal_settings().alias("s")).first()["s"].asDict() == DEFAULTS
 
 
+def test_text_that_is_no_object_is_a_problem(spark):
+    raws = ["not json", "[1]", "3", '{"maxFileSizeKb": 9,}', '{"maxFileSizeKb": 9, "maxFileSizeKb": 8}', "null"]
+    assert resolve(spark, *raws) == [(DEFAULTS, [UNREADABLE])] * len(raws)
+
+
 def test_user_values(spark):
-    raw = {"maxFileSizeKb": 50, "respectGitignore": False, "outputLanguage": "en", "secretGuard.mode": "skipFile",
-           "previewBeforeCopy": "always", "includeExtensions": ["  ts  ", "", "js", "   "], "ignorePatterns": [],
-           "tokenWarningThreshold": 0, "secretGuard.enabled": False, "secretGuard.extraPatterns": ["ACME-\\d+"]}
+    raw = {"maxFileSizeKb": 64, "respectGitignore": False, "outputLanguage": "en", "secretGuard.mode": "skipFile",
+           "previewBeforeCopy": "always", "includeExtensions": ["", "rs ", "\t", " .lua"], "ignorePatterns": [],
+           "tokenWarningThreshold": 0, "secretGuard.enabled": False, "secretGuard.extraPatterns": ["ticket [0-9]+"]}
     settings, problems = resolve(spark, raw)[0]
     assert problems == []
-    assert settings == {**DEFAULTS, "max_file_size_kb": 50.0, "respect_gitignore": False, "output_language": "en",
-                        "guard_mode": "skipFile", "review_policy": "always", "include_extensions": ["ts", "js"],
+    assert settings == {**DEFAULTS, "max_file_size_kb": 64.0, "respect_gitignore": False, "output_language": "en",
+                        "guard_mode": "skipFile", "review_policy": "always", "include_extensions": ["rs", ".lua"],
                         "ignore_patterns": [], "token_warning_threshold": 0.0, "guard_enabled": False,
-                        "extra_patterns": ["ACME-\\d+"]}
+                        "extra_patterns": ["ticket [0-9]+"]}
 
 
 EXTENSIONS = '["ts","tsx","vue","js","jsx","json","css","scss","sql","cs","md"]'
@@ -43,15 +49,15 @@ EXTENSIONS = '["ts","tsx","vue","js","jsx","json","css","scss","sql","cs","md"]'
 @pytest.mark.parametrize(
     "raw,column,problem",
     [
-        ({"maxFileSizeKb": "big"}, "max_file_size_kb", 'maxFileSizeKb: expected a number >= 0 but found "big"; using 200'),
+        ({"maxFileSizeKb": "12 MB"}, "max_file_size_kb", 'maxFileSizeKb: expected a number >= 0 but found "12 MB"; using 200'),
         ({"maxFileSizeKb": -1}, "max_file_size_kb", "maxFileSizeKb: expected a number >= 0 but found -1; using 200"),
         ({"maxFileSizeKb": -1.5}, "max_file_size_kb", "maxFileSizeKb: expected a number >= 0 but found -1.5; using 200"),
         ('{"tokenWarningThreshold": 1e999}', "token_warning_threshold",
          "tokenWarningThreshold: expected a number >= 0 but found null; using 100000"),
-        ({"secretGuard.mode": "off"}, "guard_mode",
-         'secretGuard.mode: expected one of redact | skipFile but found "off"; using "redact"'),
-        ({"ignorePatterns": "node_modules"}, "ignore_patterns",
-         'ignorePatterns: expected an array of strings but found "node_modules"; using '
+        ({"secretGuard.mode": "blur"}, "guard_mode",
+         'secretGuard.mode: expected one of redact | skipFile but found "blur"; using "redact"'),
+        ({"ignorePatterns": "target,tmp"}, "ignore_patterns",
+         'ignorePatterns: expected an array of strings but found "target,tmp"; using '
          '["node_modules","dist","build","out","coverage",".git"]'),
         ({"respectGitignore": 1}, "respect_gitignore", "respectGitignore: expected a boolean but found 1; using true"),
         ({"respectGitignore": "true"}, "respect_gitignore", 'respectGitignore: expected a boolean but found "true"; using true'),
@@ -71,14 +77,14 @@ def test_bad_values_are_reported(spark, raw, column, problem):
 
 
 def test_non_string_entries_are_dropped_and_counted(spark):
-    settings, problems = resolve(spark, {"includeExtensions": ["ts", 42, "js", None]})[0]
-    assert settings["include_extensions"] == ["ts", "js"]
-    assert problems == ["includeExtensions: ignored 2 non-string entr(ies)"]
+    settings, problems = resolve(spark, {"includeExtensions": [False, "go", {"a": 1}, "rs", 0.5]})[0]
+    assert settings["include_extensions"] == ["go", "rs"]
+    assert problems == ["includeExtensions: ignored 3 non-string entr(ies)"]
 
 
 def test_each_problem_is_listed_in_order(spark):
-    _, problems = resolve(spark, {"outputLanguage": "fr", "maxFileSizeKb": "x", "respectGitignore": 1})[0]
-    assert [p.split(":")[0] for p in problems] == ["respectGitignore", "maxFileSizeKb", "outputLanguage"]
+    _, problems = resolve(spark, {"previewBeforeCopy": "maybe", "ignorePatterns": 7, "tokenWarningThreshold": []})[0]
+    assert [p.split(":")[0] for p in problems] == ["ignorePatterns", "tokenWarningThreshold", "previewBeforeCopy"]
 
 
 def test_problem_report(spark):
