@@ -36,19 +36,20 @@ def attach(facts: DataFrame, classes: DataFrame, keys: list[str], values: list[s
     ``classes`` has one row per key and tells in ``rows_in`` how many facts it owns.
     Fewer than ``HEAVY_SHARES`` classes can own more than 1/``HEAVY_SHARES`` of the
     ``total``; those are broadcast and their facts stay where they are in the first
-    join. In the second they carry a null key next to a hash of ``spread``, which
-    matches nothing and deals them out evenly.
+    join. In the second they carry a null key, which matches nothing, and a hash of
+    ``spread`` in place of the hash of the key, which deals them out evenly.
     """
     heavy = classes.where(F.col(rows_in) * F.lit(HEAVY_SHARES) > F.lit(total))
     light = classes.where(F.col(rows_in) * F.lit(HEAVY_SHARES) <= F.lit(total))
     heavy = F.broadcast(heavy.select(*[F.col(k).alias(f"_h_{k}") for k in keys], *[F.col(v).alias(f"_h_{v}") for v in values], F.lit(True).alias("_h")))
     first = facts.join(heavy, [facts[k] == heavy[f"_h_{k}"] for k in keys], "left")
-    first = first.withColumn("_deal", F.when(F.col("_h"), F.xxhash64(F.lit("deal"), F.col(spread))))
+    dealt = F.when(F.col("_h"), F.xxhash64(F.lit("deal"), F.col(spread))).otherwise(F.xxhash64(*keys))
+    first = first.withColumn("_deal", dealt)
     for k in keys:
         first = first.withColumn(f"_k_{k}", F.when(F.col("_h").isNull(), F.col(k)))
-    light = light.select(F.lit(0).cast("bigint").alias("_l_deal"), *[F.col(k).alias(f"_l_{k}") for k in keys], *[F.col(v).alias(f"_l_{v}") for v in values])
-    on = [F.coalesce(first["_deal"], F.lit(0).cast("bigint")) == light["_l_deal"]]
-    both = first.join(light, on + [first[f"_k_{k}"] == light[f"_l_{k}"] for k in keys], "left")
+    light = light.select(F.xxhash64(*keys).alias("_l_deal"), *[F.col(k).alias(f"_l_{k}") for k in keys], *[F.col(v).alias(f"_l_{v}") for v in values])
+    on = [first["_deal"] == light["_l_deal"], *[first[f"_k_{k}"] == light[f"_l_{k}"] for k in keys]]
+    both = first.join(light, on, "left")
     return both.select(*[F.col(c) for c in facts.columns], *[F.coalesce(F.col(f"_h_{v}"), F.col(f"_l_{v}")).alias(v) for v in values])
 
 
