@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bindery.functions.text import utf16_length
 
-# A shorter root would rewrite every path, and what the roots become.
+# Least length of a root in UTF-16 units, and what takes the place of roots.
 MIN_ROOT_LENGTH = 4
 WORKSPACE_MARK = "."
 HOME_MARK = "~"
@@ -22,6 +22,6 @@ def root_regex(root: Column) -> Column:
 
 
 def scrub_paths(content: Column, workspace_regex: Column, home_regex: Column) -> Column:
-    """The workspace root goes first, because it usually lies inside the home directory."""
+    """Both roots replaced, the workspace one before the other; a NULL pattern changes nothing."""
     text = F.coalesce(F.regexp_replace(content, workspace_regex, F.lit(WORKSPACE_MARK)), content)
     return F.coalesce(F.regexp_replace(text, home_regex, F.lit(HOME_MARK)), text)
