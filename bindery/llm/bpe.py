@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -30,7 +30,7 @@ import regex
 NONE = np.int32(2**31 - 1)
 WINDOW_BYTES = 48
 BATCH_SYMBOLS = 1 << 19
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 
 def byte_alphabet() -> list[str]:
@@ -235,7 +235,7 @@ class Tokenizer:
     occur in a text are one id each, as the library has it.
     """
 
-    def __init__(self, path: str, build: Callable[[bytes], object] | None = None, words: int = CACHE_WORDS):
+    def __init__(self, path: str, words: int = CACHE_WORDS):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
@@ -249,8 +249,8 @@ class Tokenizer:
         self._added = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self._marks = {t[0] for t in self.added}
         self._pieces = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
-        self._build = build
-        self._cache: dict[str, object] = {}
+        self._recent: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         self._words = words
 
     def _split(self, text: str) -> list[str]:
@@ -275,29 +275,46 @@ class Tokenizer:
             out += [" " + part] if n % 2 else self._split(part)
         return out
 
-    def _resolve(self, missing: list[str]) -> dict[str, object]:
-        whole = [w for w in missing if w.isalpha()]
-        mixed = {w: self._pieces.findall(w) for w in missing if not w.isalpha() and w[0] != " "}
-        pieces = list({*whole, *(p for parts in mixed.values() for p in parts)})
-        ids = dict(zip(pieces, self.transducer.encode([p.encode("utf-8", "replace") for p in pieces])))
-        out = {w: ids[w] for w in whole} | {w: b"".join([ids[p] for p in parts]) for w, parts in mixed.items()}
-        out |= {w: self.added[w[1:]].to_bytes(4, "little") for w in missing if w[0] == " "}
-        return {w: self._build(found) for w, found in out.items()} if self._build else out
-
-    def parts(self, texts: list[str]) -> list[list]:
-        """For each text what ``build`` makes of the ids of its words, in order."""
+    def _cut(self, word: str) -> list[str]:
+        """The pieces of a word that is not all letters; most have one mark at the end."""
+        if word[-1] in ".,;:!?" and word[:-1].isalpha():
+            return [word[:-1], word[-1]]
+        return self._pieces.findall(word)
+
+    def _resolve(self, missing: set[str], known: dict[str, bytes]) -> None:
+        """Adds the ids of words to ``known``. A piece has the ids it has as a word of its own."""
+        plain = list(filter(str.isalpha, missing))
+        mixed = missing.difference(plain)
+        if self._added is not None:
+            marks = {w for w in mixed if w[0] == " "}
+            known.update((w, self.added[w[1:]].to_bytes(4, "little")) for w in marks)
+            mixed -= marks
+        mixed = list(mixed)
+        cut = list(map(self._cut, mixed))
+        new = plain + list(set(chain.from_iterable(cut)).difference(known).difference(plain))
+        known.update(zip(new, self.transducer.encode(list(map(str.encode, new)))))
+        known.update(zip(mixed, [b"".join([known[p] for p in parts]) for parts in cut]))
+
+    def parts(self, texts: list[str]) -> list[list[bytes]]:
+        """For each text the ids of its words, in order.
+
+        Words are kept in two generations: a full one becomes the older one, from which
+        words that turn up again come back.
+        """
         cut = [self.words(t) for t in texts]
-        cache = self._cache
         needed = set(chain.from_iterable(cut))
-        missing = needed.difference(cache)
-        if missing:
-            made = self._resolve(list(missing))
-            if len(cache) + len(made) > self._words:
-                # Start again with the words of these texts.
-                cache = {w: cache[w] for w in needed.intersection(cache)}
-            cache.update(made)
-            self._cache = cache if len(cache) <= self._words else {}
-        return [list(map(cache.__getitem__, words)) for words in cut]
+        if len(self._recent) + len(needed) > self._words:
+            self._older, self._recent = self._recent, {}
+        recent, older = self._recent, self._older
+        missing = needed.difference(recent)
+        unknown = missing.difference(older)
+        recent.update((w, older[w]) for w in missing - unknown)
+        if unknown:
+            self._resolve(unknown, recent)
+        out = [list(map(recent.__getitem__, words)) for words in cut]
+        if len(recent) > self._words:
+            self._recent = {}
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -306,15 +323,19 @@ class Tokenizer:
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str) -> Tokenizer:
-    """One tokenizer per Python worker and file; its word cache outlives a task."""
+    """One tokenizer per Python worker and file; its word cache outlives a task.
+
+    Operators that do without call ``tokenizer.cache_clear()`` when a task begins, since a
+    worker that has served an encoder before would keep its words for nothing.
+    """
     return Tokenizer(path)
 
 
-def batches(texts: list[str | None], most_chars: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
-    """Whole texts in groups of about ``most_chars``, with the number of the first; null is empty."""
+def batches(texts: Iterable, most_chars: int = 500_000) -> Iterator[tuple[int, list[str]]]:
+    """Whole texts (strings or Arrow strings) in groups of about ``most_chars``, with the number of the first; null is empty."""
     first, held, size = 0, [], 0
     for n, text in enumerate(texts):
-        held.append(text or "")
+        held.append((text if text is None or isinstance(text, str) else text.as_py()) or "")
         size += len(held[-1])
         if size >= most_chars:
             yield first, held

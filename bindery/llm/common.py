@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindery.operators.joins import BROADCAST_BYTES, measured_bytes
@@ -11,12 +11,24 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HEAVY_SHARES = 1024
 
 
+# Texts are long: rows go to Python by size. Spark's own bound is the second value.
+BATCH_BYTES, DEFAULT_BATCH_BYTES = "4m", "67108864b"
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the size of Arrow batches, unless the session has a bound of its own."""
+    if spark.conf.get(BATCH_CONF, None) == DEFAULT_BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
+
+
 def pick(df: DataFrame, **columns: str | tuple[str, str]) -> DataFrame:
     """Only the named input columns, under the operator's own names and types.
 
     Extra columns of the input, whatever they are called, are left behind here, so they
     cannot clash with names an operator makes.
     """
+    bounded_batches(df.sparkSession)
     out = []
     for name, given in columns.items():
         column, kind = given if isinstance(given, tuple) else (given, None)

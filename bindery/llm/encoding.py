@@ -37,8 +37,8 @@ def encode_documents(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_c
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokenizer(vocab)
         for frame in frames:
-            keys, texts = frame.column(0), frame.column(1).to_pylist()
-            for first, group in batches(texts):
+            keys = frame.column(0)
+            for first, group in batches(frame.column(1)):
                 ids = encoder.encode(group)
                 ends = np.cumsum([0, *map(len, ids)]) // 4
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))

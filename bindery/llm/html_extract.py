@@ -77,9 +77,9 @@ def winning_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html"
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            hosts, out = frame.column(0).to_pylist(), []
-            for name, html in zip(hosts, frame.column(1).to_pylist()):
-                out += [(name, path, vote) for path, vote in votes(html or "")]
+            out = []
+            for name, html in zip(frame.column(0), frame.column(1)):
+                out += [(name.as_py(), path, vote) for path, vote in votes(html.as_py() or "")]
             columns = list(zip(*out)) or [(), (), ()]
             kinds = (pa.string(), pa.string(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["host", "path", "vote"])
@@ -101,7 +101,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            found = [extract(h or "", p or []) for h, p in zip(frame.column(2).to_pylist(), frame.column(3).to_pylist())]
+            found = [extract(h.as_py() or "", p.as_py() or []) for h, p in zip(frame.column(2), frame.column(3))]
             columns = [frame.column(0), frame.column(1), pa.array([t for t, _ in found], pa.string()), pa.array([p for _, p in found], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "path"])
 

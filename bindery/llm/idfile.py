@@ -94,8 +94,7 @@ def _encode(rows: DataFrame, vocab: str, end_id: int, wide: bool) -> DataFrame:
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, at = tokenizer(vocab), TaskContext.get().partitionId(), 0
         for frame in frames:
-            texts = frame.column(1).to_pylist()
-            for first, group in batches(texts):
+            for first, group in batches(frame.column(1)):
                 coded, ats = [], []
                 for ids in encoder.encode(group):
                     ids = np.append(np.frombuffer(ids, "<u4"), end_id).astype(kind)
@@ -115,7 +114,7 @@ def _count(coded: DataFrame, kind: str) -> DataFrame:
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for frame in frames:
-            for ids in frame.column(0).to_pylist():
+            for ids in (value.as_py() for value in frame.column(0)):
                 found = np.bincount(np.frombuffer(ids, kind), minlength=len(total))
                 found[: len(total)] += total
                 total = found
@@ -141,7 +140,7 @@ def _segments(coded: DataFrame, ranks: np.ndarray, kind: str) -> DataFrame:
 
         for frame in frames:
             key_type = frame.column(0).type
-            for row in zip(*[frame.column(i).to_pylist() for i in range(4)]):
+            for row in ((a.as_py(), b.as_py(), c.as_py(), d.as_py()) for a, b, c, d in zip(*[frame.column(i) for i in range(4)])):
                 # A task may read parts of several shards; a segment is one run of one shard.
                 if held and (size >= SEGMENT_IDS or row[1] != held[0][1] or row[2] != held[0][2] + size):
                     yield close()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindery.llm.common import pick
-from bindery.llm.words import hash_groups
+from bindery.llm.words import each_text, hash_groups
 
 GROUPS, GROUP_WORDS = 32, 32
 BUCKETS = 128
@@ -158,17 +158,17 @@ class Trainer:
 
 
 def _word_groups(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    return hash_groups([t.lower() if t else b"" for t in column.cast(pa.binary()).to_pylist()])
+    return hash_groups(t.lower() if t else b"" for t in each_text(column))
 
 
 def count_words(rows: DataFrame) -> DataFrame:
-    """``word, n`` over all texts: one partial count per group of texts, then one sum per word."""
+    """``word, n`` over all texts: one partial count per batch of texts, then one sum per word."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            for _, words, _ in _word_groups(frame.column(1)):
-                found, n = np.unique(words, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["word", "n"])
+            words = [np.empty(0, np.uint64), *[w for _, w, _ in _word_groups(frame.column(1))]]
+            found, n = np.unique(np.concatenate(words), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["word", "n"])
 
     return rows.mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 

@@ -158,8 +158,8 @@ def pack_documents(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col
 
         for frame in frames:
             key_type = frame.column(0).type
-            keys, texts = frame.column(0).to_pylist(), frame.column(1).to_pylist()
-            for first, group in batches(texts):
+            keys = frame.column(0).to_pylist()
+            for first, group in batches(frame.column(1)):
                 done = []
                 for doc, ids in zip(keys[first:], encoder.encode(group)):
                     done += packer.place((doc, 0, ids + end, len(ids) // 4 + 1))

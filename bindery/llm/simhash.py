@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from bindery.llm.common import attach, leave_out, pick, row_key
 from bindery.llm.components import components
+from bindery.llm.words import each_text
 from bindery.session import store
 
 SHINGLE_WORDS = 4
@@ -40,7 +41,7 @@ SEED = 42
 LEAST_BLOCK, MOST_BLOCK, AIMED_BLOCKS = 4096, 1 << 18, 32
 FANOUT = 8
 NODE_FANOUT = 16
-FRONTIER = 1 << 20
+FRONTIER = 1 << 17
 ROWS_AT_ONCE = 1 << 14
 
 
@@ -69,8 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            texts = frame.column(2).cast(pa.binary())
-            codes = np.array([fingerprint(t.as_py() or b"", shingle) for t in texts], np.uint64)
+            codes = np.array([fingerprint(t or b"", shingle) for t in each_text(frame.column(2))], np.uint64)
             yield pa.RecordBatch.from_arrays([frame.column(0), frame.column(1), pa.array(codes.view(np.int64))], names=["doc_id", "row_key", "code"])
 
     rows = pick(docs, doc_id=id_col, text=(text_col, "string")).select("doc_id", row_key(F.col("text")).alias("row_key"), "text")

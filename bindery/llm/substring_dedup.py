@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindery.llm.common import join_small, pick
-from bindery.llm.words import BASES, hash_groups, hash_text, spans, stir, word_edges
+from bindery.llm.words import BASES, each_text, hash_groups, hash_text, spans, stir, word_edges
 from bindery.session import store
 
 WINDOW = 50
@@ -74,9 +74,8 @@ def _segments(rows: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            texts = frame.column(2).cast(pa.binary()).to_pylist()
-            second = hash_groups(texts, BASES[1])
-            for (first, hashes, offsets), (_, other, _) in zip(hash_groups(texts), second):
+            second = hash_groups(each_text(frame.column(2)), BASES[1])
+            for (first, hashes, offsets), (_, other, _) in zip(hash_groups(each_text(frame.column(2))), second):
                 text, start, windows, anchor = find_segments(hashes, offsets)
                 if not len(text):
                     continue

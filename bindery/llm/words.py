@@ -7,11 +7,16 @@ stirred. Texts are hashed in groups of bounded size; a longer text is cut at a b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
-GROUP_BYTES = 1 << 20
+from bindery.llm.bpe import tokenizer
+
+GROUP_BYTES = 1 << 18
+END = bytes(bytearray(b"end of texts"))
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 BLANKS = np.zeros(256, bool)
@@ -50,6 +55,12 @@ def spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uin
     return (total[ends] - total[starts]) * down[starts]
 
 
+def each_text(column: pa.Array) -> Iterator[bytes | None]:
+    """The texts of a column one by one, so that a batch is not held twice."""
+    tokenizer.cache_clear()
+    return (value.as_py() for value in column.cast(pa.binary()))
+
+
 def word_edges(raw: np.ndarray, blanks: np.ndarray = BLANKS) -> tuple[np.ndarray, np.ndarray]:
     inside = np.zeros(len(raw) + 2, np.int8)
     inside[1:-1] = ~blanks[raw]
@@ -84,15 +95,15 @@ def hash_text(text: bytes, base: np.uint64 = BASES[0], blanks: np.ndarray = BLAN
     return np.concatenate(out)
 
 
-def hash_groups(texts: list[bytes | None], base: np.uint64 = BASES[0], blanks: np.ndarray = BLANKS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def hash_groups(texts: Iterable[bytes | None], base: np.uint64 = BASES[0], blanks: np.ndarray = BLANKS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For groups of texts: number of the first, hashes of all their words, word offsets of each text.
 
     The offsets have one entry more than the group has texts; null counts as empty.
     """
     first, held, size = 0, [], 0
-    for n, text in enumerate([*texts, None]):
+    for n, text in enumerate(chain(texts, [END])):
         text = text or b""
-        if held and (n == len(texts) or size + len(text) > GROUP_BYTES):
+        if held and (text is END or size + len(text) > GROUP_BYTES):
             if len(held) == 1:
                 found = hash_text(held[0], base, blanks)
                 yield first, found, np.array([0, len(found)])
