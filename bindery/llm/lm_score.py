@@ -1,15 +1,22 @@
 """Scores documents by masked pseudo-likelihood under a small bidirectional network.
 
 Every word is predicted from the two words before and after it: embeddings of the four,
-one hidden layer, and a two-step softmax (group of the word, then the word in its group).
-A document's score is the sum of the log-probabilities of its words.
-
-The vocabulary is what Spark counts over all documents: the most frequent words each have
-an id, all others share hash buckets. Training is distributed: in each of ``ROUNDS`` rounds
-every task trains a copy of the network, in numpy, on its share of the round's documents,
-and Spark averages the copies by the number of words they saw. Each document is trained on
-once, over its whole text, so what is learnt grows with the corpus; network and
-vocabulary do not. A task that runs again over the same rows trains the same copy.
+one hidden layer, and a three-step choice: group of the token, token in its group, word in
+its token. A document's score is the sum of the log-probabilities of its words.
+
+Spark counts every word of all documents. The ``FREQUENT`` most frequent words are tokens of
+their own; each other word belongs to one of ``BUCKETS`` tokens by its hash, and its
+probability given that token is its share of the bucket's occurrences. So every word has a
+statistic of its own, and their table grows with the corpus: up to ``MOST_SENT`` words it is
+sent to the tasks, beyond that the words of each text are joined to it by a shuffle, with the
+same scores. A word that was never counted gets the share of one occurrence, so words counted
+once need no row in that table. The network is of fixed size: as context, and in the choice of the token, a word of a bucket counts as its
+bucket.
+
+Training is distributed: in each of ``ROUNDS`` rounds every task trains a copy of the network,
+in numpy, on its share of the round's documents, and Spark averages the copies by the number of
+words they saw. Each document is trained on once, over its whole text. A task that runs again
+over the same rows trains the same copy.
 
 Defined results: null and empty texts have no words and score 0; a null id is passed on;
 rows that repeat an id are scored each; an empty table gives an empty result; other columns
@@ -19,6 +26,7 @@ are ignored. Words are runs of bytes other than blank and 09-0D, with A-Z lower-
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +35,8 @@ from pyspark.sql import functions as F
 
 from bindery.llm.common import pick
 from bindery.llm.words import each_text, hash_groups
+from bindery.operators.joins import join_dimension
+from bindery.session import store
 
 GROUPS, GROUP_WORDS = 32, 32
 BUCKETS = 128
@@ -39,10 +49,23 @@ BATCH = 2048
 RATE = 0.3
 ROUNDS = 2
 SEED = 11
+MOST_SENT = 1 << 21  # 16 bytes each, 32 MB
 
 Network = dict[str, np.ndarray]
 
 
+@dataclass
+class Vocabulary:
+    """Frequent words (sorted hashes, ranks), ``word, share`` of others counted twice or more, and by bucket the share of one occurrence.
+
+    Shares are logarithms.
+    """
+
+    frequent: tuple[np.ndarray, np.ndarray]
+    others: DataFrame
+    single: np.ndarray
+
+
 def new_network() -> Network:
     rng = np.random.default_rng(SEED)
     shapes = {
@@ -198,14 +221,26 @@ def _train_round(rows: DataFrame, words, network: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "place int, total double").groupBy("place").agg(F.sum("total").alias("total"))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
-    """Vocabulary (sorted hashes, ranks) and network."""
-    rows = pick(docs, doc_id=(id_col, "string"), text=(text_col, "string"))
-    top = count_words(rows).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+def count_vocabulary(rows: DataFrame) -> Vocabulary:
+    counts = store(count_words(rows), "word-counts")
+    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    words = (hashes[order], order.astype(np.int32))
-    sent = docs.sparkSession.sparkContext.broadcast(words)
+    named = rows.sparkSession.createDataFrame([(r["word"],) for r in top], "word bigint")
+    others = counts.join(F.broadcast(named), "word", "left_anti").withColumn("bucket", F.col("word").bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+    sums = others.groupBy("bucket").agg(F.sum("n").alias("in_bucket"))
+    totals = np.zeros(BUCKETS)
+    for row in sums.collect():  # at most BUCKETS
+        totals[row["bucket"]] = row["in_bucket"]
+    shares = others.where("n > 1").join(F.broadcast(sums), "bucket").select("word", F.log(F.col("n") / (F.col("in_bucket") + 1)).alias("share"))
+    return Vocabulary((hashes[order], order.astype(np.int32)), shares, -np.log(totals + 1))
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
+    """Vocabulary and network."""
+    rows = pick(docs, doc_id=(id_col, "string"), text=(text_col, "string"))
+    words = count_vocabulary(rows)
+    sent = docs.sparkSession.sparkContext.broadcast(words.frequent)
     network = flatten(new_network()).astype(np.float64)
     for turn in range(ROUNDS):
         share = rows.where(F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(ROUNDS)) == turn)
@@ -215,24 +250,77 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
     return words, unflatten(network)
 
 
-def score_documents(docs: DataFrame, words, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def log_shares(words: np.ndarray, ids: np.ndarray, known: np.ndarray, shares: np.ndarray, single: np.ndarray) -> np.ndarray:
+    """Log-probability of every word given its token."""
+    out = np.zeros(len(words))
+    rare = np.flatnonzero(ids >= FREQUENT)
+    found = single[ids[rare] - FREQUENT]
+    if len(known) and len(rare):
+        at = np.minimum(np.searchsorted(known, words[rare]), len(known) - 1)
+        found = np.where(known[at] == words[rare], shares[at], found)
+    out[rare] = found
+    return out
+
+
+def _joined_shares(rows: DataFrame, words: Vocabulary) -> DataFrame:
+    """``key_a, key_b, rare``: per text the sum of its words' log-shares, by a join of its words to the table."""
+    sent = rows.sparkSession.sparkContext.broadcast(words.frequent)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for first, hashes, offsets in _word_groups(frame.column(2)):
+                rare = np.flatnonzero(token_ids(hashes, *sent.value) >= FREQUENT)
+                text, found = np.searchsorted(offsets, rare, side="right") - 1, hashes[rare]
+                order = np.lexsort((found, text))
+                text, found = text[order], found[order]
+                starts = np.flatnonzero(np.concatenate([np.ones(min(len(text), 1), bool), (text[1:] != text[:-1]) | (found[1:] != found[:-1])]))
+                owner = pa.array(first + text[starts])
+                columns = [frame.column(0).take(owner), frame.column(1).take(owner), pa.array(found[starts].view(np.int64))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(np.append(starts, len(text))))], names=["key_a", "key_b", "word", "times"])
+
+    keyed = rows.select("key_a", "key_b", "text")
+    held = keyed.mapInArrow(run, "key_a bigint, key_b bigint, word bigint, times bigint").join(words.others, "word", "left")
+    other = F.element_at(F.lit(words.single.tolist()), (F.col("word").bitwiseAND(F.lit(BUCKETS - 1)) + 1).cast("int"))
+    parts = held.select("key_a", "key_b", (F.col("times") * F.coalesce("share", other)).alias("part"), F.lit(0).alias("copy"))
+    # Every copy of a text brings all its words, so the sum is divided by their number.
+    copies = keyed.select("key_a", "key_b", F.lit(0.0).alias("part"), F.lit(1).alias("copy"))
+    return parts.unionByName(copies).groupBy("key_a", "key_b").agg((F.sum("part") / F.sum("copy")).alias("rare"))
+
+
+def score_documents(docs: DataFrame, words: Vocabulary, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, log_prob`` for every row."""
     rows = pick(docs, doc_id=id_col, text=(text_col, "string"))
-    known = docs.sparkSession.sparkContext.broadcast((words, network))
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("key_a"), F.xxhash64(F.lit(SEED), "text").alias("key_b"))
+    table = words.others.limit(MOST_SENT + 1).toArrow()
+    sent = table.num_rows <= MOST_SENT
+    hashes, shares = np.empty(0, np.uint64), np.empty(0)
+    if sent:
+        hashes = table["word"].to_numpy().view(np.uint64)
+        order = np.argsort(hashes)
+        hashes, shares = hashes[order], table["share"].to_numpy()[order]
+    known = docs.sparkSession.sparkContext.broadcast((words.frequent, network, hashes, shares, words.single if sent else np.zeros(BUCKETS)))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (vocabulary, ranks), net = known.value
+        frequent, net, *rare = known.value
         for frame in frames:
             counts, sums = [], []
             for _, hashes, offsets in _word_groups(frame.column(1)):
-                ids = token_ids(hashes, vocabulary, ranks)
-                total = np.concatenate([[0.0], np.cumsum(log_probabilities(net, ids, contexts(ids, offsets)))])
+                ids = token_ids(hashes, *frequent)
+                found = log_probabilities(net, ids, contexts(ids, offsets)) + log_shares(hashes, ids, *rare)
+                total = np.concatenate([[0.0], np.cumsum(found)])
                 counts.append(np.diff(offsets))
                 sums.append(total[offsets[1:]] - total[offsets[:-1]])
             columns = [np.concatenate([np.empty(0, np.int64), *counts]), np.concatenate([np.empty(0), *sums])]
-            yield pa.RecordBatch.from_arrays([frame.column(0), *map(pa.array, columns)], names=["doc_id", "n_tokens", "log_prob"])
-
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, log_prob double")
+            kept = [frame.column(0), frame.column(2), frame.column(3)]
+            yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, columns)], names=["doc_id", "key_a", "key_b", "n_tokens", "log_prob"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    scored = rows.mapInArrow(run, f"doc_id {kind}, key_a bigint, key_b bigint, n_tokens bigint, log_prob double")
+    if not sent:
+        joined = store(_joined_shares(rows, words), "rare-words")
+        scored = join_dimension(store(scored, "scored"), joined, ["key_a", "key_b"], spread_by=["doc_id"])
+        scored = scored.withColumn("log_prob", F.col("log_prob") + F.coalesce("rare", F.lit(0.0)))
+    return scored.select("doc_id", "n_tokens", "log_prob")
 
 
 def op2_lm_score(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@ import random
 import numpy as np
 from bindery.llm import lm_score
 from bindery.llm.lm_score import OUTSIDE, TOKENS, Trainer, contexts, flatten, log_probabilities, new_network, score_documents, token_ids, train, unflatten
+from bindery.llm.words import hash_text
+from bindery.operators.joins import join_dimension
 
 
 def test_contexts_stop_at_the_ends_of_texts():
@@ -81,3 +83,25 @@ def test_awkward_and_empty_tables(awkward, awkward_rows, no_documents):
 def test_rare_words_share_buckets():
     vocabulary, ranks = np.array([5, 9], np.uint64), np.array([1, 0], np.int32)
     assert token_ids(np.array([9, 5, 6], np.uint64), vocabulary, ranks).tolist() == [0, 1, lm_score.FREQUENT + 6]
+
+
+def test_rare_words_are_scored_as_themselves(spark, monkeypatch):
+    """Two words of one bucket differ by their counts, on both ways to the table of words."""
+    names = [f"w{i}" for i in range(lm_score.FREQUENT)]
+    buckets: dict[int, list[str]] = {}
+    for i in range(300):
+        buckets.setdefault(int(hash_text(f"r{i}".encode())[0]) % lm_score.BUCKETS, []).append(f"r{i}")
+    often, once, never = next(b for b in buckets.values() if len(b) >= 3)[:3]
+    texts = [" ".join(names)] * 9 + [" ".join([often] * 5 + [once])] + [f"r{i}" for i in range(300) if f"r{i}" not in (often, once, never)]
+    words, net = train(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    asked = [(n, f"w1 w2 {w} w3 {w}") for n, w in enumerate([often, once, never, "w4"])] + [(0, f"w1 w2 {often} w3 {often}"), (9, None)]
+    frame = spark.createDataFrame(asked, "doc_id bigint, text string")
+    rows = score_documents(frame, words, net).collect()
+    found = {r.doc_id: r.log_prob for r in rows}
+    assert abs(found[0] - found[1] - 2 * np.log(5)) < 1e-6
+    assert abs(found[1] - found[2]) < 1e-6 and found[9] == 0
+    for small_join in (1 << 25, 0):
+        monkeypatch.setattr(lm_score, "MOST_SENT", 2)
+        monkeypatch.setattr(lm_score, "join_dimension", lambda *a, **k: join_dimension(*a, **k, broadcast_bytes=small_join))
+        again = score_documents(frame, words, net).collect()
+        assert sorted((r.doc_id, r.n_tokens, round(r.log_prob, 6)) for r in again) == sorted((r.doc_id, r.n_tokens, round(r.log_prob, 6)) for r in rows)
