@@ -1,12 +1,14 @@
 """Main text of web pages by a consensus of the pages of a host.
 
-1. Every page scores its containers (prose less links and page furniture) and votes for
-   the generalised tag-class paths of the best ones.
+1. Every page scores the generalised tag-class paths of its containers (prose less links and
+   page furniture, over all elements on the path) and votes for the best ones.
 2. Votes are summed per host and path in Spark. Paths that a fifth of a host's pages
    back win, the strongest first.
-3. Every page is read again with its host's winning paths: its text is that of the first
-   one that leads to a container of weight. A page where none does, because it follows
-   another template, uses its own best container.
+3. Every page is read again with its host's winning paths: its text is that of all elements
+   on the first path that holds most of the prose of the page's best one, in page order.
+   A path with a little less (``LEAST_WEIGHT``) is taken too if what it leaves out is one
+   element that the host does not know. A page where none does, because it follows
+   another template, uses its own best path.
 
 Pages never move while the table of winners is small; beyond that size a host that owns a
 third of all pages is split into shares (``join_dimension``).
@@ -32,39 +34,53 @@ from bindery.session import store
 
 CLOSE_TO_BEST = 0.8
 BACKING = 0.2
-LEAST_WEIGHT = 0.3
+MOST, LEAST_WEIGHT = 0.5, 0.4
 
 
-def _best(page: Page) -> tuple[float, int] | None:
-    """The best container; of equal ones the innermost."""
-    return max(containers(page), default=None)
+def _by_path(page: Page) -> dict[str, tuple[float, list[int]]]:
+    """Score and elements of every path, elements in page order. No two of a path are nested."""
+    found: dict[str, tuple[float, list[int]]] = {}
+    for score, element in containers(page):
+        total, elements = found.get(page.paths[element], (0.0, []))
+        found[page.paths[element]] = (total + score, [*elements, element])
+    return found
+
+
+def _text(page: Page, elements: list[int]) -> str:
+    return "\n".join(filter(None, (text_below(page, n) for n in elements)))
+
+
+def _one_stranger(page: Page, own: list[int], elements: list[int], paths: list[str]) -> bool:
+    """Whether what ``own`` holds beyond ``elements`` lies in a single element that no winning path leads to."""
+    rest = sum(page.prose[n] for n in own) - sum(page.prose[n] for n in elements)
+    inside = (n for a in own for n in range(a + 1, page.last[a] + 1))
+    return any(page.prose[n] >= rest and page.paths[n] not in paths and not any(n <= e <= page.last[n] for e in elements) for n in inside)
 
 
 def votes(html: str) -> list[tuple[str, float]]:
-    """Paths of the page's containers that come close to its best, each once, with their share of it."""
-    page = read_page(html)
-    scored = containers(page)
-    top = max(scored, default=(0.0, 0))[0]
+    """Paths of the page that come close to its best, each once, with their share of it."""
+    scored = _by_path(read_page(html))
+    top = max((score for score, _ in scored.values()), default=0.0)
     if top <= 0:
         return []
-    found: dict[str, float] = {}
-    for score, element in scored:
-        if score >= CLOSE_TO_BEST * top:
-            found[page.paths[element]] = max(found.get(page.paths[element], 0.0), score / top)
-    return list(found.items())
+    return [(path, score / top) for path, (score, _) in scored.items() if score >= CLOSE_TO_BEST * top]
 
 
 def extract(html: str, paths: list[str]) -> tuple[str, str]:
     """Main text and the path it was found by."""
     page = read_page(html)
-    own = _best(page)
-    if own is None:
+    scored = _by_path(page)
+    if not scored:
         return "", ""
+    best = max(scored, key=lambda path: (scored[path][0], scored[path][1]))  # of equal ones the innermost
+    own = scored[best][1]
+    prose = sum(page.prose[n] for n in own)
     for path in paths:
-        score, element = max(((s, n) for s, n in containers(page) if page.paths[n] == path), default=(0.0, -1))
-        if element >= 0 and score > 0 and page.prose[element] >= LEAST_WEIGHT * page.prose[own[1]]:
-            return text_below(page, element), path
-    return text_below(page, own[1]), page.paths[own[1]]
+        score, elements = scored.get(path, (0.0, []))
+        held = sum(page.prose[n] for n in elements)
+        if score > 0 and (held >= MOST * prose or held >= LEAST_WEIGHT * prose and _one_stranger(page, own, elements, paths)):
+            return _text(page, elements), path
+    return _text(page, own), best
 
 
 def host(url):

@@ -71,3 +71,26 @@ def test_hosts(spark):
     urls = {"HTTP://u:p@Ex.Org:8080/a@b": "ex.org", "https://a.b?x": "a.b", "no url": "", None: "", "//x/y": ""}
     rows = spark.createDataFrame([(u,) for u in urls], "u string").select("u", host(F.col("u")).alias("h")).collect()
     assert {r.u: r.h for r in rows} == urls
+
+
+def test_all_parts_on_the_winning_path(spark):
+    """An article in several siblings of one path comes back whole, in page order, also where most pages have one."""
+    links = "<p>" + "<a href=x>elsewhere on this site</a> " * 12 + "</p>"
+
+    def parts(*texts):
+        sections = "".join(f"<section class=part><p>{t}</p></section>" for t in texts)
+        return f"<html><body><main>{links}{sections}</main></body></html>"
+
+    texts = [f"{n}. {PARA * size}".strip() for n, size in enumerate((4, 9, 3))]
+    rows = [(n, "https://a.example/x", parts(texts[1])) for n in range(6)] + [(6, "https://a.example/y", parts(*texts)), (7, "https://b.example/", parts(*texts))]
+    found = {r.page_id: (r.path, r.text) for r in extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert {path for path, _ in found.values()} == {"/html/body/main/section.part"}
+    assert found[0][1] == texts[1] and found[6][1] == found[7][1] == "\n".join(texts)
+
+
+def test_a_path_must_hold_most_of_the_prose():
+    """Two fifths of a page in one place of the host and the rest in many others: the page keeps its own best."""
+    rest = "".join(f"<section class=s{chr(97 + n)}><p>{PARA * 2}</p></section>" for n in range(3))
+    html = f"<html><body><main><section class=part><p>{PARA * 4}</p></section>{rest}</main></body></html>"
+    text, path = extract(html, ["/html/body/main/section.part"])
+    assert path == "/html/body/main" and text.count(PARA.strip()) == 10
