@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from html import unescape
+from itertools import takewhile
 
 # Element names by the role HTML gives them.
 RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|select|title"
@@ -29,7 +30,8 @@ NAMES = set(
     "subscribe subscription signup login share sharing social related recommended recommendations trending comment comments reply "
     "replies respond disqus widget pagination pager toolbar".split()
 )
-QUALIFIED = {"has", "with", "no", "without"}
+QUALIFIED = {"has", "with", "no", "without"}  # what follows them is not what the element is
+NAMED_WEIGHT = 0.25  # of prose inside an element that is called by such a word
 
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -42,7 +44,11 @@ PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 @dataclass
 class Page:
-    """Elements in page order; ``last`` is the last element inside, so subtrees are ranges."""
+    """Elements in page order; ``last`` is the last element inside, so subtrees are ranges.
+
+    ``named``: elements that are called by a word for furniture. To what is around them they are
+    not prose; they and what they hold are containers of a lower score, for the host to vote on.
+    """
 
     tags: list[str] = field(default_factory=list)
     paths: list[str] = field(default_factory=list)
@@ -50,13 +56,17 @@ class Page:
     last: list[int] = field(default_factory=list)
     prose: list[int] = field(default_factory=list)
     other: list[int] = field(default_factory=list)
+    size: list[int] = field(default_factory=list)
+    named: list[bool] = field(default_factory=list)
+    within: list[bool] = field(default_factory=list)
     blocks: list[tuple[int, str]] = field(default_factory=list)
 
 
 def _names_furniture(classes: list[str]) -> bool:
     for name in classes:
         parts = [p.lower() for p in PARTS.findall(name)]
-        if parts and parts[0] not in QUALIFIED and (parts[0] in NAMES or parts[-1] in NAMES):
+        parts = list(takewhile(lambda part: part not in QUALIFIED, parts))
+        if parts and (parts[0] in NAMES or parts[-1] in NAMES):
             return True
     return False
 
@@ -84,7 +94,7 @@ def read_page(html: str) -> Page:
         buffer.clear()
         linked = 0
 
-    def open_element(tag: str, classes: list[str], outside: bool, link: bool) -> None:
+    def open_element(tag: str, classes: list[str], outside: bool, link: bool, named: bool = False) -> None:
         above = stack[-1] if stack else (-1, False, False)
         parent = page.paths[above[0]] if stack else ""
         shown = tag in BLOCK and tag not in SELF_CLOSING or tag == "td"
@@ -94,6 +104,8 @@ def read_page(html: str) -> Page:
         page.last.append(len(page.tags) - 1)
         page.prose.append(0)
         page.other.append(0)
+        page.size.append(0)
+        page.named.append(named)
         stack.append((len(page.tags) - 1, outside or above[1], link or above[2]))
 
     def pop_to(depth: int) -> None:
@@ -110,6 +122,7 @@ def read_page(html: str) -> Page:
             if not piece.strip():
                 return
             open_element("body", [], False, False)
+        page.size[stack[-1][0]] += len(piece.strip())
         if stack[-1][1]:
             page.other[stack[-1][0]] += len(piece.strip())
             return
@@ -150,32 +163,58 @@ def read_page(html: str) -> Page:
         found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(token["rest"])} if token["rest"] else {}
         classes = found.get("class", "").split()
         outside = tag in OUTSIDE or found.get("role", "").lower() in ROLES
-        if tag not in ("html", "body", "main", "article"):
-            outside = outside or bool(found) and _names_furniture(classes + [found.get("id", "")])
+        named = tag not in ("html", "body", "main", "article") and bool(found) and _names_furniture(classes + [found.get("id", "")])
+        if tag not in BLOCK:
+            outside, named = outside or named, False
         if not stack and tag not in ("html", "body", "head"):
             open_element("body", [], False, False)
         if not token["rest"].endswith("/"):
-            open_element(tag, classes, outside, tag == "a" and "href" in found)
+            open_element(tag, classes, outside, tag == "a" and "href" in found, named)
     text_up_to(len(html))
     flush()
     pop_to(0)
+    _spare_articles(page)
     for n in range(len(page.tags) - 1, 0, -1):
-        if page.parents[n] >= 0:
-            page.prose[page.parents[n]] += page.prose[n]
-            page.other[page.parents[n]] += page.other[n]
+        above = page.parents[n]
+        if above >= 0:
+            page.prose[above] += 0 if page.named[n] else page.prose[n]
+            page.other[above] += page.size[n] if page.named[n] else page.other[n]
+            page.size[above] += page.size[n]
+    for n, above in enumerate(page.parents):
+        page.within.append(page.named[n] or above >= 0 and page.within[above])
     return page
 
 
+def _spare_articles(page: Page) -> None:
+    """Elements around an article or main with most of the page's prose are not furniture, whatever they are called."""
+    if not any(page.named):
+        return
+    whole = list(page.prose)
+    for n in range(len(whole) - 1, 0, -1):
+        if page.parents[n] >= 0:
+            whole[page.parents[n]] += whole[n]
+    total = sum(w for w, above in zip(whole, page.parents) if above < 0)
+    for n, tag in enumerate(page.tags):
+        if tag in ("article", "main") and 2 * whole[n] > total:
+            while n >= 0:
+                page.named[n] = False
+                n = page.parents[n]
+
+
 def containers(page: Page) -> list[tuple[float, int]]:
     """Score and element of every container with text: its prose less half of what is not."""
-    return [(page.prose[n] - page.other[n] / 2, n) for n, tag in enumerate(page.tags) if tag in CONTAINER and (page.prose[n] or page.other[n])]
+    return [
+        (page.prose[n] * (NAMED_WEIGHT if page.within[n] else 1) - page.other[n] / 2, n)
+        for n, tag in enumerate(page.tags) if tag in CONTAINER and (page.prose[n] or page.other[n])
+    ]
 
 
 def text_below(page: Page, element: int) -> str:
-    """The blocks inside an element, one line each, without lists that are menus."""
+    """The blocks inside an element, one line each, without lists that are menus and furniture by name."""
     menus = [
         (n, page.last[n]) for n in range(element, page.last[element] + 1)
         if page.tags[n] in ("ul", "ol") and page.prose[n] * 9 < page.other[n] and page.tags[n : page.last[n] + 1].count("li") >= 3
+        or n > element and page.named[n]
     ]
     lines = []
     for holder, text in page.blocks:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindery.llm.common import pick
-from bindery.llm.html_blocks import Page, containers, read_page, text_below
+from bindery.llm.html_blocks import NAMED_WEIGHT, Page, containers, read_page, text_below
 from bindery.operators.joins import join_dimension
 from bindery.session import store
 
@@ -46,6 +46,11 @@ def _by_path(page: Page) -> dict[str, tuple[float, list[int]]]:
     return found
 
 
+def _prose(page: Page, elements: list[int]) -> float:
+    """Prose of elements as their score counts it."""
+    return sum(page.prose[n] * (NAMED_WEIGHT if page.within[n] else 1) for n in elements)
+
+
 def _text(page: Page, elements: list[int]) -> str:
     return "\n".join(filter(None, (text_below(page, n) for n in elements)))
 
@@ -74,10 +79,10 @@ def extract(html: str, paths: list[str]) -> tuple[str, str]:
         return "", ""
     best = max(scored, key=lambda path: (scored[path][0], scored[path][1]))  # of equal ones the innermost
     own = scored[best][1]
-    prose = sum(page.prose[n] for n in own)
+    prose = _prose(page, own)
     for path in paths:
         score, elements = scored.get(path, (0.0, []))
-        held = sum(page.prose[n] for n in elements)
+        held = _prose(page, elements)
         if score > 0 and (held >= MOST * prose or held >= LEAST_WEIGHT * prose and _one_stranger(page, own, elements, paths)):
             return _text(page, elements), path
     return _text(page, own), best

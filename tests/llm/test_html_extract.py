@@ -94,3 +94,29 @@ def test_a_path_must_hold_most_of_the_prose():
     html = f"<html><body><main><section class=part><p>{PARA * 4}</p></section>{rest}</main></body></html>"
     text, path = extract(html, ["/html/body/main/section.part"])
     assert path == "/html/body/main" and text.count(PARA.strip()) == 10
+
+
+@pytest.mark.parametrize("name", ["content-with-sidebar", "layout-sidebar", "main-no-sidebar", "Page hasSidebar", "social"])
+@pytest.mark.parametrize("tag", ["article", "section", "div"])
+def test_an_article_inside_furniture_by_name(name, tag):
+    """The container of an article is no furniture for its name; furniture inside and beside it still is."""
+    inner = f"<{tag}><p>{PARA * 6}</p><div class=share>Share</div></{tag}><div class=sidebar><p>{PARA * 2}</p></div>"
+    html = f"<html><body><div class=intro><p>{PARA}</p></div><div class='{name}'>{inner}</div><div class=comments><p>{PARA}</p></div></body></html>"
+    text, path = extract(html, [])
+    assert text.count(PARA.strip()) in (6, 7) and "Share" not in text
+    assert path in dict(votes(html)) and extract(html, [path])[0] == text
+
+
+def test_names_before_a_qualifier_count():
+    html = f"<body><div class=story><p>{PARA * 4}</p></div><div class=share-with-friends><p>{PARA}</p></div><div class=sidebar-no-ads><p>{PARA}</p></div></body>"
+    assert extract(html, [])[0] == (PARA * 4).strip()
+
+
+def test_a_host_decides_on_a_container_by_its_name(spark):
+    """On a page with a longer introduction the article in a named container is still what the host's pages have."""
+    def named(intro, article):
+        return f"<body><div class=intro><p>{PARA * intro}</p></div><div class=widget><div class=text><p>{PARA * article}</p></div></div></body>"
+
+    rows = [(n, "https://a.example/", named(1, 9)) for n in range(6)] + [(6, "https://a.example/", named(2, 6))]
+    found = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert found[0] == (PARA * 9).strip() and found[6] == (PARA * 6).strip()
