@@ -11,6 +11,7 @@ from bindery.llm.lm_score import op2_lm_score
 from bindery.llm.packing import op8_packing
 from bindery.llm.simhash import op10_simhash
 from bindery.llm.substring_dedup import OP6_SQL, op6_substring_dedup
+from bindery.llm.token_counts import op11_token_counts
 from bindery.llm.toxicity import op1_toxicity
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_id_files": op9_id_files,
     "op10_simhash": op10_simhash,
+    "op11_token_counts": op11_token_counts,
 }
 
 ORACLES = {

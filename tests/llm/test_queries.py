@@ -20,8 +20,9 @@ COLUMNS = {
     "op8_packing": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
     "op9_id_files": ["doc_id", "start", "n_tokens", "ids_crc32"],
     "op10_simhash": ["doc_id", "fingerprint", "component_id"],
+    "op11_token_counts": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
 }
-TYPES = {"rank": "int", "predicted": "int", "held_out": "boolean", "kept": "boolean", "score": "double"}
+TYPES = {"rank": "int", "predicted": "int", "held_out": "boolean", "kept": "boolean", "over_limit": "boolean", "score": "double"}
 
 
 def test_every_operator_is_registered():
