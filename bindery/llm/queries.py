@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bindery.llm.ann import op5_nearest
+from bindery.llm.divergence import OP12_SQL, op12_source_divergence
 from bindery.llm.encoding import op7_bpe_round_trip
 from bindery.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from bindery.llm.html_extract import op3_html_extract
@@ -26,9 +27,11 @@ QUERIES = {
     "op9_id_files": op9_id_files,
     "op10_simhash": op10_simhash,
     "op11_token_counts": op11_token_counts,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 ORACLES = {
     "op4_exact_dedup": OP4_SQL,
     "op6_substring_dedup": OP6_SQL,
+    "op12_source_divergence": OP12_SQL,
 }

@@ -21,6 +21,7 @@ COLUMNS = {
     "op9_id_files": ["doc_id", "start", "n_tokens", "ids_crc32"],
     "op10_simhash": ["doc_id", "fingerprint", "component_id"],
     "op11_token_counts": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
+    "op12_source_divergence": ["lang", "source", "part", "item", "value", "rank"],
 }
 TYPES = {"rank": "int", "predicted": "int", "held_out": "boolean", "kept": "boolean", "over_limit": "boolean", "score": "double"}
 
@@ -35,7 +36,7 @@ def test_contract(spark, name):
     assert found.columns == COLUMNS[name]
     kinds = dict(found.dtypes)
     for column in found.columns:
-        text = column in ("url", "text", "fingerprint") or column.endswith("sha256")
+        text = column in ("url", "text", "fingerprint", "lang", "source", "part", "item") or column.endswith("sha256")
         wanted = TYPES.get(column, "string" if text else "double" if "log_prob" in column else "bigint")
         assert kinds[column] == wanted, column
     rows = found.collect()
@@ -44,6 +45,8 @@ def test_contract(spark, name):
         assert len(rows) % 5 == 0 and all(r.query_id % 50 == 0 and r.query_id != r.vec_id for r in rows)
     elif name == "op3_html_extract":
         assert len(rows) == spark.read.parquet(f"{SF_DIR}/pages.parquet").count()
+    elif name == "op12_source_divergence":
+        assert {r.part for r in rows} == {"pair", "term"}
     else:
         assert len({r.doc_id for r in rows}) == documents
     if name in ORACLES:
