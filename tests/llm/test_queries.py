@@ -22,6 +22,7 @@ COLUMNS = {
     "op10_simhash": ["doc_id", "fingerprint", "component_id"],
     "op11_token_counts": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
     "op12_source_divergence": ["lang", "source", "part", "item", "value", "rank"],
+    "op13_hard_negatives": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
 }
 TYPES = {"rank": "int", "predicted": "int", "held_out": "boolean", "kept": "boolean", "over_limit": "boolean", "score": "double"}
 
@@ -45,6 +46,8 @@ def test_contract(spark, name):
         assert len(rows) % 5 == 0 and all(r.query_id % 50 == 0 and r.query_id != r.vec_id for r in rows)
     elif name == "op3_html_extract":
         assert len(rows) == spark.read.parquet(f"{SF_DIR}/pages.parquet").count()
+    elif name == "op13_hard_negatives":
+        assert rows and all(r.anchor_id % 100 == 0 for r in rows)
     elif name == "op12_source_divergence":
         assert {r.part for r in rows} == {"pair", "term"}
     else:
