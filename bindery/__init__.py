@@ -4,6 +4,7 @@ The public surface takes raw files to finished packs. Rendering is reached throu
 ``pack`` only, so nothing that skipped the guard can be rendered by accident.
 """
 
+from bindery.operators.chunks import document_chunks
 from bindery.operators.filters import collect_files
 from bindery.operators.guard import guard, mask_secrets
 from bindery.operators.order import with_ordinals
@@ -13,14 +14,19 @@ from bindery.operators.settings import literal_settings, resolve_settings
 from bindery.operators.render import join_blocks
 from bindery.plans.pack import PackTables, guard_files, pack, pack_trees, workspace_settings
 from bindery.sinks import deliver, delivery_outcomes
-from bindery.sources.tree import list_tree, read_contents, read_ignore_texts, split_by_size
+from bindery.sources.tree import list_tree, read_contents, read_ignore_texts, read_tree, split_by_size
+from bindery.sources.tree_source import scan_tree
+from bindery.targets import deliver_documents, delivery_report, written_outcomes
 
 __all__ = [
     "PackTables",
     "collect_files",
     "decide",
     "deliver",
+    "deliver_documents",
     "delivery_outcomes",
+    "delivery_report",
+    "document_chunks",
     "gate",
     "guard",
     "guard_files",
@@ -33,10 +39,13 @@ __all__ = [
     "pack_trees",
     "read_contents",
     "read_ignore_texts",
+    "read_tree",
     "resolve_settings",
+    "scan_tree",
     "select_files",
     "selection_fallback",
     "split_by_size",
     "with_ordinals",
     "workspace_settings",
+    "written_outcomes",
 ]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bindery.functions.paths import normalise
 from bindery.functions.text import size_label, tokens_for_units
 from bindery.operators.filters import STAGE_STAT, TOO_LARGE, screen
-from bindery.operators.guard import guard, pattern_problems, redaction_rows
+from bindery.operators.guard import guard, mask_secrets, pattern_problems, redaction_rows
 from bindery.operators.ignore import parse_rules
 from bindery.operators.joins import join_dimension
 from bindery.operators.order import with_ordinals
@@ -22,7 +22,7 @@ from bindery.session import discard, fresh_path, store
 from bindery.sources.tree import IGNORE_FILE, list_tree, read_contents, read_ignore_texts, split_by_size
 
 
-def workspace_settings(workspaces: DataFrame, files: DataFrame | None = None) -> DataFrame:
+def workspace_settings(workspaces: DataFrame, files: DataFrame | None = None, *, guard_task: bool = False) -> DataFrame:
     """One row per workspace: resolved settings, finished patterns, roots and task.
 
     ``workspaces`` holds ``workspace`` and any of ``settings_json``, ``workspace_root``,
@@ -30,7 +30,8 @@ def workspace_settings(workspaces: DataFrame, files: DataFrame | None = None) ->
     looked up in ``files``. That lookup filters on the path; unless the table is sorted by
     path it reads the contents once more, so give ``ignore_text`` for large tables. Of
     several ignore files of one workspace the first counts. Workspaces that only ``files``
-    names get the default settings.
+    names get the default settings. With ``guard_task`` secrets in the task are masked as
+    in a file, unless the workspace has its guard switched off.
     """
     optional = ("settings_json", "workspace_root", "home_dir", "task", "ignore_text")
     own = workspaces.select(
@@ -52,7 +53,7 @@ def workspace_settings(workspaces: DataFrame, files: DataFrame | None = None) ->
     settings = F.col("settings")
     scrub = settings["scrub_paths"]
     problems = F.concat("_resolved.problems", pattern_problems(F.col("_resolved.settings.extra_patterns")))
-    return (
+    settled = (
         resolved.withColumns({"settings": F.col("_resolved.settings"), "problems": problems})
         .withColumn("ignore_rules", parse_rules(F.coalesce("ignore_text", F.lit(""))))
         .select(
@@ -67,6 +68,10 @@ def workspace_settings(workspaces: DataFrame, files: DataFrame | None = None) ->
             F.when(scrub, root_regex(F.col("home_dir"))).alias("home_regex"),
         )
     )
+    if not guard_task:
+        return settled
+    options = F.col("guard_options")
+    return mask_secrets(settled, "task", scan=options["content_scanning"], extra_patterns=options["extra_patterns"]).drop("redactions")
 
 
 def guard_files(
@@ -176,6 +181,7 @@ def pack(
     *,
     skipped: DataFrame | None = None,
     report_path_skips: bool = True,
+    guard_task: bool = False,
     estimator: Estimator = tokens_for_units,
     folder: str | None = None,
 ) -> PackTables:
@@ -185,11 +191,11 @@ def pack(
 
     ``skipped`` holds files left out before their contents were read (``workspace,
     ordinal, path, stage, reason, detail``); they join the audit trail and the totals. A
-    missing workspace name counts as an empty one.
+    missing workspace name counts as an empty one. ``guard_task`` masks secrets in the tasks too.
     """
     files = files.withColumn("workspace", F.coalesce("workspace", F.lit("")))
     path = fresh_path(files.sparkSession, "settings", folder)
-    settings = store(workspace_settings(workspaces, files), "settings", path=path)
+    settings = store(workspace_settings(workspaces, files, guard_task=guard_task), "settings", path=path)
     options = {"report_path_skips": report_path_skips, "estimator": estimator, "folder": folder}
     return _run(files, settings, skipped, (path,), **options)
 
@@ -211,6 +217,7 @@ def pack_trees(
     workspaces: DataFrame,
     selection: DataFrame | None = None,
     *,
+    guard_task: bool = False,
     estimator: Estimator = tokens_for_units,
     folder: str | None = None,
 ) -> PackTables:
@@ -224,7 +231,7 @@ def pack_trees(
     if "ignore_text" not in workspaces.columns:
         given = workspaces.join(read_ignore_texts(roots), "workspace", "full")
     path = fresh_path(roots.sparkSession, "settings", folder)
-    settings = store(workspace_settings(given, roots), "settings", path=path)
+    settings = store(workspace_settings(given, roots, guard_task=guard_task), "settings", path=path)
     listing = with_ordinals(list_tree(roots, settings.select("workspace", "rules"), selection))
     limits = settings.select("workspace", F.col("rules.max_file_size_kb").alias("max_file_size_kb"))
     judged = join_dimension(listing, limits, ["workspace"], spread_by=["path"])

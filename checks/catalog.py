@@ -8,22 +8,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindery import (
+    deliver_documents,
     delivery_outcomes,
+    document_chunks,
     gate,
     guard_files,
     mask_secrets,
     merge_selection,
     pack,
+    read_tree,
     resolve_settings,
     select_files,
     selection_fallback,
     split_by_size,
     with_ordinals,
     workspace_settings,
+    written_outcomes,
 )
 from bindery.functions import paths as P
 from bindery.functions import text as X
 from bindery.functions.languages import language_tag
+from bindery.operators.chunks import CHUNK_CHARS
 from bindery.operators.filters import (
     collect_files,
     exceeds_size_limit,
@@ -34,10 +39,12 @@ from bindery.operators.filters import (
 from bindery.operators.guard import denied_name, guard, redaction_rows
 from bindery.operators.ignore import is_ignored, matches, matches_segment, parse_rules, segment_regex
 from bindery.operators.joins import join_dimension
-from bindery.operators.render import join_blocks, masked_line, render_files, section, skipped_line
+from bindery.operators.render import masked_line, render_files, section, skipped_line
 from bindery.operators.settings import compiled_rules, guard_options, literal_settings, problem_report
 from bindery.plans.pack import too_large, totals_for
-from bindery.session import store
+from bindery.session import discard, fresh_path, store
+from bindery.sinks import DELIVERED
+from bindery.targets import delivered_lines, delivered_roots
 from checks import oracles as O
 from checks import views as V
 
@@ -534,10 +541,17 @@ def guard_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(O.with_(*O.WORKSPACE_PACKS, select="SELECT workspace, markdown FROM decided_packs"))
+def _chunks(packs: str) -> str:
+    """Documents cut every ``CHUNK_CHARS`` characters, from whole ones."""
+    numbers = f"unnest(range(CAST(ceil(length(markdown) / {CHUNK_CHARS}.0) AS BIGINT)))"
+    return f"""SELECT workspace, position, position * {CHUNK_CHARS} AS "offset", substr(markdown, position * {CHUNK_CHARS} + 1, {CHUNK_CHARS}) AS text
+    FROM (SELECT workspace, markdown, {numbers} AS position FROM {packs})"""
+
+
+@query(O.with_(*O.WORKSPACE_PACKS, select=_chunks("decided_packs")))
 def pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = pack(V.files(spark, sf_dir, spread=True), V.workspaces(spark, sf_dir))
-    return join_blocks(tables.documents).withColumnRenamed("text", "markdown")
+    return document_chunks(tables.documents)
 
 
 _CONVERSATIONS = (
@@ -551,14 +565,14 @@ _CONVERSATIONS = (
 )
 
 
-@query(O.with_(*_CONVERSATIONS, select="SELECT workspace, markdown FROM packs"))
+@query(O.with_(*_CONVERSATIONS, select=_chunks("packs")))
 def conversation_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = V.turns(spark, sf_dir)
     workspaces = turns.select("workspace").distinct().selectExpr(
         "workspace", "'Answer ' || workspace AS task", """'{"outputLanguage":"en"}' AS settings_json"""
     )
     tables = pack(turns, workspaces)
-    return join_blocks(tables.documents).withColumnRenamed("text", "markdown")
+    return document_chunks(tables.documents)
 
 
 @query(
@@ -612,6 +626,60 @@ def delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivery_outcomes(*gate(_totals(spark, sf_dir), V.approvals(spark, sf_dir)))
 
 
+@query(
+    O.with_(
+        *O.WORKSPACE_PACKS,
+        V.CTE["approvals"],
+        _GATED,
+        f"chunks AS ({_chunks('gated')})",
+        select="""SELECT target, g.workspace, CASE WHEN released THEN 'delivered' ELSE 'cancelled' END AS outcome,
+    CASE WHEN released THEN lpad(CAST(c.position AS VARCHAR), 8, '0') || '.md' END AS name, CASE WHEN released THEN md5(c.text) END AS digest
+    FROM (SELECT unnest(['files', 'jsonl']) AS target), gated g LEFT JOIN chunks c ON released AND c.workspace = g.workspace""",
+    )
+)
+def delivered_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two targets hold after a write in two phases, and how each pack fared."""
+    tables = pack(V.files(spark, sf_dir, spread=True), V.workspaces(spark, sf_dir))
+    outcomes = delivery_outcomes(*gate(tables.packs, V.approvals(spark, sf_dir)))
+    released = outcomes.where(F.col("outcome") == DELIVERED).select("workspace")
+    kept = join_dimension(tables.documents, released, ["workspace"], spread_by=["position"], how="left_semi")
+    name = F.concat(F.lpad(F.col("position").cast("string"), 8, "0"), F.lit(".md"))
+    chunks = store(document_chunks(kept).select("workspace", name.alias("name"), F.col("text").alias("content")), "chunks")
+    found, paths = [], []
+    for target in ("files", "jsonl"):
+        paths.append(path := fresh_path(spark, "delivery"))
+        report = deliver_documents(chunks, path, target=target)
+        fared = written_outcomes(outcomes, report).select("workspace", "outcome")
+        if target == "files":
+            held = read_tree(delivered_roots(report, path)).select("workspace", F.col("path").alias("name"), F.col("raw").cast("string").alias("content"))
+        else:
+            held = delivered_lines(spark, path)
+        held = held.select("workspace", "name", F.md5(F.col("content").cast("binary")).alias("digest"))
+        found.append(fared.join(held, "workspace", "left").select(F.lit(target).alias("target"), "workspace", "outcome", "name", "digest"))
+    result = store(found[0].unionByName(found[1]), "delivered")
+    for path in paths:
+        discard(spark, path)
+    return result
+
+
+@query(
+    O.with_(
+        *O.FULL[:5],
+        select="""SELECT workspace, path, size_bytes, CASE WHEN early IS DISTINCT FROM 'too-large' THEN md5(content) END AS digest
+    FROM reasoned WHERE early IS NULL OR early NOT IN ('ignored', 'extension-filter')""",
+    )
+)
+def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files written out as trees and scanned back under the rules of their workspaces."""
+    rows = V.files(spark, sf_dir, spread=True).select("workspace", path().alias("name"), "content")
+    written = fresh_path(spark, "trees")
+    roots = delivered_roots(deliver_documents(rows, written), written)
+    found = read_tree(roots, store(_settings(spark, sf_dir).select("workspace", "rules"), "rules"))
+    result = store(found.select("workspace", "path", "size_bytes", F.md5("raw").alias("digest")), "scanned")
+    discard(spark, written)
+    return result
+
+
 @query(
     O.with_(
         *O.WORKSPACE_PACKS,
