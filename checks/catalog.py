@@ -696,21 +696,29 @@ def pack_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- selections and settings -------------------------------------------------------
 
 
-@query(
-    O.with_(
-        V.CTE["files"],
-        V.CTE["selection"],
+def _selected_sql(files: str, selection: str) -> str:
+    return O.with_(
+        V.CTE[files],
+        V.CTE[selection],
         f"picked AS (SELECT workspace, ordinal, rtrim({O.normalised('prefix')}, '/') AS prefix FROM selection)",
         select=f"""SELECT f.workspace, f.ordinal, f.path, min(p.ordinal) AS selection_rank FROM files f JOIN picked p
     ON p.workspace = f.workspace AND ({O.normalised('f.path')} = p.prefix OR starts_with({O.normalised('f.path')}, p.prefix || '/'))
     GROUP BY ALL""",
-    ),
-    name="select_files",
-)
+    )
+
+
+@query(_selected_sql("files", "selection"), name="select_files")
 def selected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select_files(V.files(spark, sf_dir), V.selection(spark, sf_dir)).select(*KEY, "path", "selection_rank")
 
 
+@query(_selected_sql("files_by_language", "selection_by_language"))
+def select_files_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hundreds of picked paths in a workspace."""
+    found = select_files(V.files_by_language(spark, sf_dir), V.selection_by_language(spark, sf_dir))
+    return found.select(*KEY, "path", "selection_rank")
+
+
 def _explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.files(spark, sf_dir).filter(path().startswith("src")).select("workspace", "path").distinct()
 

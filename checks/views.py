@@ -178,6 +178,15 @@ def selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr(*expressions(SELECTION))
 
 
+def files_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files in a few large workspaces."""
+    return _with_size(table(spark, sf_dir, "documents").selectExpr(*expressions(FILES | {"workspace": "lang"})))
+
+
+def selection_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").selectExpr(*expressions(SELECTION | {"workspace": "lang"}))
+
+
 def raw_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr(*expressions(RAW_SETTINGS))
 
@@ -201,6 +210,8 @@ CTE = {
     "workspaces": _cte("workspaces", WORKSPACES, "(SELECT DISTINCT source AS workspace FROM documents)"),
     "approvals": f"approvals AS (SELECT workspace FROM (SELECT DISTINCT source AS workspace FROM documents) WHERE {_N} % 2 = 0)",
     "selection": _cte("selection", SELECTION, "documents"),
+    "files_by_language": _cte("files", FILES | {"workspace": "lang"}, "documents", True),
+    "selection_by_language": _cte("selection", SELECTION | {"workspace": "lang"}, "documents"),
     "raw_settings": _cte("raw_settings", RAW_SETTINGS, "documents"),
     "ignore_texts": _cte("ignore_texts", IGNORE_TEXTS, "documents"),
 }

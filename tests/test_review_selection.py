@@ -86,6 +86,25 @@ def test_split_join_spreads_a_hot_key(spark):
     assert "_share" in plan and split.count() == 4000
 
 
+@pytest.mark.parametrize("extra", [(), ("",), ("a/" * 40 + "deep",)])
+def test_many_picks(spark, extra):
+    """More entries than a map is searched for: looked up by depth, or by equality where paths are too deep."""
+    paths = [f"a/b{n % 7}/c{n}" for n in range(300)] + ["top", "a\\b1\\x", "./a/b2/y"]
+    prefixes = [f"a/b1/c{n}" for n in range(90)] + ["./a/b2/", "a\\b1", "top", "a/b3/c3", "none", *extra]
+    files = spark.createDataFrame([(w, p) for w in ("v", "w") for p in paths], "workspace string, path string")
+    picked = spark.createDataFrame([("w", p, n) for n, p in enumerate(prefixes)], "workspace string, prefix string, ordinal int")
+    clean = {p: p.replace("\\", "/").removeprefix("./").rstrip("/") for p in [*paths, *prefixes]}
+    wanted = {}
+    for p in paths:
+        ranks = [n for n, q in enumerate(prefixes) if not clean[q] or clean[p] == clean[q] or clean[p].startswith(clean[q] + "/")]
+        wanted |= {p: min(ranks)} if ranks else {}
+    found = select_files(files, picked)
+    assert {r.path: r.selection_rank for r in found.collect()} == wanted and {r.workspace for r in found.collect()} == {"w"}
+    if extra != ("a/" * 40 + "deep",):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning(workspace" not in plan.split("BroadcastExchange")[0]
+
+
 def test_positions(spark):
     listing = spark.range(2000).selectExpr("if(id % 3 = 0, 'hot', 'w' || id % 4) AS workspace", "'f' || id AS path")
     got = with_ordinals(listing).groupBy("workspace").agg(
