@@ -322,13 +322,13 @@ class Tokenizer:
 
 
 @lru_cache(maxsize=4)
-def tokenizer(path: str) -> Tokenizer:
-    """One tokenizer per Python worker and file; its word cache outlives a task.
+def tokenizer(path: str, words: int = CACHE_WORDS) -> Tokenizer:
+    """One tokenizer per Python worker, file and size; its word cache outlives a task.
 
     Operators that do without call ``tokenizer.cache_clear()`` when a task begins, since a
     worker that has served an encoder before would keep its words for nothing.
     """
-    return Tokenizer(path)
+    return Tokenizer(path, words)
 
 
 def batches(texts: Iterable, most_chars: int = 500_000) -> Iterator[tuple[int, list[str]]]:

@@ -38,6 +38,8 @@ from bindery.session import discard, fresh_path, store
 
 END_ID = 2
 SEGMENT_IDS = 1 << 19
+# Words whose ids a worker keeps, twice: encoding is most of the work here, and little else is held.
+CACHE_WORDS = 400_000
 MAGIC = b"FRVB"
 HEAD = struct.Struct("<4sIII")
 
@@ -87,23 +89,38 @@ def read_segment(segment: bytes) -> tuple[np.ndarray, np.ndarray]:
     return counts, unpack_codes(control, segment[at:], n)
 
 
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Runs of an array, given by their ends in elements, as binary values."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32) * np.int32(data.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All elements of a column of binary values in one array, and the size of each value."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    held = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
+    return held.view(kind), np.diff(offsets) // np.dtype(kind).itemsize
+
+
 def _encode(rows: DataFrame, vocab: str, end_id: int, wide: bool) -> DataFrame:
     """``doc_id, shard, at, ids``: ``at`` counts the ids before the document in its shard."""
     kind = np.dtype("<u4" if wide else "<u2")
+    end = int(end_id).to_bytes(4, "little")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, at = tokenizer(vocab), TaskContext.get().partitionId(), 0
+        encoder, shard, at = tokenizer(vocab, CACHE_WORDS), TaskContext.get().partitionId(), 0
         for frame in frames:
             for first, group in batches(frame.column(1)):
-                coded, ats = [], []
-                for ids in encoder.encode(group):
-                    ids = np.append(np.frombuffer(ids, "<u4"), end_id).astype(kind)
-                    coded.append(ids.tobytes())
-                    ats.append(at)
-                    at += len(ids)
-                keys = frame.column(0).slice(first, len(group))
+                coded = encoder.encode(group)
+                ends = np.cumsum([len(ids) // 4 + 1 for ids in coded])
+                ids = np.frombuffer(end.join([*coded, b""]), "<u4").astype(kind)
+                before = at + np.concatenate([[0], ends[:-1]])
+                at += int(ends[-1])
                 shards = pa.array(np.full(len(group), shard, np.int32))
-                yield pa.RecordBatch.from_arrays([keys, shards, pa.array(ats, pa.int64()), pa.array(coded, pa.binary())], names=["doc_id", "shard", "at", "ids"])
+                columns = [frame.column(0).slice(first, len(group)), shards, pa.array(before, pa.int64()), _binary(ids, ends)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "shard", "at", "ids"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, shard int, at bigint, ids binary")
 
@@ -114,10 +131,9 @@ def _count(coded: DataFrame, kind: str) -> DataFrame:
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for frame in frames:
-            for ids in (value.as_py() for value in frame.column(0)):
-                found = np.bincount(np.frombuffer(ids, kind), minlength=len(total))
-                found[: len(total)] += total
-                total = found
+            found = np.bincount(_flat(frame.column(0), kind)[0], minlength=len(total))
+            found[: len(total)] += total
+            total = found
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["id", "n"])
 
@@ -128,26 +144,37 @@ def _segments(coded: DataFrame, ranks: np.ndarray, kind: str) -> DataFrame:
     rank = coded.sparkSession.sparkContext.broadcast(ranks)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # doc_id, shard, at, ids
-        size, key_type = 0, None
+        # Keys, id counts and ids of the documents at hand, where they begin and how many ids they are.
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+        shard = begin = size = 0
 
         def close() -> pa.RecordBatch:
-            counts = np.array([len(r[3]) // np.dtype(kind).itemsize for r in held], np.uint32)
-            ids = np.frombuffer(b"".join([r[3] for r in held]), kind)
-            payload = write_segment(counts, rank.value[ids])
-            columns = [pa.array([held[0][1]], pa.int32()), pa.array([held[0][2]], pa.int64()), pa.array([[r[0] for r in held]], pa.list_(key_type)), pa.array([payload], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["shard", "at", "doc_ids", "payload"])
+            keys = pa.concat_arrays([k for k, _, _ in held])
+            counts = np.concatenate([c for _, c, _ in held])
+            payload = write_segment(counts, rank.value[np.concatenate([i for _, _, i in held])])
+            lists = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([begin], pa.int64()), lists, pa.array([payload], pa.binary())], names=["shard", "at", "doc_ids", "payload"])
 
         for frame in frames:
-            key_type = frame.column(0).type
-            for row in ((a.as_py(), b.as_py(), c.as_py(), d.as_py()) for a, b, c, d in zip(*[frame.column(i) for i in range(4)])):
+            ids, counts = _flat(frame.column(3), kind)
+            ends = np.cumsum(counts)
+            shards, ats, many = frame.column(1).to_pylist(), frame.column(2).to_pylist(), counts.tolist()
+            first = 0
+            for n in range(len(many) + 1):
                 # A task may read parts of several shards; a segment is one run of one shard.
-                if held and (size >= SEGMENT_IDS or row[1] != held[0][1] or row[2] != held[0][2] + size):
-                    yield close()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[3]) // np.dtype(kind).itemsize
-        if held:
+                last = n == len(many)
+                if not last and size and size < SEGMENT_IDS and shards[n] == shard and ats[n] == begin + size:
+                    size += many[n]
+                    continue
+                if n > first:
+                    start = int(ends[first - 1]) if first else 0
+                    held.append((frame.column(0).slice(first, n - first), counts[first:n].astype(np.uint32), ids[start : int(ends[n - 1])]))
+                    first = n
+                if not last:
+                    if size:
+                        yield close()
+                    held, shard, begin, size = [], shards[n], ats[n], many[n]
+        if size:
             yield close()
 
     key = coded.schema["doc_id"].dataType.simpleString()
@@ -194,10 +221,9 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
             for shard, at, payload, keys in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), frame.column(3).to_pylist(), frame.column(2)):
                 counts, found = read_segment(payload)
                 ends = np.cumsum(counts, dtype=np.int64)
-                raw = ids_of.value[found].astype("<u4").tobytes()
                 starts = ends - counts
-                ids = [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())]
-                columns = [keys.values, pa.array(starts + (offsets[shard] + at)), pa.array(counts.astype(np.int64)), pa.array(ids, pa.binary())]
+                ids = _binary(ids_of.value[found].astype("<u4"), ends)
+                columns = [keys.values, pa.array(starts + (offsets[shard] + at)), pa.array(counts.astype(np.int64)), ids]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids"])
 
     segments = spark.read.parquet(f"{path}/segments")
