@@ -46,6 +46,8 @@ OUTSIDE = TOKENS  # the place before the first and after the last word
 SIDES = (-2, -1, 1, 2)
 WIDTH, HIDDEN = 8, 16
 BATCH = 2048
+SCORED_AT_ONCE = 1 << 15
+SAFE_EXPONENT = 80.0
 RATE = 0.3
 ROUNDS = 2
 SEED = 11
@@ -102,41 +104,66 @@ def contexts(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The tokens around each token of a group of texts, one row per token."""
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     place = np.arange(len(ids)) + 2 * (text + 1)
-    padded = np.full(len(ids) + 2 * len(offsets), OUTSIDE, np.int32)
+    # 16 bits hold every token, and are sorted by counting.
+    padded = np.full(len(ids) + 2 * len(offsets), OUTSIDE, np.int16)
     padded[place] = ids
     return np.stack([padded[place + side] for side in SIDES], axis=1)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """Exponentials of a row less its shift, their sums, and the shift."""
+    # The hidden units are bounded, so a row's largest value need not be taken off first.
+    shift = 0.0 if not x.size or x.max() < SAFE_EXPONENT else x.max(axis=1)
+    raised = np.exp(x if isinstance(shift, float) else x - shift[:, None])
+    return raised, raised @ np.ones(x.shape[1], x.dtype), shift
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    raised, total, _ = _exponentials(x)
+    raised /= total[:, None]
+    return raised
+
+
+def _log_norm(x: np.ndarray) -> np.ndarray:
+    """The logarithm of each row's sum of exponentials."""
+    _, total, shift = _exponentials(x)
+    return np.log(total) + shift
 
 
 def _forward(net: Network, around: np.ndarray):
-    inputs = net["embedding"][around].reshape(len(around), -1)
+    """Inputs, hidden units and the group scores before they are made probabilities."""
+    inputs = np.take(net["embedding"], around, axis=0).reshape(len(around), -1)
     hidden = np.tanh(inputs @ net["hidden"] + net["hidden_bias"])
-    return inputs, hidden, _log_softmax(hidden @ net["group"] + net["group_bias"])
+    return inputs, hidden, hidden @ net["group"] + net["group_bias"]
 
 
 def _by_group(ids: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """The rows of each group of words."""
-    group = ids // GROUP_WORDS
+    group = (ids // GROUP_WORDS).astype(np.int8)
     order = np.argsort(group, kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    return [(g, order[a:b]) for g, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+    cuts = np.cumsum(np.bincount(group, minlength=GROUPS)).tolist()
+    return [(g, order[a:b]) for g, (a, b) in enumerate(zip([0, *cuts], cuts)) if b > a]
 
 
 def log_probabilities(net: Network, ids: np.ndarray, around: np.ndarray) -> np.ndarray:
     """Log-probability of every token given the tokens around it."""
     out = np.empty(len(ids), np.float64)
-    for at in range(0, len(ids), 4 * BATCH):
-        some = ids[at : at + 4 * BATCH]
-        _, hidden, groups = _forward(net, around[at : at + 4 * BATCH])
-        found = groups[np.arange(len(some)), some // GROUP_WORDS].astype(np.float64)
+    # What a token adds to the hidden units from each side, once per token instead of once per place.
+    sides = net["hidden"].reshape(len(SIDES), WIDTH, HIDDEN)
+    tables = [net["embedding"] @ side for side in sides]
+    tables[0] = tables[0] + net["hidden_bias"]
+    for at in range(0, len(ids), SCORED_AT_ONCE):
+        some, near = ids[at : at + SCORED_AT_ONCE], around[at : at + SCORED_AT_ONCE]
+        hidden = np.take(tables[0], near[:, 0], axis=0)
+        for side in range(1, len(SIDES)):
+            hidden += np.take(tables[side], near[:, side], axis=0)
+        hidden = np.tanh(hidden)
+        groups = hidden @ net["group"] + net["group_bias"]
+        found = (groups[np.arange(len(some)), some // GROUP_WORDS] - _log_norm(groups)).astype(np.float64)
         for g, rows in _by_group(some):
-            words = _log_softmax(hidden[rows] @ net["word"][g] + net["word_bias"][g])
-            found[rows] += words[np.arange(len(rows)), some[rows] % GROUP_WORDS]
-        out[at : at + 4 * BATCH] = found
+            words = np.take(hidden, rows, axis=0) @ net["word"][g] + net["word_bias"][g]
+            found[rows] += words[np.arange(len(rows)), some[rows] % GROUP_WORDS] - _log_norm(words)
+        out[at : at + SCORED_AT_ONCE] = found
     return out
 
 
@@ -154,27 +181,27 @@ class Trainer:
     def step(self, ids: np.ndarray, around: np.ndarray) -> None:
         net, n = self.net, len(ids)
         inputs, hidden, groups = _forward(net, around)
-        wrong = np.exp(groups)
+        wrong = _softmax(groups)
         wrong[np.arange(n), ids // GROUP_WORDS] -= 1
         back = wrong @ net["group"].T
-        updates = []
+        word, word_bias = np.zeros_like(net["word"]), np.zeros_like(net["word_bias"])
         for g, rows in _by_group(ids):
-            part = hidden[rows]
-            off = np.exp(_log_softmax(part @ net["word"][g] + net["word_bias"][g]))
+            part = np.take(hidden, rows, axis=0)
+            off = _softmax(part @ net["word"][g] + net["word_bias"][g])
             off[np.arange(len(rows)), ids[rows] % GROUP_WORDS] -= 1
             back[rows] += off @ net["word"][g].T
-            updates.append((g, part.T @ off / n, off.sum(axis=0) / n))
+            word[g], word_bias[g] = part.T @ off, off.sum(axis=0)
         back *= 1 - hidden * hidden
         into = (back @ net["hidden"].T).reshape(-1, WIDTH)
         flat = around.ravel()
         order = np.argsort(flat, kind="stable")
-        tokens, starts = np.unique(flat[order], return_index=True)
-        pulled = np.add.reduceat(into[order], starts, axis=0) / n
+        many = np.bincount(flat, minlength=TOKENS + 1)
+        tokens = np.flatnonzero(many)
+        pulled = np.add.reduceat(np.take(into, order, axis=0), (np.cumsum(many) - many)[tokens], axis=0) / n
         self._apply("group", hidden.T @ wrong / n)
         self._apply("group_bias", wrong.sum(axis=0) / n)
-        for g, word, bias in updates:
-            self._apply("word", word, g)
-            self._apply("word_bias", bias, g)
+        self._apply("word", word / n)
+        self._apply("word_bias", word_bias / n)
         self._apply("hidden", inputs.T @ back / n)
         self._apply("hidden_bias", back.sum(axis=0) / n)
         self._apply("embedding", pulled, tokens)
@@ -211,7 +238,7 @@ def _train_round(rows: DataFrame, words, network: np.ndarray) -> DataFrame:
                 order = rng.permutation(len(ids))
                 for at in range(0, len(ids), BATCH):
                     some = order[at : at + BATCH]
-                    trainer.step(ids[some], around[some])
+                    trainer.step(ids[some], np.take(around, some, axis=0))
                 seen += len(ids)
         if seen:
             values = np.append(flatten(trainer.net).astype(np.float64) * seen, seen)
@@ -233,7 +260,7 @@ def count_vocabulary(rows: DataFrame) -> Vocabulary:
     for row in sums.collect():  # at most BUCKETS
         totals[row["bucket"]] = row["in_bucket"]
     shares = others.where("n > 1").join(F.broadcast(sums), "bucket").select("word", F.log(F.col("n") / (F.col("in_bucket") + 1)).alias("share"))
-    return Vocabulary((hashes[order], order.astype(np.int32)), shares, -np.log(totals + 1))
+    return Vocabulary((hashes[order], order.astype(np.int32)), store(shares, "word-shares"), -np.log(totals + 1))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
@@ -291,10 +318,10 @@ def score_documents(docs: DataFrame, words: Vocabulary, network: Network, id_col
     """``doc_id, n_tokens, log_prob`` for every row."""
     rows = pick(docs, doc_id=id_col, text=(text_col, "string"))
     rows = rows.select("doc_id", "text", F.xxhash64("text").alias("key_a"), F.xxhash64(F.lit(SEED), "text").alias("key_b"))
-    table = words.others.limit(MOST_SENT + 1).toArrow()
-    sent = table.num_rows <= MOST_SENT
+    sent = words.others.count() <= MOST_SENT
     hashes, shares = np.empty(0, np.uint64), np.empty(0)
     if sent:
+        table = words.others.toArrow()
         hashes = table["word"].to_numpy().view(np.uint64)
         order = np.argsort(hashes)
         hashes, shares = hashes[order], table["share"].to_numpy()[order]
