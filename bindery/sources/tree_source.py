@@ -179,11 +179,13 @@ def _closes(f: ds.Filter, column: str, folder: str) -> bool:
 
 @dataclass
 class Share(ds.InputPartition):
-    """What one task walks: directories, and files that planning met on its way."""
+    """What one task walks: directories, its part of very large ones, and files that planning met on its way."""
 
     value: int
     dirs: list[tuple[str, str, str]]
     files: list[tuple[str, str, str, int]]
+    parts: list[tuple[str, str, str]]
+    of: int
 
 
 class TreeReader(ds.DataSourceReader):
@@ -244,20 +246,29 @@ class TreeReader(ds.DataSourceReader):
                 files.extend((workspace, root, path, size) for path, is_dir, size in found if not is_dir)
             else:
                 shut.append((workspace, root, folder))
-        shares = [Share(n, [], []) for n in range(self.wanted)]
+        shares = [Share(n, [], [], shut, self.wanted) for n in range(self.wanted)]
         # Neighbours are often of like size; a hash of the name parts them.
         deal = lambda item: zlib.crc32(json.dumps(item).encode()) % self.wanted
-        for item in (*dirs, *shut):
-            shares[deal(item[:3])].dirs.append(item)
+        for item in dirs:
+            shares[deal(item)].dirs.append(item)
         for item in files:
             shares[deal(item[:3])].files.append(item)
-        filled = [Share(n, s.dirs, s.files) for n, s in enumerate(shares) if s.dirs or s.files]
-        return filled or [Share(0, [], [])]
+        return [s for s in shares if s.dirs or s.files or s.parts] or shares[:1]
 
     def _walk(self, rules: WalkRules, share: Share) -> Iterator[tuple[str, str, str, int]]:
         yield from share.files
+        waiting_in = {(workspace, root): [] for workspace, root, _ in (*share.dirs, *share.parts)}
         for workspace, root, start in share.dirs:
-            waiting = [start]
+            waiting_in[workspace, root].append(start)
+        for workspace, root, start in share.parts:
+            for path, is_dir, size in self._children(rules, workspace, root, start):
+                if zlib.crc32(path.encode("utf-8", "surrogateescape")) % share.of != share.value:
+                    continue
+                if is_dir:
+                    waiting_in[workspace, root].append(path)
+                else:
+                    yield workspace, root, path, size
+        for (workspace, root), waiting in waiting_in.items():
             while waiting:
                 folder = waiting.pop()
                 for path, is_dir, size in self._children(rules, workspace, root, folder):

@@ -110,6 +110,11 @@ def test_planning_is_bounded(tree, watched, monkeypatch):
         monkeypatch.setattr(tree_source, "PLAN_ENTRIES", most)
         rows = walk(tree, wanted=wanted)
         assert sorted(r["path"] for r in rows) == sorted(FILES)
+    # The root is too large to plan with: every task goes on with its part of it.
+    monkeypatch.setattr(tree_source, "PLAN_ENTRIES", 3)
+    reader = TreeReader([("w", tree, "")], False, 4)
+    read = [sum(b.num_rows for b in reader.read(part)) for part in reader.partitions()]
+    assert sum(read) == len(FILES) and sum(n > 0 for n in read) > 1
 
 
 def test_a_filter_never_closes_a_folder_with_a_match():
