@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 
+from bindery.operators.joins import join_dimension
 from bindery.sinks import DELIVERED, FAILED
 from bindery.sources.folders import folders
 
@@ -220,6 +221,19 @@ def _holds_lines(path: str, folder: str) -> bool:
     return any(name.startswith("lines-") for name, _, _ in folders(path).entries(folder))
 
 
+def delivered_files(spark: SparkSession, path: str) -> DataFrame:
+    """``workspace, name, content`` of the committed runs of the target ``files``, which no name may hide from Spark."""
+    schema = "workspace string, name string, content string"
+    held = [f"{path.rstrip('/')}/{folder}" for run in committed(path) if run["target"] == "files" for folder in run["folders"]]
+    if not held:
+        return spark.createDataFrame([], schema)
+    parts = F.regexp_extract(F.col("path"), r"(run-[^/]*/task-[^/]*/w=[^/]*)/(.*)\z", F.lit(1)), F.regexp_extract(F.col("path"), r"/run-[^/]*/task-[^/]*/w=[^/]*/(.*)\z", F.lit(1))
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(held)
+    read = read.select(parts[0].alias("place"), parts[1].alias("name"), F.col("content").cast("string").alias("content")).where(F.col("place") != "")
+    places = delivery_report(spark, path).select("workspace", "place")
+    return join_dimension(read, places, ["place"], spread_by=["name"], how="inner").select("workspace", "name", "content")
+
+
 def delivered_roots(report: DataFrame, path: str) -> DataFrame:
     """``workspace, root``: the folders that the target ``files`` filled, as ``list_tree`` takes them."""
     return report.where(F.col("parts") > 0).select("workspace", F.concat(F.lit(path.rstrip("/") + "/"), "place").alias("root"))

@@ -44,7 +44,7 @@ from bindery.operators.settings import compiled_rules, guard_options, literal_se
 from bindery.plans.pack import too_large, totals_for
 from bindery.session import discard, fresh_path, store
 from bindery.sinks import DELIVERED
-from bindery.targets import delivered_lines, delivered_roots
+from bindery.targets import delivered_files, delivered_lines, delivered_roots
 from checks import oracles as O
 from checks import views as V
 
@@ -650,10 +650,7 @@ def delivered_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         paths.append(path := fresh_path(spark, "delivery"))
         report = deliver_documents(chunks, path, target=target)
         fared = written_outcomes(outcomes, report).select("workspace", "outcome")
-        if target == "files":
-            held = read_tree(delivered_roots(report, path)).select("workspace", F.col("path").alias("name"), F.col("raw").cast("string").alias("content"))
-        else:
-            held = delivered_lines(spark, path)
+        held = delivered_files(spark, path) if target == "files" else delivered_lines(spark, path)
         held = held.select("workspace", "name", F.md5(F.col("content").cast("binary")).alias("digest"))
         found.append(fared.join(held, "workspace", "left").select(F.lit(target).alias("target"), "workspace", "outcome", "name", "digest"))
     result = store(found[0].unionByName(found[1]), "delivered")

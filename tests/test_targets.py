@@ -4,7 +4,7 @@ import os
 
 import pytest
 from bindery import deliver_documents, delivery_report, read_tree, written_outcomes
-from bindery.targets import committed, delivered_lines, delivered_roots, target_class, workspace_folder
+from bindery.targets import committed, delivered_files, delivered_lines, delivered_roots, target_class, workspace_folder
 
 ROWS = [(w, f"{n}.md", f"{w} {n} — é\n") for w in ("a", "b", "c d/e", "..", "") for n in range(4)]
 
@@ -23,6 +23,7 @@ def test_two_targets_hold_the_same(spark, tmp_path):
         report = deliver_documents(chunks(spark), str(tmp_path / target), target=target)
         assert {r.workspace: r.sum for r in report.groupBy("workspace").sum("parts").withColumnRenamed("sum(parts)", "sum").collect()} == dict.fromkeys({w for w, _, _ in ROWS}, 4)
     assert held_files(spark, str(tmp_path / "files")) == sorted(ROWS)
+    assert sorted(map(tuple, delivered_files(spark, str(tmp_path / "files")).collect())) == sorted(ROWS)
     assert sorted(map(tuple, delivered_lines(spark, str(tmp_path / "jsonl")).collect())) == sorted(ROWS)
 
 
