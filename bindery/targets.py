@@ -227,7 +227,8 @@ def delivered_files(spark: SparkSession, path: str) -> DataFrame:
     held = [f"{path.rstrip('/')}/{folder}" for run in committed(path) if run["target"] == "files" for folder in run["folders"]]
     if not held:
         return spark.createDataFrame([], schema)
-    parts = F.regexp_extract(F.col("path"), r"(run-[^/]*/task-[^/]*/w=[^/]*)/(.*)\z", F.lit(1)), F.regexp_extract(F.col("path"), r"/run-[^/]*/task-[^/]*/w=[^/]*/(.*)\z", F.lit(1))
+    pattern = r"(run-[^/]*/task-[^/]*/w=[^/]*)/(.*)\z"
+    parts = [F.regexp_extract("path", pattern, n) for n in (1, 2)]
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(held)
     read = read.select(parts[0].alias("place"), parts[1].alias("name"), F.col("content").cast("string").alias("content")).where(F.col("place") != "")
     places = delivery_report(spark, path).select("workspace", "place")
