@@ -39,7 +39,9 @@ from bindery.session import discard, fresh_path, store
 END_ID = 2
 SEGMENT_IDS = 1 << 19
 # Words whose ids a worker keeps, twice: encoding is most of the work here, and little else is held.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
+# Characters encoded at once: words that come up again within them are looked up together.
+GROUP_CHARS = 2_000_000
 MAGIC = b"FRVB"
 HEAD = struct.Struct("<4sIII")
 
@@ -112,7 +114,7 @@ def _encode(rows: DataFrame, vocab: str, end_id: int, wide: bool) -> DataFrame:
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, at = tokenizer(vocab, CACHE_WORDS), TaskContext.get().partitionId(), 0
         for frame in frames:
-            for first, group in batches(frame.column(1)):
+            for first, group in batches(frame.column(1), GROUP_CHARS):
                 coded = encoder.encode(group)
                 ends = np.cumsum([len(ids) // 4 + 1 for ids in coded])
                 ids = np.frombuffer(end.join([*coded, b""]), "<u4").astype(kind)
