@@ -31,16 +31,22 @@ def test_text_that_is_no_object_is_a_problem(spark):
     assert resolve(spark, *raws) == [(DEFAULTS, [UNREADABLE])] * len(raws)
 
 
-def test_user_values(spark):
-    raw = {"maxFileSizeKb": 64, "respectGitignore": False, "outputLanguage": "en", "secretGuard.mode": "skipFile",
-           "previewBeforeCopy": "always", "includeExtensions": ["", "rs ", "\t", " .lua"], "ignorePatterns": [],
-           "tokenWarningThreshold": 0, "secretGuard.enabled": False, "secretGuard.extraPatterns": ["ticket [0-9]+"]}
-    settings, problems = resolve(spark, raw)[0]
-    assert problems == []
-    assert settings == {**DEFAULTS, "max_file_size_kb": 64.0, "respect_gitignore": False, "output_language": "en",
-                        "guard_mode": "skipFile", "review_policy": "always", "include_extensions": ["rs", ".lua"],
-                        "ignore_patterns": [], "token_warning_threshold": 0.0, "guard_enabled": False,
-                        "extra_patterns": ["ticket [0-9]+"]}
+def test_a_value_changes_its_own_setting_only(spark):
+    cases = [
+        ("secretGuard.extraPatterns", ["ticket [0-9]+"], "extra_patterns", ["ticket [0-9]+"]),
+        ("secretGuard.enabled", False, "guard_enabled", False),
+        ("secretGuard.mode", "skipFile", "guard_mode", "skipFile"),
+        ("includeExtensions", ["", "rs ", "\t", " .lua"], "include_extensions", ["rs", ".lua"]),
+        ("ignorePatterns", [], "ignore_patterns", []),
+        ("maxFileSizeKb", 0.5, "max_file_size_kb", 0.5),
+        ("tokenWarningThreshold", 0, "token_warning_threshold", 0.0),
+        ("previewBeforeCopy", "never", "review_policy", "never"),
+        ("respectGitignore", False, "respect_gitignore", False),
+        ("outputLanguage", "en", "output_language", "en"),
+    ]
+    found = resolve(spark, *({key: value} for key, value, _, _ in cases))
+    for (_, _, column, wanted), (settings, problems) in zip(cases, found, strict=True):
+        assert problems == [] and settings == {**DEFAULTS, column: wanted}
 
 
 EXTENSIONS = '["ts","tsx","vue","js","jsx","json","css","scss","sql","cs","md"]'
