@@ -54,7 +54,8 @@ def test_contract(spark, name):
         assert len({r.doc_id for r in rows}) == documents
     if name in ORACLES:
         con = duckdb.connect()
-        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF_DIR}/documents.parquet'")
+        for table in ("documents", "embeddings"):
+            con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
         result = con.execute(ORACLES[name])
         order = [d[0] for d in result.description]
         assert sorted(order) == sorted(found.columns)
