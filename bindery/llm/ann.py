@@ -7,19 +7,22 @@ k-th best distance found would be exceeded with probability ``CERTAINTY``, a que
 
 1. Equal vectors become one row with its smallest ids; more are never needed, however many
    copies there are.
-2. A kd-tree over the projections, fitted to a sample of at most ``SAMPLE_ROWS`` rows, cuts
-   the space into cells; every row is put into its cell. Cells that are overfull are split
-   by hash, so that a block never exceeds about ``BLOCK_ROWS`` rows.
+2. Only vectors of one length have a cosine, so every length has a space of its own. A kd-tree
+   over its projections cuts it into cells; every row is put into its cell. The trees are
+   fitted to a sample of at most ``SAMPLE_ROWS`` rows and have at most ``MOST_CELLS`` cells
+   together, shared out by rows; a length of up to ``CELL_ROWS`` rows is one cell. Cells that
+   are overfull are split by hash, so that a block never exceeds about ``BLOCK_ROWS`` rows.
 3. A query searches its own cell, then the cells whose box its test does not rule out.
    In a block it takes the leaves of a kd-tree in order of projected distance and verifies
    their vectors until the test holds.
 
 Queries meet blocks in groups of at most about ``GROUP_QUERIES``. The driver holds the
-sample, the cells' boxes (at most ``MOST_CELLS``) and their sizes.
+sample, and boxes and sizes of the cells of lengths with more than ``CELL_ROWS`` rows: at most
+``MOST_CELLS`` and one for each such length.
 
-Defined results: vectors that are null, zero, hold a null or non-finite component, or
-are not of the table's most frequent length take no part, and neither do rows with a null id;
-a repeated id is never its own neighbour, and is a query for each of its distinct vectors;
+Defined results: vectors that are null, zero, or hold a null or non-finite component take no
+part, and neither do rows with a null id; the candidates of a query are the vectors of its own
+length, so a vector that is alone in its length has no rows; a repeated id is never its own neighbour, and is a query for each of its distinct vectors;
 equal scores go to the smaller id; fewer candidates than asked for give fewer rows; an
 empty table gives an empty result; other columns are ignored.
 """
@@ -48,6 +51,7 @@ BLOCK_ROWS = 4096
 GROUP_QUERIES = 4096
 LEAF_ROWS = 64
 LEAVES_AT_ONCE = 4
+SPREAD_ROWS = 256
 
 
 def chi_square(x: float, degrees: int) -> float:
@@ -154,9 +158,16 @@ def cosine(a: np.ndarray, b: np.ndarray) -> float:
 def _usable(rows: DataFrame) -> DataFrame:
     """Rows with an id whose vector can have a cosine with the others."""
     fine = F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
-    rows = rows.where(F.col("vec_id").isNotNull() & fine & F.exists("vector", lambda x: x != 0))
-    lengths = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.where(F.size("vector") == (lengths[0]["n"] if lengths else 0))
+    return rows.where(F.col("vec_id").isNotNull() & fine & F.exists("vector", lambda x: x != 0))
+
+
+def depths(counts: dict[int, int]) -> dict[int, int]:
+    """Depth of the tree of each length: cells of about ``CELL_ROWS`` rows, at most ``MOST_CELLS`` in all."""
+    total = max(1, sum(counts.values()))
+    return {
+        length: max(0, min(math.ceil(math.log2(n / CELL_ROWS)), math.floor(math.log2(MOST_CELLS * n / total))))
+        for length, n in counts.items()
+    }
 
 
 def _distinct(rows: DataFrame, every: int, k: int) -> DataFrame:
@@ -210,43 +221,62 @@ def nearest(vectors: DataFrame, every: int, k: int, id_col: str = "vec_id", vect
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of each id divisible by ``every``."""
     rows = _usable(pick(vectors, vec_id=(id_col, "bigint"), vector=(vector_col, "array<double>")))
     kinds = store(_distinct(rows, every, k + 1), "vectors")
-    counts = kinds.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("n_queries") > 0, 1)), F.lit(0)).alias("q"), F.coalesce(F.sum("n_queries"), F.lit(0)).alias("asked")).first()
-    depth = min(int(math.log2(MOST_CELLS)), max(0, math.ceil(math.log2(max(1, counts["n"] / CELL_ROWS)))))
-    sample = [r["vector"] for r in kinds.orderBy("k2", "k1").limit(SAMPLE_ROWS).select("vector").collect()]
-    cuts = fit_cells(project(np.array(sample)), depth) if sample else []
+    counts = kinds.agg(F.coalesce(F.sum(F.when(F.col("n_queries") > 0, 1)), F.lit(0)).alias("q"), F.coalesce(F.sum("n_queries"), F.lit(0)).alias("asked")).first()
+    length = F.size("vector")
+    large = kinds.groupBy(length.alias("length")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL_ROWS).collect()
+    tall = {n: depth for n, depth in depths({r["length"]: r["n"] for r in large}).items() if depth}
+    sample: dict[int, list] = {n: [] for n in tall}
+    for r in kinds.where(length.isin(*tall)).orderBy("k2", "k1").limit(SAMPLE_ROWS).select("vector").collect() if tall else []:
+        sample[len(r["vector"])].append(r["vector"])
+    cuts = {n: fit_cells(project(np.array(some).reshape(-1, n)), tall[n]) for n, some in sample.items()}
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            points = project(_stacked(frame["vector"]))
-            yield frame.assign(cell=cell_of(points, cuts), point=list(points))
+            for n, some in frame.groupby(frame["vector"].map(len)):
+                points = project(_stacked(some["vector"]))
+                yield some.assign(cell=n * MOST_CELLS + cell_of(points, cuts.get(n, [])), point=list(points))
 
     placed = store(kinds.mapInPandas(place, "k1 bigint, k2 bigint, vector array<double>, ids array<bigint>, n_queries bigint, cell bigint, point array<double>"), "placed")
     axes = range(PROJECTIONS)
     bounds = [f(F.col("point")[a]).alias(f"{n}{a}") for n, f in (("low", F.min), ("high", F.max)) for a in axes]
-    boxes = sorted(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *bounds).collect(), key=lambda r: r["cell"])
+    listed = placed.where(length.isin(*[r["length"] for r in large])) if large else placed.limit(0)
+    boxes = sorted(listed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *bounds).collect(), key=lambda r: r["cell"])
     cells = np.array([r["cell"] for r in boxes], np.int64)
     parts = np.array([-(-r["n"] // BLOCK_ROWS) for r in boxes], np.int64)
     low, high = (np.array([[r[f"{n}{a}"] for a in axes] for r in boxes]).reshape(-1, PROJECTIONS) for n in ("low", "high"))
-    split = vectors.sparkSession.createDataFrame([(int(c), int(p)) for c, p in zip(cells, parts)], "cell bigint, parts bigint")
-    blocks = placed.join(F.broadcast(split), "cell").withColumn("part", F.pmod("k2", "parts"))
+    split = vectors.sparkSession.createDataFrame([(int(c), int(p)) for c, p in zip(cells, parts)], "cell bigint, in_parts bigint")
+
+    def with_parts(rows: DataFrame) -> DataFrame:
+        """``parts``: blocks of the row's cell. Cells that are not listed are one block."""
+        return rows.join(F.broadcast(split), "cell", "left").withColumn("parts", F.coalesce("in_parts", F.lit(1).cast("bigint"))).drop("in_parts")
+
+    every_part = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
+    blocks = with_parts(placed).withColumn("part", F.pmod("k2", "parts"))
     groups = max(1, -(-counts["q"] // GROUP_QUERIES))
     queries = placed.where("n_queries > 0").withColumn("group", F.pmod(F.col("k1"), F.lit(groups)))
-    here = queries.withColumn("worst", F.lit(-2.0)).join(F.broadcast(split), "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    here = with_parts(queries.withColumn("worst", F.lit(-2.0))).withColumn("part", every_part)
     asked = ["cell", "part", "group", "k1", "k2", "vector", "worst"]
     first = store(_meet(blocks, store(here.select(*asked), "asked"), k + 1), "near-first")
     reached = _best(first, k + 1).select("k1", "k2", F.when(F.size("near") > k, F.col("near")[k]["score"]).otherwise(-2.0).alias("worst"))
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One row per query and further cell, a slice of the queries at a time."""
         for frame in frames:
-            away = box_distance(_stacked(frame["point"]), low, high)
-            row, box = np.nonzero((away <= LIMIT * np.maximum(0, 2 - 2 * frame["worst"].to_numpy())[:, None]) & (cells != frame["cell"].to_numpy()[:, None]))
-            times = parts[box]
-            out = frame.iloc[np.repeat(row, times)][["k1", "k2", "vector", "worst", "group"]]
-            part = np.concatenate([np.empty(0, np.int64), *[np.arange(t) for t in times]]).astype(np.int64)
-            yield out.assign(cell=np.repeat(cells[box], times), part=part)[["cell", "part", "group", "k1", "k2", "vector", "worst"]]
-
-    kind = "cell bigint, part bigint, group bigint, k1 bigint, k2 bigint, vector array<double>, worst double"
-    visits = queries.join(reached, ["k1", "k2"]).select("k1", "k2", "vector", "worst", "group", "cell", "point").mapInPandas(spread, kind)
+            for _, same in frame.groupby(frame["cell"] // MOST_CELLS):
+                own = np.flatnonzero(cells // MOST_CELLS == same["cell"].iloc[0] // MOST_CELLS)
+                for at in range(0, len(same) if len(own) > 1 else 0, SPREAD_ROWS):
+                    some = same.iloc[at : at + SPREAD_ROWS]
+                    away = box_distance(_stacked(some["point"]), low[own], high[own])
+                    near = away <= LIMIT * np.maximum(0, 2 - 2 * some["worst"].to_numpy())[:, None]
+                    row, box = np.nonzero(near & (cells[own] != some["cell"].to_numpy()[:, None]))
+                    for cut in range(0, len(row), GROUP_QUERIES):
+                        out = some.iloc[row[cut : cut + GROUP_QUERIES]]
+                        yield out.assign(cell=cells[own][box[cut : cut + GROUP_QUERIES]])[["cell", "group", "k1", "k2", "vector", "worst"]]
+
+    kind = "cell bigint, group bigint, k1 bigint, k2 bigint, vector array<double>, worst double"
+    further = queries.where(length.isin(*tall)) if tall else queries.limit(0)
+    visits = further.join(reached, ["k1", "k2"]).select("k1", "k2", "vector", "worst", "group", "cell", "point").mapInPandas(spread, kind)
+    visits = with_parts(visits).withColumn("part", every_part).select(*asked)
     found = _best(first.union(_meet(blocks, store(visits, "visits"), k + 1)), k + 1)
     classes = found.join(kinds.where("n_queries > 0").select("k1", "k2", "n_queries"), ["k1", "k2"])
     asking = rows.where(F.col("vec_id") % every == 0).select("vec_id", F.xxhash64("vector").alias("k1"), F.xxhash64(F.lit(1), "vector").alias("k2")).distinct()

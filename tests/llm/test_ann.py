@@ -7,20 +7,17 @@ from bindery.llm.ann import Block, box_distance, cell_of, chi_square, chi_square
 
 
 def brute_force(rows, every, k):
-    size = {}
     usable = []
     for i, v in rows:
         if i is None or v is None or any(x is None or not math.isfinite(x) for x in v) or not any(v):
             continue
         usable.append((i, np.array(v, np.float64)))
-        size[len(v)] = size.get(len(v), 0) + 1
-    most = max(size, key=lambda n: (size[n], -n)) if size else 0
-    usable = [(i, v) for i, v in usable if len(v) == most]
     out = {}
     for q, v in usable:
         if q % every == 0:
-            best = sorted({(-cosine(w, v), i) for i, w in usable if i != q})[:k]
-            out[q] = [(i, -s) for s, i in best]
+            best = sorted({(-cosine(w, v), i) for i, w in usable if i != q and len(w) == len(v)})[:k]
+            if best:
+                out[q] = [(i, -s) for s, i in best]
     return out
 
 
@@ -55,6 +52,26 @@ def test_recall_over_many_cells_and_blocks(spark, monkeypatch):
     assert all(s == scores[q][i] for q in scores for i, s in got[q])
 
 
+def test_every_length_is_searched(spark, monkeypatch):
+    """Two lengths with many cells, a rare one and one of a single vector, dealt over all partitions."""
+    for name, value in (("CELL_ROWS", 60), ("BLOCK_ROWS", 40), ("GROUP_QUERIES", 7)):
+        monkeypatch.setattr(ann, name, value)
+    parts = [clusters(400, 24, 1), clusters(300, 16, 2), clusters(30, 3, 3), [(0, [1.0, 2.0])]]
+    rows = [(4 * i + at, v) for at, part in enumerate(parts) for i, v in part]
+    want, got = brute_force(rows, 5, 5), found(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(4), 5, 5)
+    assert set(want) == set(got) and {len(dict(rows)[q]) for q in got} == {24, 16, 3}
+    hits = [len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in want]
+    assert np.mean(hits) / 5 >= 0.9
+    assert all(len(dict(rows)[i]) == len(dict(rows)[q]) for q in got for i, _ in got[q])
+
+
+def test_cells_are_shared_out_by_rows():
+    assert ann.depths({64: 10**9}) == {64: 12}
+    several = ann.depths({64: 10**9, 32: 10**9, 8: 10**6, 3: 3000})
+    assert several == {64: 10, 32: 10, 8: 1, 3: 0} and sum(2**d for d in several.values()) <= ann.MOST_CELLS
+    assert ann.depths({64: 5000}) == {64: 2} and ann.depths({}) == {}
+
+
 def test_copies_ties_and_unusable_vectors(spark):
     rows = [(i, [1.0, 2.0, 0.0]) for i in range(40)] + [(40, [2.0, 4.0, 0.0]), (50, [0.0, 0.0, 1.0]), (50, [0.0, 0.0, 1.0]), (60, [1.0, 0.0, 0.0])]
     rows += [(61, None), (62, [0.0, 0.0, 0.0]), (63, [1.0, None, 0.0]), (70, [float("nan"), 1.0, 0.0]), (71, [float("inf"), 1.0, 0.0]), (None, [1.0, 1.0, 1.0]), (80, [1.0]), (90, [])]
@@ -68,7 +85,7 @@ def test_copies_ties_and_unusable_vectors(spark):
 def test_few_vectors(spark, n):
     rows = [(i * 10, [1.0, float(i)]) for i in range(n)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
-    assert found(df, 10, 5) == {q: near for q, near in brute_force(rows, 10, 5).items() if near}
+    assert found(df, 10, 5) == brute_force(rows, 10, 5)
 
 
 def test_cells_and_boxes():
