@@ -1,8 +1,10 @@
 import hashlib
 
 import pytest
+from bindery.llm import exact_dedup
 from bindery.llm.common import attach
-from bindery.llm.exact_dedup import build_index, directory, drop_copies, exact_groups
+from bindery.llm.exact_dedup import build_index, directory, drop_copies, exact_groups, global_depth
+from pyspark.sql import functions as F
 
 
 def folded(text):
@@ -25,7 +27,7 @@ def test_groups_equal_brute_force_even_if_hashes_collide(awkward, awkward_rows,
 
 
 def test_colliding_texts_are_chained_in_one_bucket(awkward):
-    rows = build_index(awkward, bits=1, bucket_entries=1).collect()
+    rows = build_index(awkward, bits=1, bucket_entries=1)[0].collect()
     assert len({r.hash for r in rows}) <= 2
     for value in {r.hash for r in rows}:
         chain = sorted(r.chain for r in rows if r.hash == value)
@@ -33,12 +35,50 @@ def test_colliding_texts_are_chained_in_one_bucket(awkward):
         assert len({r.bucket for r in rows if r.hash == value}) == 1
 
 
-def test_directory_splits_only_overfull_buckets():
-    slots = directory({0: 5, 1: 1, 6: 1}, 3, 5)
-    assert slots == [(0, 0, 3), (1, 1, 3), (2, 2, 2), (3, 2, 2), (4, 4, 1), (5, 4, 1), (6, 4, 1), (7, 4, 1)]
-    # One slot that is overfull at the last depth stays one bucket.
-    assert directory({2: 100}, 2, 10) == [(0, 0, 1), (1, 0, 1), (2, 2, 2), (3, 3, 2)]
-    assert directory({}, 2, 10) == [(s, 0, 0) for s in range(4)]
+def keys(spark, counts, depth):
+    """``counts[slot]`` hashes in each slot of ``depth`` leading bits."""
+    signed = [(slot << (64 - depth)) + n for slot, many in counts.items() for n in range(many)]
+    return spark.createDataFrame([(k - (1 << 64) if k >= 1 << 63 else k,) for k in signed], "hash bigint")
+
+
+def slots_of(spark, counts, depth, capacity):
+    hashes = keys(spark, counts, depth)
+    found = directory(hashes, global_depth(hashes, capacity), capacity).collect()
+    return global_depth(hashes, capacity), sorted(((r.slot % (1 << 64)) >> (64 - depth), (r.bucket % (1 << 64)) >> (64 - depth), r.local_depth) for r in found)
+
+
+def test_directory_splits_only_overfull_buckets(spark):
+    assert slots_of(spark, {0: 5, 1: 1, 6: 1}, 3, 5) == (3, [(0, 0, 3), (1, 1, 3), (6, 4, 1)])
+    assert slots_of(spark, {0: 2, 3: 1, 5: 1}, 3, 9) == (0, [(0, 0, 0)])
+    assert slots_of(spark, {}, 3, 9) == (0, [])
+
+
+def test_directory_doubles_as_far_as_needed(spark):
+    """Two hashes that differ in their last bit take all 64."""
+    hashes = keys(spark, {5: 2}, 8)
+    depth = global_depth(hashes, 1)
+    assert depth == 64
+    assert sorted((r.slot == r.bucket, r.local_depth) for r in directory(hashes, depth, 1).collect()) == [(True, 64)] * 2
+
+
+def test_results_come_through_the_index(awkward, monkeypatch):
+    """Documents whose entry is not in the bucket the directory names find nothing."""
+    whole = exact_dedup.build_index
+
+    def misplaced(*args, **options):
+        entries, slots, depth = whole(*args, **options)
+        return entries.withColumn("bucket", F.col("bucket") + 1), slots, depth
+
+    monkeypatch.setattr(exact_dedup, "build_index", misplaced)
+    assert exact_groups(awkward, bucket_entries=2).where(F.col("group_size").isNotNull()).count() == 0
+
+
+def test_heavy_copies_are_combined_before_they_are_routed(spark):
+    rows = [(n, "Hot" if n % 3 else f"text {n}") for n in range(3000)]
+    found = exact_groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8), bucket_entries=50).collect()
+    assert len(found) == 3000
+    for r in found:
+        assert (r.keep_id, r.group_size) == ((2999, 2000) if r.doc_id % 3 else (r.doc_id, 1))
 
 
 def test_empty_table(no_documents):
