@@ -1,19 +1,24 @@
 """One pass over a page's markup: containers, and blocks of text with what is known of them.
 
-A small helper of ``bindery.llm.html_extract``: it reads tags with one regular expression,
-keeps a stack of open elements and repairs what pages commonly leave open. It builds no
-document tree.
+A small helper of ``bindery.llm.html_extract``: it reads tags in one pass, keeps a stack of
+open elements and repairs what pages commonly leave open. It builds no document tree. Time
+and memory are in proportion to the page, whatever is left open in it.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import md5
 from html import unescape
-from itertools import takewhile
+from itertools import accumulate, takewhile
 
 # Element names by the role HTML gives them.
-RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|select|title"
+RAW = set("iframe script style textarea title".split())  # hold no elements: they go on up to their end tag
+HIDDEN = set("noscript object select svg template".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -33,15 +38,69 @@ NAMES = set(
 QUALIFIED = {"has", "with", "no", "without"}  # what follows them is not what the element is
 NAMED_WEIGHT = 0.25  # of prose inside an element that is called by such a word
 
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+LONGEST_PATH = 1000
+
+NAME = re.compile(r"<(/?)([a-zA-Z][\w:-]*)")
+MARK = re.compile("[>\"']")
+RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+SAME = {tag: re.compile(rf"<(/?){tag}(?![\w:-])", re.I) for tag in HIDDEN}
 ATTRIBUTE = re.compile(r"\b(class|id|role|href)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+def _tag_end(html: str, at: int, last: dict[str, int], astray: set[int]) -> int:
+    """Position after the first ``>`` outside quotes, -1 if there is none.
+
+    Quotes from which no such ``>`` is reached are kept in ``astray``, so that no other tag follows them again.
+    """
+    passed = []
+    while at <= last[">"]:
+        at = MARK.search(html, at).start()
+        if html[at] == ">":
+            return at + 1
+        passed.append(at)
+        if at in astray or at == last[html[at]]:
+            break
+        at = html.find(html[at], at + 1) + 1
+    astray.update(passed)
+    return -1
+
+
+def tags(html: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """Start, end, slash of an end tag, name and attributes of all markup; without a name where it has no text and no role.
+
+    An element that hides what it holds is passed over if its end tag comes before another one of its
+    kind; otherwise it was left open, and the caller decides where it ends.
+    """
+    last = {mark: html.rfind(mark) for mark in "<>\"'"}
+    astray: set[int] = set()
+    at = html.find("<")
+    while at >= 0:
+        found, end = NAME.match(html, at), -1
+        slash, tag, rest = "", "", ""
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4) + 3
+            end = end if end > 2 else len(html)
+        elif found and at < last[">"]:
+            slash, tag = found[1], found[2].lower()
+            end = _tag_end(html, found.end(), last, astray)
+            if end < 0 or tag in RAW and not slash:
+                end, rest = html.find(">", found.end()) + 1, ""
+                close = RAW_END[tag].search(html, end) if tag in RAW and not slash else None
+                end = close.end() if close else len(html) if tag in RAW and not slash else end
+                tag = ""
+            else:
+                rest = html[found.end() : end - 1]
+                if tag in HIDDEN and not slash and (near := SAME[tag].search(html, end)) and near[1]:
+                    end = html.find(">", near.end()) + 1 or len(html)
+                    tag = ""
+        elif html.startswith(("<!", "<?", "</"), at) and at < last[">"]:
+            end = html.find(">", at + 2) + 1
+        if end > 0:
+            yield at, end, slash, tag, rest
+        at = html.find("<", max(end, at + 1))
+
+
 @dataclass
 class Page:
     """Elements in page order; ``last`` is the last element inside, so subtrees are ranges.
@@ -77,9 +136,17 @@ def _step(tag: str, classes: list[str]) -> str:
     return ".".join([tag, *kept])
 
 
+def _path(parent: str, step: str) -> str:
+    """A path one step longer; very long ones by their digest, which is as good to compare."""
+    path = f"{parent}/{step}"
+    return path if len(path) <= LONGEST_PATH else f"#{md5(path.encode('utf-8', 'replace')).hexdigest()}"
+
+
 def read_page(html: str) -> Page:
     page = Page()
-    stack: list[tuple[int, bool, bool]] = []  # element, outside the article, link
+    stack: list[tuple[int, int, bool]] = []  # element, outside the article (2: no text of the page at all), link
+    depths: dict[str, list[int]] = defaultdict(list)  # where in the stack a tag is open
+    blocks, holders, hidden = [], [], []  # where in the stack elements of these kinds are open
     buffer: list[str] = []
     linked = at = 0
 
@@ -94,23 +161,32 @@ def read_page(html: str) -> Page:
         buffer.clear()
         linked = 0
 
-    def open_element(tag: str, classes: list[str], outside: bool, link: bool, named: bool = False) -> None:
-        above = stack[-1] if stack else (-1, False, False)
+    def open_element(tag: str, classes: list[str], outside: int, link: bool, named: bool = False) -> None:
+        above = stack[-1] if stack else (-1, 0, False)
         parent = page.paths[above[0]] if stack else ""
         shown = tag in BLOCK and tag not in SELF_CLOSING or tag == "td"
         page.tags.append(tag)
-        page.paths.append(f"{parent}/{_step(tag, classes)}" if shown else parent)
+        page.paths.append(_path(parent, _step(tag, classes)) if shown else parent)
         page.parents.append(above[0])
         page.last.append(len(page.tags) - 1)
         page.prose.append(0)
         page.other.append(0)
         page.size.append(0)
         page.named.append(named)
-        stack.append((len(page.tags) - 1, outside or above[1], link or above[2]))
+        for kind, at_depth in ((BLOCK, blocks), (CONTAINER, holders), (HIDDEN, hidden)):
+            if tag in kind:
+                at_depth.append(len(stack))
+        depths[tag].append(len(stack))
+        stack.append((len(page.tags) - 1, max(outside, above[1]), link or above[2]))
 
     def pop_to(depth: int) -> None:
         while len(stack) > depth:
-            page.last[stack.pop()[0]] = len(page.tags) - 1
+            element = stack.pop()[0]
+            page.last[element] = len(page.tags) - 1
+            depths[page.tags[element]].pop()
+        for at_depth in (blocks, holders, hidden):
+            while at_depth and at_depth[-1] >= depth:
+                at_depth.pop()
 
     def text_up_to(end: int) -> None:
         nonlocal linked
@@ -121,7 +197,9 @@ def read_page(html: str) -> Page:
         if not stack:
             if not piece.strip():
                 return
-            open_element("body", [], False, False)
+            open_element("body", [], 0, False)
+        if stack[-1][1] == 2:
+            return
         page.size[stack[-1][0]] += len(piece.strip())
         if stack[-1][1]:
             page.other[stack[-1][0]] += len(piece.strip())
@@ -130,45 +208,37 @@ def read_page(html: str) -> Page:
         if stack[-1][2]:
             linked += len(piece.strip())
 
-    for token in TOKEN.finditer(html):
-        text_up_to(token.start())
-        at = token.end()
-        tag = (token["tag"] or "").lower()
+    for start, end, slash, tag, rest in tags(html):
+        text_up_to(start)
+        at = end
         if not tag:
             continue
         if tag in BLOCK:
             flush()
         elif tag == "br":
             buffer.append(" ")
-        if token["end"]:
-            for depth in range(len(stack) - 1, -1, -1):
-                open_tag = page.tags[stack[depth][0]]
-                if open_tag == tag:
-                    pop_to(depth)
-                    break
-                if tag not in BLOCK and open_tag in BLOCK or tag in SELF_CLOSING and open_tag in CONTAINER:
-                    break  # a stray end tag closes nothing beyond its block
+        if slash:
+            # A stray end tag closes nothing beyond its block.
+            bounds = blocks if tag not in BLOCK else holders if tag in SELF_CLOSING else []
+            if depths[tag] and not (bounds and bounds[-1] > depths[tag][-1]):
+                pop_to(depths[tag][-1])
             continue
         if tag in VOID:
             continue
-        shuts = SELF_CLOSING.get(tag)
-        if shuts or tag in BLOCK:
-            for depth in range(len(stack) - 1, -1, -1):
-                open_tag = page.tags[stack[depth][0]]
-                if open_tag in (shuts or ()) or open_tag == "p":
-                    pop_to(depth)
-                    break
-                if open_tag in BLOCK:
-                    break
-        found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(token["rest"])} if token["rest"] else {}
+        if tag in BLOCK:
+            if hidden:
+                pop_to(hidden[0])  # left open: it ends where the page goes on
+            if blocks and page.tags[stack[blocks[-1]][0]] in (*SELF_CLOSING.get(tag, ()), "p"):
+                pop_to(blocks[-1])
+        found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(rest)} if rest else {}
         classes = found.get("class", "").split()
-        outside = tag in OUTSIDE or found.get("role", "").lower() in ROLES
+        outside = 2 if tag in HIDDEN else int(tag in OUTSIDE or found.get("role", "").lower() in ROLES)
         named = tag not in ("html", "body", "main", "article") and bool(found) and _names_furniture(classes + [found.get("id", "")])
         if tag not in BLOCK:
-            outside, named = outside or named, False
+            outside, named = max(outside, int(named)), False
         if not stack and tag not in ("html", "body", "head"):
-            open_element("body", [], False, False)
-        if not token["rest"].endswith("/"):
+            open_element("body", [], 0, False)
+        if not rest.endswith("/"):
             open_element(tag, classes, outside, tag == "a" and "href" in found, named)
     text_up_to(len(html))
     flush()
@@ -194,10 +264,12 @@ def _spare_articles(page: Page) -> None:
         if page.parents[n] >= 0:
             whole[page.parents[n]] += whole[n]
     total = sum(w for w, above in zip(whole, page.parents) if above < 0)
+    spared: set[int] = set()
     for n, tag in enumerate(page.tags):
         if tag in ("article", "main") and 2 * whole[n] > total:
-            while n >= 0:
+            while n >= 0 and n not in spared:
                 page.named[n] = False
+                spared.add(n)
                 n = page.parents[n]
 
 
@@ -209,15 +281,24 @@ def containers(page: Page) -> list[tuple[float, int]]:
     ]
 
 
-def text_below(page: Page, element: int) -> str:
-    """The blocks inside an element, one line each, without lists that are menus and furniture by name."""
-    menus = [
-        (n, page.last[n]) for n in range(element, page.last[element] + 1)
-        if page.tags[n] in ("ul", "ol") and page.prose[n] * 9 < page.other[n] and page.tags[n : page.last[n] + 1].count("li") >= 3
-        or n > element and page.named[n]
-    ]
-    lines = []
+def text_below(page: Page, *elements: int) -> str:
+    """The blocks inside elements, one line each, without lists that are menus and furniture by name.
+
+    Elements come in page order, none inside another.
+    """
+    items = list(accumulate((tag == "li" for tag in page.tags), initial=0))
+    lines, left = [], []  # ranges of elements that are left out, in order and apart
+    for element in elements:
+        for n in range(element, page.last[element] + 1):
+            if left and n <= left[-1][1]:
+                continue
+            menu = page.tags[n] in ("ul", "ol") and page.prose[n] * 9 < page.other[n] and items[page.last[n] + 1] - items[n] >= 3
+            if menu or n > element and page.named[n]:
+                left.append((n, page.last[n]))
     for holder, text in page.blocks:
-        if element <= holder <= page.last[element] and not any(a <= holder <= b for a, b in menus):
-            lines.append(text)
+        around = bisect_right(elements, holder) - 1
+        if around >= 0 and holder <= page.last[elements[around]]:
+            near = bisect_right(left, (holder, len(page.tags))) - 1
+            if near < 0 or holder > left[near][1]:
+                lines.append(text)
     return "\n".join(lines)

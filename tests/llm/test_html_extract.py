@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from bindery.llm.html_blocks import read_page, text_below
 from bindery.llm.html_extract import extract, extract_pages, host, votes
@@ -120,3 +122,47 @@ def test_a_host_decides_on_a_container_by_its_name(spark):
     rows = [(n, "https://a.example/", named(1, 9)) for n in range(6)] + [(6, "https://a.example/", named(2, 6))]
     found = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert found[0] == (PARA * 9).strip() and found[6] == (PARA * 6).strip()
+
+
+@pytest.mark.parametrize(
+    "inside,text",
+    [
+        ("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b</p>", "a x=2 b"),
+        ("<p>a <svg><path d=1> b</p><p>c</p>", "a\nc"),
+        ("<svg><p>b</p><p>c</p>", "b\nc"),
+        ("<p>a <select><option>no</p><p>c</p>", "a\nc"),
+        ("<object data=x><p>b</p>", "b"),
+        ("<p>a <svg><svg>no</svg>no</svg> b</p><p>c <svg><title>no</title></svg>d</p>", "a b\nc d"),
+        ("<p>a <noscript><p>no</p></noscript>b</p>", "a b"),
+        ("<svg><p>b <svg>no</svg>c</p>", "b c"),
+    ],
+)
+def test_what_is_left_open_ends_with_its_block(inside, text):
+    assert extract(page(f"<p>{PARA}</p>{inside}<p>{PARA}</p>"), [])[0] == f"{PARA.strip()}\n{text}\n{PARA.strip()}"
+
+
+MANY = 100_000
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        '<a b="' * MANY, '<a b="' * MANY + ">", '<a ">" ' * MANY, "<a '>' " * MANY + '"', "<!" * MANY, "<script" * MANY, "<svg>" * MANY,
+        "<div class='wrap'>" * MANY, "<div>" * MANY + "</section>" * MANY, "<i><div>" + "<b>" * MANY + "</i>" * MANY,
+        "<article>" * MANY + PARA, "<table><tr>" + f"<td>{PARA}" * MANY, "<ul><li><a href=x>y</a>" * MANY, "<p class=share>x" * MANY,
+        "<div class=widget>" * MANY + "x" + "</div>" * MANY,
+    ],
+)
+def test_time_grows_with_the_page_only(html):
+    """Pages of a megabyte that leave everything open take seconds."""
+    begun = time.process_time()
+    extract(html, [])
+    votes(html)
+    assert time.process_time() - begun < 20
+
+
+def test_long_paths_stay_apart_and_alike():
+    deep = "<div class=wrap>" * 500
+    one, other = (read_page(f"{deep}<div class={name}>{PARA}</div>").paths[-1] for name in ("a", "b"))
+    assert one != other and len(one) <= 1000
+    assert one == read_page(f"{deep}<div class=a>x</div>").paths[-1]
