@@ -16,7 +16,8 @@ words, about one per 22 words:
    counted.
 
 So copies cost a row per segment, and windows that share no anchor are never compared,
-though every window is decided. Hashes that decide have 128 bits. Intervals are small
+though every window is decided. A passage of very many documents is one key: its rows are
+dealt out, and what decides on it is broadcast. Hashes that decide have 128 bits. Intervals are small
 next to texts; they go to the texts by broadcast while their measured size is small, and
 by a shuffle on the document beyond that.
 
@@ -38,7 +39,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindery.llm.common import join_small, pick
+from bindery.llm.common import attach, join_small, pick
 from bindery.llm.words import BASES, each_text, hash_groups, hash_text, spans, stir, word_edges
 from bindery.session import store
 
@@ -134,6 +135,21 @@ def _merged(found: DataFrame) -> DataFrame:
     return grouped.mapInArrow(run, f"doc_id {_key_type(found)}, row_key bigint, spans array<struct<start:bigint,end:bigint>>")
 
 
+def _counted() -> list:
+    return [F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count(F.lit(1)).alias("n_rows")]
+
+
+def with_first(facts: DataFrame, kinds: DataFrame, values: list[str]) -> DataFrame:
+    """The segments or windows whose key is in ``kinds``, with its ``values``.
+
+    A passage that many documents hold is one key. Those that own more than 1/1024 of the
+    rows are met by broadcast and their rows dealt out by document and place.
+    """
+    spread = facts.withColumn("_spread", F.xxhash64("doc_id", "start"))
+    found = attach(spread, kinds, ["k1", "k2"], values, "n_rows", facts.count(), "_spread")
+    return found.where("first_doc IS NOT NULL").drop("_spread")
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, row_key, spans``: maximal intervals of words (from 0, end exclusive) to remove.
 
@@ -142,17 +158,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = _keyed(docs, id_col, text_col).where(F.col("doc_id").isNotNull())
     segments = store(_segments(rows), "segments", compression="zstd")
-    kinds = segments.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min("anchor").alias("anchor"))
+    kinds = segments.groupBy("k1", "k2").agg(*_counted(), F.min("anchor").alias("anchor"))
     met = kinds.groupBy("anchor").agg(F.min("first_doc").alias("lo"), F.max("first_doc").alias("hi")).where("lo < hi").select("anchor", F.lit(True).alias("met"))
     marked = kinds.join(met, "anchor", "left").where("met OR first_doc < last_doc")
-    marked = store(marked.select("k1", "k2", "first_doc", F.coalesce("met", F.lit(False)).alias("met")), "segment-kinds")
-    hits = segments.join(marked, ["k1", "k2"]).where("doc_id > first_doc OR met")
+    marked = store(marked.select("k1", "k2", "n_rows", "first_doc", F.coalesce("met", F.lit(False)).alias("met")), "segment-kinds")
+    hits = with_first(segments, marked, ["first_doc", "met"]).where("doc_id > first_doc OR met")
     hits = store(hits.select("doc_id", "row_key", "start", "windows", F.col("doc_id") > F.col("first_doc")), "segment-hits").toDF("doc_id", "row_key", "start", "windows", "whole")
     open_ = hits.where(~F.col("whole")).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
     open_ = store(open_, "open-segments")
     windows = store(_windows(join_small(rows, open_, ["doc_id", "row_key"], "inner").select("doc_id", "row_key", "text", "runs")), "windows", compression="zstd")
-    counted = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
-    single = windows.join(counted, ["k1", "k2"]).where("doc_id > first_doc").select("doc_id", "row_key", "start", F.lit(1).cast("bigint").alias("windows"))
+    counted = store(windows.groupBy("k1", "k2").agg(*_counted()).where("first_doc < last_doc").select("k1", "k2", "n_rows", "first_doc"), "window-kinds")
+    single = with_first(windows, counted, ["first_doc"]).where("doc_id > first_doc").select("doc_id", "row_key", "start", F.lit(1).cast("bigint").alias("windows"))
     found = hits.where("whole").select("doc_id", "row_key", "start", "windows").union(single)
     return _merged(found.select("doc_id", "row_key", "start", (F.col("start") + F.col("windows") + F.lit(WINDOW - 1)).alias("end")))
 

@@ -3,8 +3,9 @@ import re
 
 import numpy as np
 import pytest
-from bindery.llm.substring_dedup import cut_repeats, find_segments, kept_words, merge, remove_repeats, repeated_spans
+from bindery.llm.substring_dedup import cut_repeats, find_segments, kept_words, merge, remove_repeats, repeated_spans, with_first
 from bindery.llm.words import GROUP_BYTES, hash_groups, hash_text
+from pyspark.sql import functions as F
 
 WINDOW = 50
 
@@ -72,6 +73,24 @@ def test_empty_table(no_documents):
     assert cut_repeats(no_documents).collect() == []
 
 
+def test_a_passage_of_a_third_of_all_rows_is_dealt_out(spark):
+    facts = spark.range(6000).selectExpr("id AS doc_id", "0L AS start", "if(id % 3 = 0, 7L, id) AS k1", "1L AS k2")
+    kinds = facts.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n_rows")).where("k1 % 2 = 1")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        found = with_first(facts, kinds, ["first_doc"])
+        assert found.columns == ["doc_id", "start", "k1", "k2", "first_doc"]
+        plain = facts.join(kinds.select("k1", "k2", "first_doc"), ["k1", "k2"]).select(*found.columns)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
+        per_task = [r["count"] for r in found.where("k1 = 7").groupBy(F.spark_partition_id()).count().collect()]
+        assert len(per_task) == 4 and max(per_task) < 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_segments_cover_each_window_once():
     texts = [("a b " * 60).encode(), b"", b"x " * 10, " ".join(f"w{i * i % 97}" for i in range(400)).encode()]
     (_, hashes, offsets), = hash_groups(texts)
