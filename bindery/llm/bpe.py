@@ -12,6 +12,11 @@ and one pass over the list in rank order finds the longest chain. A token that s
 further than that from the end of the window is final. (The idea of a sufficient
 look-ahead is that of Berglund and van der Merwe, "Formalizing BPE Tokenization", 2023.)
 
+A text arrives in chunks. Chunks are cut behind their last blank, where composing
+characters, added tokens and pieces end as well; a run without blanks goes on as a
+``LongWord``, whose letters enter the transducer as they come. So a stream holds a chunk,
+a window and a run of combining marks at most, whatever the length of the text.
+
 Windows of many pieces are merged side by side as rows of one array. Ids of words are
 kept in a dictionary of bounded size, so that frequent words are merged once.
 """
@@ -31,6 +36,9 @@ NONE = np.int32(2**31 - 1)
 WINDOW_BYTES = 48
 BATCH_SYMBOLS = 1 << 19
 CACHE_WORDS = 150_000
+CHUNK_CHARS = 1 << 16
+LONG_CHARS = 1 << 12
+GROUP_CHARS = 500_000
 
 
 def byte_alphabet() -> list[str]:
@@ -191,15 +199,20 @@ class Transducer:
             out[i] = b"".join(found)
         return out
 
+    def advance(self, held: bytes) -> tuple[list[bytes], bytes]:
+        """The ids that are final although more follows, and the bytes that are left."""
+        out, at = [], 0
+        while len(held) - at > self.window:
+            out.append(self._step([held[at : at + self.window]], [False])[0])
+            at += self._length(out[-1])
+        return out, held[at:]
+
     def stream(self, chunks: Iterable[bytes]) -> Iterator[bytes]:
         """The ids of one piece that arrives in chunks, as soon as they are final."""
         held = b""
         for chunk in chunks:
-            held += chunk
-            while len(held) > self.window:
-                ids = self._step([held[: self.window]], [False])[0]
-                held = held[self._length(ids) :]
-                yield ids
+            ids, held = self.advance(held + chunk)
+            yield from ids
         if held:
             yield self._step([held], [True])[0]
 
@@ -248,20 +261,26 @@ class Tokenizer:
         self.tokens = self.transducer.merges.tokens | {i: t for t, i in self.added.items()}
         self._added = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self._marks = {t[0] for t in self.added}
+        self._longest = max(map(len, self.added), default=1)
+        if any(regex.search(r"\s", t) for t in self.added):
+            raise ValueError(f"{path} has added tokens with blanks")
         self._pieces = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self._recent: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
         self._words = words
 
+    def _fold(self, text: str) -> str:
+        """The text composed and lower-cased."""
+        if text.isascii():
+            return text.lower()
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        # Letter by letter: a sigma at a word's end has no form of its own here.
+        return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+
     def _split(self, text: str) -> list[str]:
         """The white-space separated words of a text, composed and lower-cased."""
-        if not text.isascii():
-            if not unicodedata.is_normalized("NFC", text):
-                text = unicodedata.normalize("NFC", text)
-            # Letter by letter: a sigma at a word's end has no form of its own here.
-            text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
-        else:
-            text = text.lower()
+        text = self._fold(text)
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return [w for w in regex.split(r"\p{White_Space}+", text) if w]
         return text.split()
@@ -320,6 +339,132 @@ class Tokenizer:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         return [b"".join(p) for p in self.parts(texts)]
 
+    def cut(self, chunks: Iterable[str]) -> Iterator[str | bytes]:
+        """A text that arrives in chunks, as texts to encode on their own and ids of long runs, in order."""
+        held, long = "", None
+        for chunk in chunks:
+            held += chunk
+            if long is not None:
+                blank = _BLANK.search(held)
+                yield from long.push(held[: blank.start()] if blank else held, bool(blank))
+                if not blank:
+                    held = ""
+                    continue
+                held, long = held[blank.start() :], None
+            end = max(held.rfind(" "), held.rfind("\n")) + 1
+            if end:
+                yield held[:end]
+                held = held[end:]
+            if len(held) > LONG_CHARS:
+                long = LongWord(self)
+                yield from long.push(held)
+                held = ""
+        if long is not None:
+            yield from long.push(held, True)
+        elif held:
+            yield held
+
+    def stream(self, texts: Iterable[Iterable[str]]) -> Iterator[tuple[int, bytes]]:
+        """Ids of many texts, each in chunks, with the number of the text, as they become final.
+
+        Up to ``GROUP_CHARS`` of them are held, so that new words are merged side by side.
+        """
+        held, size = [], 0
+
+        def flush():
+            found = iter(self.encode([part for _, part in held if isinstance(part, str)]))
+            return [(n, next(found) if isinstance(part, str) else part) for n, part in held]
+
+        for n, chunks in enumerate(texts):
+            for part in self.cut(chunks):
+                held.append((n, part))
+                size += len(part)
+                if size >= GROUP_CHARS:
+                    yield from flush()
+                    held, size = [], 0
+        yield from flush()
+
+
+_BLANK = regex.compile("[ \n]")
+_RUNS = {True: regex.compile(r"\p{L}+"), False: regex.compile(r"[^\s\p{L}\p{N}]+")}
+_LETTER = regex.compile(r"\p{L}")
+_LOOK = 3  # the longest of the file's contractions
+
+
+def _may_join(char: str) -> bool:
+    """Whether a character may compose with what is before it: marks, vowels and finals of Hangul."""
+    return unicodedata.category(char)[0] == "M" or "\u1160" <= char <= "\u11ff"
+
+
+class LongWord:
+    """A run of text without blanks that arrives in chunks."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer, self.transducer = tokenizer, tokenizer.transducer
+        self.raw = ""  # as it came
+        self.text = ""  # composed and lower-cased, not yet cut into pieces
+        self.run: bool | None = None  # inside a long piece: of letters, or of what is no letter, number or blank
+        self.held = b""  # of that piece, in the transducer
+
+    def _border(self) -> int:
+        """Where the raw text may be cut: no composition and no added token goes across."""
+        at = len(self.raw) - self.tokenizer._longest
+        while at > 0 and _may_join(self.raw[at]):
+            at -= 1
+        for token in self.tokenizer.added:
+            found = self.raw.find(token, max(0, at - len(token) + 1), max(0, at + len(token) - 1))
+            at = found if 0 <= found < at else at
+        return max(at, 0)
+
+    def push(self, raw: str, end: bool = False) -> Iterator[str | bytes]:
+        self.raw += raw
+        at = len(self.raw) if end else self._border()
+        ready, self.raw = self.raw[:at], self.raw[at:]
+        added = self.tokenizer._added
+        for n, part in enumerate(added.split(ready) if added is not None else [ready]):
+            if n % 2:
+                yield from self._finish()
+                yield self.tokenizer.added[part].to_bytes(4, "little")
+            else:
+                self.text += self.tokenizer._fold(part)
+                yield from self._pieces()
+        if end:
+            yield from self._finish()
+
+    def _pieces(self) -> Iterator[str | bytes]:
+        if self.run is not None:
+            found = _RUNS[self.run].match(self.text)
+            length = found.end() if found else 0
+            ids, self.held = self.transducer.advance(self.held + self.text[:length].encode())
+            yield from ids
+            self.text = self.text[length:]
+            if not self.text:
+                return
+            yield from self._close()
+        done, rest = [], len(self.text)
+        for piece in self.tokenizer._pieces.finditer(self.text):
+            if piece.end() > len(self.text) - _LOOK:
+                rest = piece.start()
+                break
+            done.append(piece.group())
+        self.text = self.text[rest:]
+        if done:
+            yield " ".join(done)
+        if len(self.text) > LONG_CHARS + 2 * _LOOK:  # longer than a contraction or number: one run
+            self.run = bool(_LETTER.match(self.text))
+            yield from self._pieces()
+
+    def _close(self) -> Iterator[bytes]:
+        yield from self.transducer.stream([self.held])
+        self.run, self.held = None, b""
+
+    def _finish(self) -> Iterator[str | bytes]:
+        if self.run is not None:
+            yield from self._close()
+        if self.text:
+            yield " ".join(self.tokenizer._pieces.findall(self.text))
+        self.text = ""
+
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str, words: int = CACHE_WORDS) -> Tokenizer:
@@ -331,7 +476,13 @@ def tokenizer(path: str, words: int = CACHE_WORDS) -> Tokenizer:
     return Tokenizer(path, words)
 
 
-def batches(texts: Iterable, most_chars: int = 500_000) -> Iterator[tuple[int, list[str]]]:
+def chunks_of(text, size: int = CHUNK_CHARS) -> Iterator[str]:
+    """A text (a string or an Arrow string; null is empty) chunk by chunk."""
+    text = (text if text is None or isinstance(text, str) else text.as_py()) or ""
+    return (text[at : at + size] for at in range(0, len(text), size))
+
+
+def batches(texts: Iterable, most_chars: int = GROUP_CHARS) -> Iterator[tuple[int, list[str]]]:
     """Whole texts (strings or Arrow strings) in groups of about ``most_chars``, with the number of the first; null is empty."""
     first, held, size = 0, [], 0
     for n, text in enumerate(texts):
