@@ -14,11 +14,10 @@ document is discounted in full: it is what the back-off for unseen ones is made
 score = sigmoid(a * (log P_toxic - log P_ordinary) / words + b); a and b are fitted by
 logistic regression on labelled rows that were not counted.
 
-The models are fitted on a sample of at most ``SAMPLE_ROWS`` labelled rows, those with the
-least hash of their id; Spark counts its words and pairs. Of these, words of
-``LEAST_DOCUMENTS`` documents or more and pairs that one class may account for are kept,
-at most ``MOST_ENTRIES`` each, the most frequent first, which bounds what the driver
-fits and the tasks are sent; class totals cover all words. Scoring covers every row and whole texts and moves nothing.
+The models are fitted on all labelled rows outside the held-out fold: Spark counts all their words
+and pairs, decides which of them tell and computes their ratios. What reaches the driver is sums, and up to
+``MOST_SENT`` telling expressions, which are sent to the tasks; beyond that the expressions of
+each text are joined to the table by a shuffle. Scoring covers every row and whole texts.
 
 Defined results: null and empty texts have no words and get the score of no evidence;
 rows with a null id are scored and count as held out; rows that repeat an id are scored
@@ -37,13 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindery.llm.common import leave_out, pick, row_key
+from bindery.llm.common import join_small, leave_out, pick, row_key
 from bindery.llm.words import PUNCTUATION, each_text, hash_groups, stir
+from bindery.operators.joins import join_dimension
 from bindery.session import store
 
-SAMPLE_ROWS = 16_384
-MOST_ENTRIES = 1 << 18
-LEAST_DOCUMENTS = 2
+MOST_SENT = 1 << 21
+GROUP_WORDS = 1 << 17
+SEED = 1
 SIGMAS = 2.0
 MARGIN = 1.0
 DISCOUNT = 0.75
@@ -66,6 +66,26 @@ def pair_key(before: np.ndarray, words: np.ndarray) -> np.ndarray:
     return stir(before * np.uint64(0x9E3779B97F4A7C15) + words)
 
 
+def _tokens(frames: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """The words of whole texts in groups of about ``GROUP_WORDS``: batch, row in it, hash, hash of the word before."""
+    for frame in frames:
+        held, size = [], 0
+        for first, words, offsets in _word_groups(frame.column(column)):
+            rows = np.repeat(np.arange(first, first + len(offsets) - 1), np.diff(offsets))
+            held.append((rows, words, _previous(words, offsets)))
+            size += len(words)
+            if size >= GROUP_WORDS:
+                yield frame, *map(np.concatenate, zip(*held))
+                held, size = [], 0
+        if size:
+            yield frame, *map(np.concatenate, zip(*held))
+
+
+def _once(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Places at which each value of a row is met first."""
+    return np.unique(stir(values + rows.astype(np.uint64)), return_index=True)[1]
+
+
 def excess(counts: list[np.ndarray], totals: list, floors: list) -> list[np.ndarray]:
     """What one class alone accounts for: counts beyond all that the other class explains.
 
@@ -93,6 +113,8 @@ class Model:
     context_ratio: np.ndarray = field(default_factory=lambda: np.empty(0))
     slope: float = 0.0
     intercept: float = 0.0
+    # feature, weight: what each word, word before and pair adds to ``base``, where they are too many to send.
+    weights: DataFrame | None = None
 
     def ratios(self, words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """(log P_toxic - log P_ordinary) / words of each text of a group."""
@@ -116,148 +138,236 @@ def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default)
     return np.where(keys[at] == wanted, values[at], default)
 
 
-def fit_ratios(words: np.ndarray, contexts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, pair_totals: np.ndarray, word_totals=None) -> Model:
-    """The two models from kept counts.
-
-    ``contexts``: per word its documents of the ordinary and the toxic class. ``pairs``: before and
-    word; ``pair_counts`` their counts and ``pair_totals`` those of the word before, per class.
-    ``word_totals``: the sums over all words, per class, where not all are given.
-    """
-    counts = [contexts[:, 0].astype(float), contexts[:, 1].astype(float)]
-    totals = [max(float(t), 1.0) for t in (word_totals if word_totals is not None else [c.sum() for c in counts])]
-    over = excess(counts, totals, [0.0, 0.0])
-    shared = counts[0] + counts[1] - over[0] - over[1]
-    rest = [1 - o.sum() / t for o, t in zip(over, totals)]
-    common = shared / max(sum(totals) - over[0].sum() - over[1].sum(), 1e-9)
-    chance = [o / t + r * common for o, t, r in zip(over, totals, rest)]
-    base = float(np.log(rest[1] / rest[0]))
-    telling = (over[0] > 0) | (over[1] > 0)
-    ratio = np.log(chance[1][telling] / chance[0][telling])
-    order = np.argsort(words[telling])
-    model = Model(base, words[telling][order], ratio[order])
-    at = np.searchsorted(words, pairs[:, 1]) if len(words) else np.zeros(len(pairs), int)
-    known = (at < len(words)) & (words[np.minimum(at, len(words) - 1)] == pairs[:, 1]) if len(words) else np.zeros(len(pairs), bool)
-    pairs, at = pairs[known], at[known]
-    if not len(pairs):
-        return model
-    seen = [pair_counts[known, c].astype(float) for c in (0, 1)]
-    room = [np.maximum(pair_totals[known, c].astype(float), 1.0) for c in (0, 1)]
-    alone = [p[at] for p in chance]
-    over = excess(seen, room, alone)
-    telling = (over[0] > 0) | (over[1] > 0)
-    if not telling.any():
-        return model
-    before, group = np.unique(pairs[telling, 0], return_inverse=True)
-    left = [1 - np.bincount(group, o[telling] / r[telling]) for o, r in zip(over, room)]
-    left = [np.maximum(x, 1e-6) for x in left]
-    chances = [o[telling] / r[telling] + x[group] * a[telling] for o, r, x, a in zip(over, room, left, alone)]
-    keys = pair_key(pairs[telling, 0], pairs[telling, 1])
-    order = np.argsort(keys)
-    model.pairs, model.pair_ratio = keys[order], np.log(chances[1] / chances[0])[order]
-    model.contexts, model.context_ratio = before, np.log(left[1] / left[0])
-    return model
-
-
-def fit_scale(ratios: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of a logistic regression (Newton's method, lightly damped)."""
-    share = labels.mean() if len(labels) else 0.0
+def _newton(share: float, sums) -> np.ndarray | None:
+    """Weights of a logistic regression (Newton's method, lightly damped); ``sums`` gives slope and curvature."""
     if share in (0.0, 1.0):
-        return 0.0, 500.0 if share else -500.0
-    middle, width = ratios.mean(), max(ratios.std(), 1e-12)
-    x = np.column_stack([(ratios - middle) / width, np.ones(len(ratios))])
+        return None
     w, damping = np.zeros(2), 1e-3
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        slope = x.T @ (p - labels) + damping * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + damping * np.eye(2), slope)
+        slope, curve = sums(w)
+        step = np.linalg.solve(curve + damping * np.eye(2), slope + damping * w)
         step *= min(1.0, 4 / max(np.abs(step).max(), 1e-12))
         w = w - step
+        if np.abs(step).max() < 1e-10:
+            break
+    return w
+
+
+def _scale(w: np.ndarray | None, share: float, middle: float, width: float) -> tuple[float, float]:
+    if w is None:
+        return 0.0, 500.0 if share else -500.0
     return float(w[0] / width), float(w[1] - w[0] * middle / width)
 
 
+def fit_scale(ratios: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of a logistic regression."""
+    share = float(labels.mean()) if len(labels) else 0.0
+    middle, width = (ratios.mean(), max(ratios.std(), 1e-12)) if len(labels) else (0.0, 1.0)
+    x = np.column_stack([(ratios - middle) / width, np.ones(len(ratios))])
+
+    def sums(w: np.ndarray):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        return x.T @ (p - labels), (x * (p * (1 - p))[:, None]).T @ x
+
+    return _scale(_newton(share, sums), share, middle, width)
+
+
+def _sigmoid(z) -> F.Column:
+    return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(500.0)), F.lit(-500.0))))
+
+
+def fit_scale_rows(rows: DataFrame) -> tuple[float, float]:
+    """``fit_scale`` of the columns ``ratio, toxic``, whose rows stay where they are: Spark takes the sums of every step."""
+    share, middle, width = (v or 0.0 for v in rows.agg(F.avg("toxic"), F.avg("ratio"), F.stddev_pop("ratio")).first())
+    width = max(width, 1e-12)
+    x = (F.col("ratio") - middle) / width
+
+    def sums(w: np.ndarray):
+        p = _sigmoid(x * float(w[0]) + float(w[1]))
+        terms = rows.select(x.alias("x"), (p - F.col("toxic")).alias("off"), (p * (1 - p)).alias("v"))
+        a, b, xx, x1, one = terms.agg(*[F.sum(F.expr(e)) for e in ("off * x", "off", "v * x * x", "v * x", "v")]).first()
+        return np.array([a, b]), np.array([[xx, x1], [x1, one]])
+
+    return _scale(_newton(share, sums), share, middle, width)
+
+
 def _fold(column) -> F.Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % FOLDS, F.lit(HELD_OUT))
 
 
-def _per_class(condition: str) -> list:
-    return [F.count_if(F.expr(f"{condition} = {c}")) for c in (0, 1)]
+def _numbers(frame: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [frame.column(n).to_numpy().astype(float) for n in names]
+
+
+def _count_words(training: DataFrame) -> tuple[DataFrame, list[float]]:
+    """Words of two documents or more, and the sums of ``c0`` and ``c1`` over all words.
+
+    ``word``; ``c0, c1``: the documents of either class that hold it; ``t0, t1``: those of all pairs of
+    it and a next word that is here too.
+    """
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame, rows, words, before in _tokens(frames, 1):
+            toxic = frame.column(0).to_numpy()[rows]
+            at = _once(words, rows)
+            found, group = np.unique(words[at], return_inverse=True)
+            held = [np.bincount(group, toxic[at] == c, len(found)).astype(np.int64) for c in (0, 1)]
+            after = np.flatnonzero(before)
+            after = after[_once(pair_key(before, words)[after], rows[after])]
+            group = np.searchsorted(found, before[after])
+            pairs = [np.bincount(group, toxic[after] == c, len(found)).astype(np.int64) for c in (0, 1)]
+            # A word met once brings the words before it, for the case that it stays at one document.
+            group = np.searchsorted(found, words[after])
+            group, after = (x[(held[0] + held[1])[group] == 1] for x in (group, after))
+            ends = np.cumsum(np.append(0, np.bincount(group, minlength=len(found)))).astype(np.int32)
+            befores = pa.ListArray.from_arrays(pa.array(ends), pa.array(before[after[np.argsort(group, kind="stable")]].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (found.view(np.int64), *held, *pairs)), befores], names=["word", "c0", "c1", "t0", "t1", "befores"])
+
+    sums = [F.sum(c).alias(c) for c in ("c0", "c1", "t0", "t1")]
+    counts = training.mapInArrow(run, "word bigint, c0 bigint, c1 bigint, t0 bigint, t1 bigint, befores array<bigint>")
+    counts = store(counts.groupBy("word").agg(*sums, F.first("befores").alias("befores")), "toxicity-words", compression="zstd")
+    single = F.col("c0") + F.col("c1") == 1
+    none = F.lit(0).cast("bigint")
+    lost = counts.where(single).select(F.explode("befores").alias("word"), none.alias("c0"), none.alias("c1"), (-F.col("c0")).alias("t0"), (-F.col("c1")).alias("t1"))
+    known = counts.where(~single).drop("befores").unionByName(lost).groupBy("word").agg(*sums).where("c0 + c1 > 1")
+    return store(known, "toxicity-known", compression="zstd"), [float(t or 0) for t in counts.agg(F.sum("c0"), F.sum("c1")).first()]
+
+
+def _count_pairs(training: DataFrame) -> DataFrame:
+    """``before, word, n0, n1``: the documents of either class that hold a pair, where they are two or more of one class."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame, rows, words, before in _tokens(frames, 1):
+            toxic = frame.column(0).to_numpy()[rows]
+            keys = pair_key(before, words)
+            at = np.flatnonzero(before)
+            at = at[_once(keys[at], rows[at])]
+            _, one, group = np.unique(keys[at], return_index=True, return_inverse=True)
+            held = [np.bincount(group, toxic[at] == c, len(one)).astype(np.int64) for c in (0, 1)]
+            # Both counts travel in one number, ordinary documents in its lower half.
+            columns = [before[at[one]].view(np.int64), words[at[one]].view(np.int64), held[1] << 32 | held[0]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["before", "word", "n"])
+
+    pairs = training.mapInArrow(run, "before bigint, word bigint, n bigint").groupBy("before", "word").agg(F.sum("n").alias("n"))
+    pairs = pairs.select("before", "word", F.col("n").bitwiseAND(F.lit((1 << 32) - 1)).alias("n0"), F.shiftright("n", 32).alias("n1"))
+    return store(pairs.where("n0 > 1 OR n1 > 1"), "toxicity-pairs", compression="zstd")
 
 
-def _count_words(training: DataFrame):
-    """``word, c0, c1`` sorted by word, the documents of either class that hold it; and the sums over all words."""
+def _telling_words(known: DataFrame, totals: list[float]) -> DataFrame:
+    """``word, c0, c1, o0, o1``: words with an excess in one class."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            toxic, keys = frame.column(0).to_numpy(), frame.column(2).to_numpy().view(np.uint64)
-            for first, words, offsets in _word_groups(frame.column(1)):
-                # A class and 30 bits of the text's hash tell documents apart.
-                texts = slice(first, first + len(offsets) - 1)
-                owner = (keys[texts] >> np.uint64(34)) << np.uint64(1) | toxic[texts].astype(np.uint64)
-                context = np.repeat(owner, np.diff(offsets))
-                _, at = np.unique(stir(words + context), return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(words[at].view(np.int64)), pa.array(context[at].astype(np.int32))], names=["word", "context"])
-
-    seen = training.mapInArrow(run, "word bigint, context int").distinct()
-    counts = seen.groupBy("word").agg(*[c.alias(f"c{n}") for n, c in enumerate(_per_class("context & 1"))])
-    counts = store(counts, "toxicity-words")
-    found = counts.where(F.col("c0") + F.col("c1") >= LEAST_DOCUMENTS).orderBy(-(F.col("c0") + F.col("c1")), "word").limit(MOST_ENTRIES).toPandas()
-    order = np.argsort(found["word"].to_numpy(np.int64).view(np.uint64))
-    return found.iloc[order], [t or 0 for t in counts.agg(F.sum("c0"), F.sum("c1")).first()]
-
-
-def _count_pairs(training: DataFrame, vocabulary: np.ndarray):
-    """``before, word`` (places in the vocabulary from 1), documents of the pair and those of all pairs after ``before``.
-
-    Two words, 24 bits or more of the text's hash and its class fit into one number.
-    """
-    known = training.sparkSession.sparkContext.broadcast(vocabulary)
-    bits = max(1, int(len(vocabulary)).bit_length())
+            over = excess(_numbers(frame, "c0", "c1"), totals, [0.0, 0.0])
+            out = pa.RecordBatch.from_arrays([*frame.columns, *map(pa.array, over)], names=["word", "c0", "c1", "o0", "o1"])
+            yield out.filter(pa.array((over[0] > 0) | (over[1] > 0)))
+
+    return store(known.select("word", "c0", "c1").mapInArrow(run, "word bigint, c0 bigint, c1 bigint, o0 double, o1 double"), "telling-words")
+
+
+def _telling_pairs(pairs: DataFrame, known: DataFrame, totals: list[float], rest: list[float], mass: float) -> DataFrame:
+    """``before, key, e0, e1, a0, a1``: pairs with an excess, its share of the pairs after ``before``, and the chance of the word alone."""
+    names = ["before", "word", "n0", "n1", "t0", "t1"]
+
+    def over(frame: pa.RecordBatch, floors: list) -> tuple[list[np.ndarray], list[np.ndarray], pa.Array]:
+        room = [np.maximum(t, 1.0) for t in _numbers(frame, "t0", "t1")]
+        seen = _numbers(frame, "n0", "n1")
+        found = excess(seen, room, floors)
+        return found, room, pa.array(np.any([(o > 0) & (n > 1) for o, n in zip(found, seen)], axis=0))
+
+    def beyond(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:  # floors only lower the excess
+            yield frame.filter(over(frame, [0.0, 0.0])[2])
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            toxic, keys = frame.column(0).to_numpy(), frame.column(2).to_numpy().view(np.uint64)
-            for first, words, offsets in _word_groups(frame.column(1)):
-                texts = slice(first, first + len(offsets) - 1)
-                owner = (keys[texts] >> np.uint64(2 + 2 * bits)).astype(np.int64) << 1 | toxic[texts].astype(np.int64)
-                owner = np.repeat(owner, np.diff(offsets))
-                place = _look_up(known.value, np.arange(1.0, len(known.value) + 1), words, 0.0).astype(np.int64)
-                before = _previous(place, offsets)
-                triple = (before << bits | place) << (63 - 2 * bits) | owner
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(triple[(before > 0) & (place > 0)]))], names=["triple"])
-
-    seen = training.mapInArrow(run, "triple bigint").distinct()
-    split = seen.select(F.shiftright("triple", 63 - bits).alias("before"), F.expr(f"shiftright(triple, {63 - 2 * bits}) & {(1 << bits) - 1}").alias("word"), "triple")
-    pairs = split.groupBy("before", "word").agg(*[c.alias(f"n{n}") for n, c in enumerate(_per_class("triple & 1"))])
-    totals = pairs.groupBy("before").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))
-    both = pairs.join(totals, "before")
-    # What excess() leaves nothing of needs no place among the entries.
-    beyond = [f"n{a} >= {LEAST_DOCUMENTS} AND n{a} > greatest(t{a}, 1) / greatest(t{b}, 1) * greatest(n{b}, 1) + {DISCOUNT}" for a, b in ((0, 1), (1, 0))]
-    return both.where(f"{beyond[0]} OR {beyond[1]}").orderBy(-(F.col("n0") + F.col("n1")), "before", "word").limit(MOST_ENTRIES).toPandas()
+            counts = _numbers(frame, "c0", "c1")
+            single = excess(counts, totals, [0.0, 0.0])
+            common = (counts[0] + counts[1] - single[0] - single[1]) / mass
+            alone = [o / t + r * common for o, t, r in zip(single, totals, rest)]
+            found, room, telling = over(frame, alone)
+            before, word = (frame.column(n).to_numpy() for n in ("before", "word"))
+            columns = [before, pair_key(before.view(np.uint64), word.view(np.uint64)).view(np.int64), *[o / r for o, r in zip(found, room)], *alone]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["before", "key", "e0", "e1", "a0", "a1"]).filter(telling)
+
+    after = join_dimension(pairs, known.select(F.col("word").alias("before"), "t0", "t1"), ["before"], spread_by=["word"], how="inner")
+    some = store(after.select(*names).mapInArrow(beyond, ", ".join(f"{n} bigint" for n in names)), "toxicity-beyond", compression="zstd")
+    both = join_dimension(some, known.select("word", "c0", "c1"), ["word"], spread_by=["before"], how="inner")
+    found = both.select(*names, "c0", "c1").mapInArrow(run, "before bigint, key bigint, e0 double, e1 double, a0 double, a1 double")
+    return store(found, "telling-pairs")
+
+
+def fit_ratios(training: DataFrame) -> Model:
+    """The two models from ``toxic, text``, one row per document."""
+    known, totals = _count_words(training)
+    pairs = _count_pairs(training)
+    totals = [max(t, 1.0) for t in totals]
+    words = _telling_words(known, totals)
+    over = [o or 0.0 for o in words.agg(F.sum("o0"), F.sum("o1")).first()]
+    rest = [1 - o / t for o, t in zip(over, totals)]
+    mass = max(sum(totals) - sum(over), 1e-9)
+    base = float(np.log(rest[1] / rest[0]))
+    common = (F.col("c0") + F.col("c1") - F.col("o0") - F.col("o1")) / mass
+    chance = [F.col(f"o{c}") / totals[c] + rest[c] * common for c in (0, 1)]
+    words = words.select(F.col("word").alias("key"), F.log(chance[1] / chance[0]).alias("ratio"))
+
+    pairs = _telling_pairs(pairs, known, totals, rest, mass)
+    left = pairs.groupBy("before").agg(*[F.greatest(1 - F.sum(f"e{c}"), F.lit(1e-6)).alias(f"l{c}") for c in (0, 1)])
+    left = store(left, "toxicity-contexts")
+    contexts = left.select(F.col("before").alias("key"), F.log(F.col("l1") / F.col("l0")).alias("ratio"))
+    pairs = join_dimension(pairs, left, ["before"], spread_by=["key"], how="inner")
+    chance = [F.col(f"e{c}") + F.col(f"l{c}") * F.col(f"a{c}") for c in (0, 1)]
+    # The ratio a pair's word would have without the pair, telling or not, and that of the word before.
+    single = F.log(F.col("a1") / F.col("a0")) + F.log(F.col("l1") / F.col("l0"))
+    pairs = store(pairs.select("key", F.log(chance[1] / chance[0]).alias("ratio"), single.alias("single")), "pair-ratios")
+    if words.count() + left.count() + pairs.count() > MOST_SENT:
+        return Model(base, weights=_weights(words, contexts, pairs, base))
+    return Model(base, *_table(words), *_table(pairs), *_table(contexts))
+
+
+def _table(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order and their ratios, at most ``MOST_SENT``."""
+    found = rows.select("key", "ratio").toPandas()
+    keys = found["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], found["ratio"].to_numpy(float)[order]
+
+
+def _weights(words: DataFrame, contexts: DataFrame, pairs: DataFrame, base: float) -> DataFrame:
+    """``feature, weight``: the same ratios as summands, a pair's over those of its words."""
+
+    def context_keys(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            keys = pair_key(frame.column(0).to_numpy().view(np.uint64), np.zeros(frame.num_rows, np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), frame.column(1)], names=["key", "ratio"])
+
+    parts = [words.select("key", F.col("ratio") - base), contexts.mapInArrow(context_keys, "key bigint, ratio double"), pairs.select("key", F.col("ratio") - F.col("single"))]
+    return store(parts[0].union(parts[1]).union(parts[2]).toDF("feature", "weight"), "toxicity-weights")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fits both models and the scale on labelled documents outside the held-out fold."""
+    """Fits both models and the scale on all labelled documents outside the held-out fold."""
     chosen = pick(labels, doc_id=id_col, toxic=(label_col, "int")).where("toxic IN (0, 1) AND doc_id IS NOT NULL")
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("fold", _fold(F.col("doc_id")))
-    chosen = chosen.where(F.col("fold") != HELD_OUT).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
+    chosen = chosen.where(F.col("fold") != HELD_OUT)
     rows = pick(docs, doc_id=id_col, text=(text_col, "string"))
-    # At most SAMPLE_ROWS narrow rows are broadcast.
-    sample = store(rows.join(F.broadcast(chosen), "doc_id").select("toxic", "fold", "text"), "toxicity-sample")
-
-    training = sample.where(F.col("fold") != CALIBRATION).select("toxic", "text", F.xxhash64("text"))
-    words, word_totals = _count_words(training)
-    hashes = words["word"].to_numpy(np.int64).view(np.uint64)
-    kept = _count_pairs(training, hashes)
-    pairs = hashes[kept[["before", "word"]].to_numpy(np.int64) - 1]
-    model = fit_ratios(hashes, words[["c0", "c1"]].to_numpy(), pairs, kept[["n0", "n1"]].to_numpy(), kept[["t0", "t1"]].to_numpy(), word_totals)
-    scored = _ratios(sample.select(F.struct("toxic", "fold").alias("doc_id"), "text"), model).select("doc_id.*", "ratio").toPandas()
-    check = scored[scored["fold"] == CALIBRATION]
-    check = check if check["toxic"].nunique() == 2 else scored
-    model.slope, model.intercept = fit_scale(check["ratio"].to_numpy(float), check["toxic"].to_numpy(float))
+    labelled = join_small(rows, chosen, ["doc_id"], "inner").select("toxic", "fold", "text", F.xxhash64("text").alias("key"), F.monotonically_increasing_id().alias("row"))
+    labelled = store(labelled, "toxicity-labelled", compression="zstd")
+
+    training = labelled.where(F.col("fold") != CALIBRATION)
+    # Of copies in one class one counts.
+    firsts = store(training.groupBy("toxic", "key").agg(F.min("row").alias("row")).select("row"), "toxicity-firsts")
+    model = fit_ratios(join_small(training, firsts, ["row"], "left_semi").select("toxic", "text"))
+    least, most = labelled.where(F.col("fold") == CALIBRATION).agg(F.min("toxic"), F.max("toxic")).first()
+    check = labelled.where(F.col("fold") == CALIBRATION) if (least, most) == (0, 1) else labelled
+    scored = _ratios(check.select(F.struct("toxic").alias("doc_id"), "text"), model).select("doc_id.toxic", "ratio")
+    model.slope, model.intercept = fit_scale_rows(store(scored, "toxicity-ratios"))
     return model
 
 
 def _ratios(rows: DataFrame, model: Model) -> DataFrame:
+    if model.weights is not None:
+        return _joined_ratios(rows, model)
     known = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,6 +379,39 @@ def _ratios(rows: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ratio double, score double")
 
 
+def _joined_ratios(rows: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, ratio, score`` by a join of the expressions of each text to the table of weights."""
+    keyed = rows.select("doc_id", F.xxhash64("text").alias("key_a"), F.xxhash64(F.lit(SEED), "text").alias("key_b"), "text")
+
+    def sizes(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            n = np.concatenate([np.empty(0, np.int64), *[np.diff(offsets) for _, _, offsets in _word_groups(frame.column(3))]])
+            yield pa.RecordBatch.from_arrays([*frame.columns[:3], pa.array(n)], names=["doc_id", "key_a", "key_b", "n"])
+
+    def features(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame, owner, words, before in _tokens(frames, 2):
+            after = np.flatnonzero(before)
+            before = before[after]
+            found = np.concatenate([words, pair_key(before, np.zeros(len(before), np.uint64)), pair_key(before, words[after])])
+            owner = np.concatenate([owner, owner[after], owner[after]])
+            _, at, times = np.unique(stir(found + owner.astype(np.uint64)), return_index=True, return_counts=True)
+            text = pa.array(owner[at])
+            columns = [frame.column(0).take(text), frame.column(1).take(text), pa.array(found[at].view(np.int64)), pa.array(times)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key_a", "key_b", "feature", "times"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    sized = store(keyed.mapInArrow(sizes, f"doc_id {kind}, key_a bigint, key_b bigint, n bigint"), "toxicity-sizes")
+    held = keyed.select("key_a", "key_b", "text").mapInArrow(features, "key_a bigint, key_b bigint, feature bigint, times bigint")
+    held = join_dimension(held, model.weights, ["feature"], spread_by=["key_a", "key_b"], how="inner")
+    parts = held.select("key_a", "key_b", (F.col("times") * F.col("weight")).alias("part"), F.lit(0).alias("copy"))
+    # Every copy of a text brings all its expressions, so the sum is divided by their number.
+    copies = sized.select("key_a", "key_b", F.lit(0.0).alias("part"), F.lit(1).alias("copy"))
+    sums = parts.unionByName(copies).groupBy("key_a", "key_b").agg((F.sum("part") / F.sum("copy")).alias("found"))
+    scored = join_dimension(sized, store(sums, "toxicity-sums"), ["key_a", "key_b"], spread_by=["doc_id"])
+    ratio = model.base + F.when(F.col("n") > 0, F.col("found") / F.col("n")).otherwise(0.0)
+    return scored.select("doc_id", ratio.alias("ratio")).withColumn("score", _sigmoid(F.col("ratio") * model.slope + model.intercept))
+
+
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, score, predicted, ratio`` for every row."""
     scored = _ratios(pick(docs, doc_id=id_col, text=(text_col, "string")), model)

@@ -1,9 +1,12 @@
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
-from bindery.llm.toxicity import Model, drop_toxic, excess, fit, fit_scale, pair_key, score_toxicity
-from bindery.llm.words import hash_text
+from bindery.llm import toxicity
+from bindery.llm.toxicity import Model, _count_pairs, _count_words, drop_toxic, excess, fit, fit_scale, fit_scale_rows, pair_key, score_toxicity
+from bindery.llm.words import PUNCTUATION, hash_text
 
 PLAIN = [f"word{n}" for n in range(400)]
 INSULTS = [f"insult{n}" for n in range(8)]
@@ -114,3 +117,75 @@ def test_an_insult_after_one_word_only(spark):
     assert fool[0] in model.words and model.word_ratio[model.words == fool[0]][0] > 1
     key = pair_key(pair[:1], pair[1:])[0]
     assert key in model.pairs and model.pair_ratio[model.pairs == key][0] > 1
+
+
+def test_every_labelled_row_is_learned_from(spark):
+    """40,000 labelled rows, each insult in a few documents of its own: none of them is left out."""
+    rng = random.Random(3)
+    docs, labels = [], []
+    for doc in range(40_000):
+        w = [rng.choice(PLAIN[:60]) for _ in range(6)]
+        toxic = doc % 10 == 0
+        if toxic:
+            w[rng.randrange(6)] = f"slur{doc // 100}"
+        docs.append((doc, " ".join(w + [str(doc)])))
+        labels.append((doc, int(toxic)))
+    model = fit(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    holders = {}
+    for doc, _ in labels[::10]:
+        if zlib.crc32(str(doc).encode()) % 5 > 1:
+            holders[doc // 100] = holders.get(doc // 100, 0) + 1
+    often = {n for n, count in holders.items() if count >= 5}
+    assert len(often) > 100
+    missing = {n for n in often if hash_text(f"slur{n}".encode())[0] not in model.words}
+    assert not missing
+
+
+def test_counts_against_brute_force(spark):
+    docs, labels = corpus(400, 8)
+    training = spark.createDataFrame([(toxic, text) for (_, text), (_, toxic) in zip(docs, labels)], "toxic int, text string").repartition(3)
+    known, totals = _count_words(training)
+    held, pairs = Counter(), Counter()
+    for (_, text), (_, toxic) in zip(docs, labels):
+        w = hash_text(text.lower().encode(), blanks=PUNCTUATION).tolist()
+        held.update((x, toxic) for x in set(w))
+        pairs.update((b, x, toxic) for b, x in set(zip(w, w[1:])))
+    assert totals == [sum(n for (_, c), n in held.items() if c == k) for k in (0, 1)]
+    here = {w for w, _ in held if held[w, 0] + held[w, 1] > 1}
+    after = Counter()
+    for (b, x, c), n in pairs.items():
+        if x in here:
+            after[b, c] += n
+    found = {r.word % 2**64: (r.c0, r.c1, r.t0, r.t1) for r in known.collect()}
+    assert found == {w: (held[w, 0], held[w, 1], after[w, 0], after[w, 1]) for w in here}
+    many = {(b, x) for b, x, c in pairs if pairs[b, x, c] > 1}
+    found = {(r.before % 2**64, r.word % 2**64): (r.n0, r.n1) for r in _count_pairs(training).collect()}
+    assert found == {(b, x): (pairs[b, x, 0], pairs[b, x, 1]) for b, x in many}
+
+
+def test_copies_count_once(fitted):
+    _, _, (frame, labels), model = fitted
+    twice = fit(frame.union(frame), labels)
+    for one, other in ((model.words, twice.words), (model.pairs, twice.pairs), (model.word_ratio, twice.word_ratio), (model.pair_ratio, twice.pair_ratio)):
+        assert one.tolist() == pytest.approx(other.tolist())
+
+
+def test_a_table_too_large_to_send_is_joined(fitted, awkward, monkeypatch):
+    _, _, (frame, labels), model = fitted
+    monkeypatch.setattr(toxicity, "MOST_SENT", 0)
+    joined = fit(frame, labels)
+    assert joined.weights is not None and not len(joined.words)
+    assert (joined.slope, joined.intercept) == pytest.approx((model.slope, model.intercept))
+    for rows in (frame, frame.union(frame.limit(50)), awkward):
+        want, got = (sorted((r.score, r.predicted) for r in score_toxicity(rows, m).collect()) for m in (model, joined))
+        assert np.allclose(want, got, rtol=1e-6, atol=1e-12)
+
+
+def test_scale_of_rows(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=300)
+    y = (x + rng.normal(size=300) > 1).astype(float)
+    rows = spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, y)], "ratio double, toxic int")
+    assert fit_scale_rows(rows) == pytest.approx(fit_scale(x, y))
+    assert fit_scale_rows(rows.where("toxic = 0")) == (0.0, -500.0)
+    assert fit_scale_rows(rows.where("toxic > 1")) == (0.0, -500.0)
