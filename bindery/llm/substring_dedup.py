@@ -40,11 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindery.llm.common import attach, join_small, pick
-from bindery.llm.words import BASES, each_text, hash_groups, hash_text, spans, stir, word_edges
+from bindery.llm.words import BASES, SMALL_GROUP, each_text, hash_groups, hash_text, spans, stir, word_edges
 from bindery.session import store
 
 WINDOW = 50
 ANCHOR_WORDS = 8
+ANCHORS_AT_ONCE = 1 << 12
 RUN_BASES = (np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5))
 
 
@@ -60,7 +61,9 @@ def find_segments(hashes: np.ndarray, offsets: np.ndarray, window: int = WINDOW,
         return none, none, none, np.empty(0, np.uint64)
     runs = np.arange(len(hashes) - anchor_words + 1)
     grams = stir(spans(hashes, runs, runs + anchor_words, RUN_BASES[0]))
-    least = sliding_window_view(grams, window - anchor_words + 1).argmin(axis=1)[valid] + valid
+    views = sliding_window_view(grams, window - anchor_words + 1)
+    # argmin copies its windows, so a few at a time.
+    least = np.concatenate([views[n : n + ANCHORS_AT_ONCE].argmin(axis=1) for n in range(0, len(views), ANCHORS_AT_ONCE)])[valid] + valid
     opens = np.flatnonzero(np.concatenate([[True], (np.diff(valid) != 1) | (np.diff(least) != 0)]))
     sizes = np.diff(np.append(opens, len(valid)))
     return text[valid[opens]], valid[opens], sizes, grams[least[opens]]
@@ -75,8 +78,8 @@ def _segments(rows: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            second = hash_groups(each_text(frame.column(2)), BASES[1])
-            for (first, hashes, offsets), (_, other, _) in zip(hash_groups(each_text(frame.column(2))), second):
+            both = [hash_groups(each_text(frame.column(2)), base, group_bytes=SMALL_GROUP) for base in BASES]
+            for (first, hashes, offsets), (_, other, _) in zip(*both):
                 text, start, windows, anchor = find_segments(hashes, offsets)
                 if not len(text):
                     continue

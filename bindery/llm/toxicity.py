@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindery.llm.common import join_small, leave_out, pick, row_key
-from bindery.llm.words import PUNCTUATION, each_text, hash_groups, stir
+from bindery.llm.words import PUNCTUATION, SMALL_GROUP, each_text, hash_groups, stir
 from bindery.operators.joins import join_dimension
 from bindery.session import store
 
@@ -51,7 +51,7 @@ FOLDS, HELD_OUT, CALIBRATION = 5, 0, 1
 
 
 def _word_groups(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    return hash_groups((t.lower() if t else b"" for t in each_text(column)), blanks=PUNCTUATION)
+    return hash_groups((t.lower() if t else b"" for t in each_text(column)), blanks=PUNCTUATION, group_bytes=SMALL_GROUP)
 
 
 def _previous(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:

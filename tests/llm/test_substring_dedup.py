@@ -1,10 +1,15 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from bindery.llm import words as words_module
+from bindery.llm.bpe import tokenizer
+from bindery.llm.encoding import vocabulary
 from bindery.llm.substring_dedup import cut_repeats, find_segments, kept_words, merge, remove_repeats, repeated_spans, with_first
-from bindery.llm.words import GROUP_BYTES, hash_groups, hash_text
+from bindery.llm.words import GROUP_BYTES, each_text, hash_groups, hash_text
 from pyspark.sql import functions as F
 
 WINDOW = 50
@@ -114,3 +119,34 @@ def test_merge_and_kept_words():
     assert kept_words(b"a b\tc  d", [{"start": 1, "end": 3}]) == (b"a d", 4, 2)
     long = b"a b " * 20_000
     assert kept_words(long, [{"start": 0, "end": 39_998}]) == (b"a b", 40_000, 39_998)
+
+
+def test_segments_of_a_long_text_in_little_memory():
+    hashes = np.random.default_rng(4).integers(0, 1 << 60, 400_000).astype(np.uint64)
+    find_segments(hashes[:1000], np.array([0, 1000]))
+    tracemalloc.start()
+    text, start, windows, anchor = find_segments(hashes, np.array([0, len(hashes)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * hashes.nbytes  # 43 times with all windows at once
+    assert windows.sum() == len(hashes) - 49 and (np.cumsum(windows)[:-1] == start[1:]).all()
+    few = find_segments(hashes[:3000], np.array([0, 3000]))
+    assert (few[3][:-1] == anchor[: len(few[3]) - 1]).all()
+
+
+def test_small_groups_give_the_same_hashes():
+    texts = [b"", b"one two", None, b"three " * 30_000, b"four five six " * 500] * 4
+    whole, small = [], []
+    for out, size in ((whole, GROUP_BYTES), (small, 1 << 10)):
+        for _, hashes, offsets in hash_groups(texts, group_bytes=size):
+            out += [hashes[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
+    assert len(small) == len(texts) and whole == small
+
+
+def test_a_task_on_texts_gives_back_what_a_tokenizer_took(monkeypatch):
+    calls = []
+    monkeypatch.setattr(words_module, "give_back", lambda: calls.append(1))
+    tokenizer(vocabulary())
+    assert list(each_text(pa.array(["a", None]))) == [b"a", None] and calls == [1]
+    list(each_text(pa.array(["a"])))
+    assert calls == [1] and not tokenizer.cache_info().currsize
